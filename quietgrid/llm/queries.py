@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
-from . import mixing, packing, simhash
+from . import line_dedup, mixing, packing, simhash
 from .common import table
 
 
@@ -25,13 +25,19 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(ship(spark), sf_dir, "documents"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup(table(ship(spark), sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_source_mixing": op6_source_mixing,
+    "op8_line_dedup": op8_line_dedup,
 }
 
 #: DuckDB SQL, where it can express a query. The others are tested against brute force in tests/llm.
 ORACLE_SQL: dict[str, str] = {
     "op6_source_mixing": mixing.SQL,
+    "op8_line_dedup": line_dedup.SQL,
 }
