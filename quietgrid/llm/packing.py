@@ -10,6 +10,7 @@ thousand programs. Pieces get their places from their rank among pieces of equal
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -23,39 +24,91 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 CAPACITY, END_ID = 2048, 0
-#: Words that a worker keeps encoded, and the longest such word in bytes; other words are encoded each time.
-CACHED, CACHED_BYTES = 400_000, 64
+#: Words that a worker keeps encoded (as many letter runs again), the longest such word in bytes, and the misses after which it starts afresh.
+CACHED, CACHED_BYTES, MISSES = 150_000, 48, 4_000_000
+_MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 _PIECES = "part int, doc_id long, piece int, start long, length int, ids_crc32 long, nth long"
 
 
-@cache
-def _tokenizer(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+class _Words:
+    """Encodes words and keeps the common ones: those seen first, until too many others were met.
 
-    return Tokenizer.from_file(path), {}
+    Most words are letters and then punctuation, which the tokenizer splits there. Letter runs that aren't known yet go
+    to it in one call, parted by spaces; each ends with the one token that ends a word.
+    """
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer, self.known, self.runs, self.misses = Tokenizer.from_file(path), {}, {}, 0
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def _one(self, word: bytes) -> bytes:
+        return self._ids(word.decode("utf-8", "replace")).tobytes()
+
+    def _many(self, runs: list[bytes]) -> dict[bytes, bytes]:
+        ids = self._ids(b" ".join(runs).decode("utf-8", "replace"))
+        ends = (np.flatnonzero(self.ends[ids]) * 4 + 4).tolist()
+        if len(ends) != len(runs) or not ends or ends[-1] != 4 * len(ids):  # a letter whose lower case isn't one letter
+            return {r: self._one(r) for r in runs}
+        raw = ids.tobytes()
+        return {r: raw[a:b] for r, a, b in zip(runs, [0, *ends[:-1]], ends, strict=True)}
+
+    def encode(self, words: list[bytes]) -> dict[bytes, bytes]:
+        out, split, new = {}, [], {}
+        for word in words:
+            run = word.lower().rstrip(_MARKS)
+            if run.isalpha() or not run.isascii() and unicodedata.normalize("NFC", run.decode("utf-8", "replace")).lower().isalpha():
+                split.append((word, run))
+                if run not in self.runs:
+                    new[run] = None
+            else:
+                out[word] = self._one(word)
+        if new:
+            new = self._many(list(new))
+        for word, run in split:
+            ids, tail = new[run] if run in new else self.runs[run], word[len(run) :]
+            if tail:
+                if tail not in self.known:
+                    self.known[tail] = self._one(tail)
+                ids += self.known[tail]
+            out[word] = ids
+        self.misses += len(words)
+        if self.misses > MISSES:
+            self.known.clear()
+            self.runs.clear()
+            self.misses = 0
+        if len(self.known) < CACHED:
+            self.known.update((w, x) for w, x in out.items() if len(w) <= CACHED_BYTES)
+        if len(self.runs) < CACHED:
+            self.runs.update((w, x) for w, x in new.items() if len(w) <= CACHED_BYTES)
+        return out
+
+
+_words = cache(_Words)
 
 
 def encode(text: bytes, path: str) -> bytes:
     """Token ids of a UTF-8 text as little-endian unsigned 32-bit integers, without special tokens.
 
-    The tokenizer never joins what ASCII white space separates, so words are encoded one by one and the common ones kept.
+    The tokenizer never joins what ASCII white space separates, so words are encoded apart and the common ones kept.
     """
-    tokenizer, known = _tokenizer(path)
-    words = text.split()
-    try:
+    coder, words = _words(path), text.split()
+    known = coder.known
+    distinct = set(words)
+    missing = distinct.difference(known)
+    if not missing:
         return b"".join(map(known.__getitem__, words))
-    except KeyError:
-        pass
-    if len(known) > CACHED:
-        known.clear()
-    own = {}
-    for word in words:
-        if word not in known and word not in own:
-            ids = np.array(tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
-            (known if len(word) <= CACHED_BYTES else own)[word] = ids
-    return b"".join([known[w] if w in known else own[w] for w in words])
+    found = {w: known[w] for w in distinct.difference(missing)}
+    found |= coder.encode(list(missing))  # after which known may hold other words
+    return b"".join(map(found.__getitem__, words))
 
 
 def cut(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
