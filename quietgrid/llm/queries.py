@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
-from . import embed_dedup, line_dedup, mixing, packing, simhash
+from . import embed_dedup, line_dedup, mixing, packing, simhash, url_filter, warc_zip
 from .common import table
 
 
@@ -19,6 +19,10 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(ship(spark), sf_dir, "documents"))
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(ship(spark), sf_dir, "pages"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -33,16 +37,24 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup(table(ship(spark), sf_dir, "documents"))
 
 
+def op10_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_zip.round_trip(table(ship(spark), sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op4_url_filter": op4_url_filter,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_source_mixing": op6_source_mixing,
     "op8_line_dedup": op8_line_dedup,
+    "op10_warc_zip": op10_warc_zip,
 }
 
 #: DuckDB SQL, where it can express a query. The others are tested against brute force in tests/llm.
 ORACLE_SQL: dict[str, str] = {
+    "op4_url_filter": url_filter.SQL,
     "op6_source_mixing": mixing.SQL,
     "op8_line_dedup": line_dedup.SQL,
+    "op10_warc_zip": warc_zip.SQL,
 }
