@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
-from . import embed_dedup, line_dedup, mixing, packing, simhash, url_filter, warc_zip
+from . import embed_dedup, line_dedup, mixing, mtree, packing, simhash, url_filter, warc_zip
 from .common import table
 
 
@@ -19,6 +19,10 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(ship(spark), sf_dir, "documents"))
 
 
+def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.top_k(table(ship(spark), sf_dir, "embeddings"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(ship(spark), sf_dir, "pages"))
 
@@ -44,6 +48,7 @@ def op10_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op3_exact_top_k": op3_exact_top_k,
     "op4_url_filter": op4_url_filter,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_source_mixing": op6_source_mixing,
@@ -53,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 #: DuckDB SQL, where it can express a query. The others are tested against brute force in tests/llm.
 ORACLE_SQL: dict[str, str] = {
+    "op3_exact_top_k": mtree.SQL,
     "op4_url_filter": url_filter.SQL,
     "op6_source_mixing": mixing.SQL,
     "op8_line_dedup": line_dedup.SQL,
