@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
-from . import embed_dedup, line_dedup, mixing, mtree, packing, simhash, url_filter, warc_zip
+from . import embed_dedup, langid, line_dedup, mixing, mtree, packing, simhash, url_filter, warc_zip
 from .common import table
 
 
@@ -37,6 +37,10 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(ship(spark), sf_dir, "documents"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(ship(spark), sf_dir, "documents"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup(table(ship(spark), sf_dir, "documents"))
 
@@ -52,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_url_filter": op4_url_filter,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_source_mixing": op6_source_mixing,
+    "op7_language_id": op7_language_id,
     "op8_line_dedup": op8_line_dedup,
     "op10_warc_zip": op10_warc_zip,
 }
