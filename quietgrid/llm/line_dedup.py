@@ -66,7 +66,8 @@ def clean(docs: DataFrame, min_sites: int = MIN_SITES, doc_id: str = "doc_id", t
         F.arrays_zip(_lines(F.col(text)).alias("line"), keys.alias("key"), F.sequence(F.lit(1), F.size(_lines(F.col(text)))).alias("at")),
         lambda x: (F.btrim(x["line"], F.lit(" ")) == "") | ~(F.array_contains("_drop", x["key"]) | (F.array_contains("_once", x["key"]) & (F.array_position(F.col("_keys"), x["key"]) < x["at"]))),
     )
-    joined = docs.join(lists, docs[doc_id].eqNullSafe(lists["_list_id"]), "left").withColumn("_keys", F.when(F.col("_drop").isNotNull(), keys))
+    # the lists grow with the corpus, so the join is by shuffle at every size
+    joined = docs.join(lists.hint("merge"), docs[doc_id].eqNullSafe(lists["_list_id"]), "left").withColumn("_keys", F.when(F.col("_drop").isNotNull(), keys))
     touched = F.col("_drop").isNotNull() & F.col(text).isNotNull()
     cleaned = F.when(touched, F.array_join(F.transform(kept, lambda x: x["line"]), "\n")).otherwise(F.col(text))
     count = lambda c: F.coalesce(F.size(_filled(c)), F.lit(0)).cast("long")
