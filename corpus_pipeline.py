@@ -1,15 +1,62 @@
-"""A corpus pipeline of five stages; each works on what its predecessor kept."""
+"""A corpus pipeline of five stages; each works on all rows that its predecessor kept.
+
+1. language_id: documents that no learned language accounts for go.
+2. line_dedup: lines that spread over sites go, and documents that are nothing else.
+3. simhash_near_dedup: one document of each group of near duplicates stays.
+4. source_mixing: documents are repeated, cut or left out so that sources reach their targets.
+5. best_fit_packing: the pieces of what is left, with their places in sequences.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from quietgrid.llm import langid, line_dedup, mixing, packing, simhash
+from quietgrid.llm.common import Scratch
+from quietgrid.session import ship
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return langid.accepted(docs)
+
+
+def line_spread(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return line_dedup.strip(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return simhash.one_of_each(docs)
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.materialise(docs)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ship(spark)
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("line_dedup", line_spread),
+    ("simhash_near_dedup", near_duplicates),
+    ("source_mixing", source_mixing),
+    ("best_fit_packing", best_fit_packing),
+]
+
+#: Language filters, fingerprints and token ids have no SQL; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage. Every stage's rows are written to the shared folder and read by the next."""
+    scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = scratch.write(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
