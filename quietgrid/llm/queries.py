@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
-from . import embed_dedup, langid, line_dedup, mixing, mtree, packing, simhash, url_filter, warc_zip
+from . import embed_dedup, langid, line_dedup, mixing, mtree, packing, simhash, suffix_dedup, url_filter, warc_zip
 from .common import table
 
 
@@ -45,6 +45,10 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup(table(ship(spark), sf_dir, "documents"))
 
 
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_passages(table(ship(spark), sf_dir, "documents"))
+
+
 def op10_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_zip.round_trip(table(ship(spark), sf_dir, "pages"))
 
@@ -58,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_source_mixing": op6_source_mixing,
     "op7_language_id": op7_language_id,
     "op8_line_dedup": op8_line_dedup,
+    "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_warc_zip": op10_warc_zip,
 }
 
