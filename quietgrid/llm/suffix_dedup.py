@@ -27,6 +27,9 @@ MIN_WORDS, SEED_WORDS = 50, 20
 #: log2 of the Bloom filter's 64-bit words (16 MiB), and rows of a sorted partition.
 FILTER_LOG, ROWS = 21, 100_000
 
+#: Stands for a null id inside, so that batches with nulls don't turn ids into floating-point numbers.
+_NO_ID = -(1 << 63)
+
 _R, _B = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _CONTEXT = "seed long, key long, doc_id long, at int, before binary, after binary"
 _SPAN = "key long, doc_id long, start int, stop int, partner long"
@@ -116,10 +119,10 @@ def _pairs(keys: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return i[same], j[same]
 
 
-def _spans(rows: pd.DataFrame, seed: int, least: int, pairs: tuple[np.ndarray, np.ndarray] | None = None) -> pd.DataFrame:
+def _spans(rows: pd.DataFrame, seed: int, least: int) -> pd.DataFrame:
     """Spans of `least` words and more that rows share with their neighbours."""
     reach = least - seed
-    i, j = pairs or _pairs(rows["key"].to_numpy(), rows["seed"].to_numpy())
+    i, j = _pairs(rows["key"].to_numpy(), rows["seed"].to_numpy())
     before, after = (np.frombuffer(b"".join(rows[c]), np.uint32).reshape(len(rows), reach) for c in ("before", "after"))
     left, right = _common(before[i], before[j]), _common(after[i], after[j])
     long = left + right + seed >= least
@@ -137,7 +140,7 @@ def repeated_passages(docs: DataFrame, least: int = MIN_WORDS, seed: int = SEED_
     are documents of their own; a null id is carried as null and is never first. No rows give no rows.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "suffix")
-    source = docs.select(F.col(doc_id).cast("long"), F.col(text).cast("binary"))
+    source = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID)), F.col(text).cast("binary"))
     reach = least - seed
 
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,39 +201,29 @@ def repeated_passages(docs: DataFrame, least: int = MIN_WORDS, seed: int = SEED_
             if held:
                 own = pd.concat(held, ignore_index=True)
                 spans = _spans(own, seed, least)
-                yield spans.assign(part=TaskContext.get().partitionId(), seed=None, at=None, before=None, after=None, edge=0)
-                # the outermost rows, and the next of another document, meet those of the neighbouring partitions
-                keys = own["key"].to_numpy()
-                other = np.flatnonzero(keys != keys[0])[:1].tolist(), np.flatnonzero(keys != keys[-1])[-1:].tolist()
-                edges = own.iloc[[*other[1], len(own) - 1, 0, *other[0]]]
-                edges = edges.assign(edge=[2] * (len(other[1]) + 1) + [1] * (len(other[0]) + 1), part=TaskContext.get().partitionId())
-                yield edges.assign(start=None, stop=None, partner=None)
-
-        columns = "key long, doc_id long, start int, stop int, partner long, part int, seed long, at int, before binary, after binary, edge int"
+                yield spans.assign(part=None, place=None, seed=None, at=None, before=None, after=None, edge=0)
+                # the outermost rows of one document and seed, and the row beside them, meet those of other partitions
+                keys, seeds, n = own["key"].to_numpy(), own["seed"].to_numpy(), len(own)
+                ahead = np.flatnonzero((keys != keys[0]) | (seeds != seeds[0]))[:1]
+                back = np.flatnonzero((keys != keys[-1]) | (seeds != seeds[-1]))[-1:]
+                picked = np.unique(np.concatenate([np.arange((ahead[0] if len(ahead) else n - 1) + 1), np.arange(back[0] if len(back) else 0, n)]))
+                yield own.iloc[picked].assign(part=TaskContext.get().partitionId(), place=picked, edge=1, start=None, stop=None, partner=None)
+
+        columns = "key long, doc_id long, start int, stop int, partner long, part int, place int, seed long, at int, before binary, after binary, edge int"
         names = [c.split()[0] for c in columns.split(", ")]
         compared = scratch.write(ordered.mapInPandas(lambda batches, f=compare: (b[names] for b in f(batches)), columns), "compared")
 
         def seams(rows: pd.DataFrame) -> pd.DataFrame:
-            rows = rows.reset_index(drop=True)
-            ends = {p: g.index.to_numpy() for p, g in rows[rows["edge"] == 2].groupby("part")}
-            heads = {p: g.index.to_numpy() for p, g in rows[rows["edge"] == 1].groupby("part")}
-            order, i, j = sorted(heads), [], []
-            for p, q in zip(order, order[1:], strict=False):
-                for a in ends[p]:
-                    for b in heads[q]:
-                        if rows.at[a, "key"] != rows.at[b, "key"] and rows.at[a, "seed"] == rows.at[b, "seed"]:
-                            i += [a, b]
-                            j += [b, a]
-            return _spans(rows, seed, least, (np.array(i, np.int64), np.array(j, np.int64)))
-
-        # a few rows for each partition
+            return _spans(rows.sort_values(["part", "place"], ignore_index=True), seed, least)
+
+        # few rows for each partition: of the documents at its two ends
         joints = compared.where("edge > 0").withColumn("_all", F.col("edge") * 0).groupBy("_all").applyInPandas(seams, _SPAN)
         own = compared.where("edge = 0").select("key", "doc_id", "start", "stop", "partner").unionByName(joints)
         found = own if found is None else found.unionByName(own)
     order = Window.partitionBy("key").orderBy("start", "stop")
     reached = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    spans = found.groupBy("key", "start", "stop").agg(F.first("doc_id").alias("doc_id"), F.min("partner").alias("partner"))
+    spans = found.groupBy("key", "start", "stop").agg(F.first("doc_id").alias("doc_id"), F.min(F.nullif("partner", F.lit(_NO_ID))).alias("partner"))
     begins = (reached.isNull() | (F.col("start") > reached)).cast("int")
     spans = spans.withColumn("_new", begins).withColumn("_span", F.sum("_new").over(order))
-    merged = spans.groupBy("key", "_span").agg(F.first("doc_id").alias("doc_id"), F.min("start").alias("start_word"), F.max("stop").alias("end_word"), F.min("partner").alias("partner_id"))
+    merged = spans.groupBy("key", "_span").agg(F.nullif(F.first("doc_id"), F.lit(_NO_ID)).alias("doc_id"), F.min("start").alias("start_word"), F.max("stop").alias("end_word"), F.min("partner").alias("partner_id"))
     return merged.select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "partner_id", F.coalesce(F.col("doc_id") < F.col("partner_id"), F.lit(False)).alias("first"))
