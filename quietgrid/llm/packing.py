@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 CAPACITY, END_ID = 2048, 0
-#: Words that a worker keeps encoded (as many letter runs again), the longest such word in bytes, and the misses after which it starts afresh.
-CACHED, CACHED_BYTES, MISSES = 150_000, 48, 4_000_000
+#: Words that a worker keeps encoded (as many letter runs again, and some of what follows them), the longest such word in
+#: bytes, the misses after which it starts afresh, and the bytes of text encoded at once.
+CACHED, CACHED_TAILS, CACHED_BYTES, MISSES, CHUNK_BYTES = 200_000, 10_000, 48, 4_000_000, 1 << 20
 _MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 _PIECES = "part int, doc_id long, piece int, start long, length int, ids_crc32 long, nth long"
@@ -34,81 +35,87 @@ _PIECES = "part int, doc_id long, piece int, start long, length int, ids_crc32 l
 class _Words:
     """Encodes words and keeps the common ones: those seen first, until too many others were met.
 
-    Most words are letters and then punctuation, which the tokenizer splits there. Letter runs that aren't known yet go
-    to it in one call, parted by spaces; each ends with the one token that ends a word.
+    Most words are letters and then punctuation, and the tokenizer splits them there.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.runs, self.misses = Tokenizer.from_file(path), {}, {}, 0
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+        self.tokenizer, self.known, self.runs, self.tails, self.misses = Tokenizer.from_file(path), {}, {}, {}, 0
+        self.model = self.tokenizer.model
+        self.bytes = [i.to_bytes(4, "little") for i in range(max(self.tokenizer.get_vocab(with_added_tokens=True).values()) + 1)]
 
     def _one(self, word: bytes) -> bytes:
-        return self._ids(word.decode("utf-8", "replace")).tobytes()
-
-    def _many(self, runs: list[bytes]) -> dict[bytes, bytes]:
-        ids = self._ids(b" ".join(runs).decode("utf-8", "replace"))
-        ends = (np.flatnonzero(self.ends[ids]) * 4 + 4).tolist()
-        if len(ends) != len(runs) or not ends or ends[-1] != 4 * len(ids):  # a letter whose lower case isn't one letter
-            return {r: self._one(r) for r in runs}
-        raw = ids.tobytes()
-        return {r: raw[a:b] for r, a, b in zip(runs, [0, *ends[:-1]], ends, strict=True)}
-
-    def encode(self, words: list[bytes]) -> dict[bytes, bytes]:
-        out, split, new = {}, [], {}
+        return np.array(self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _run(self, run: bytes) -> bytes | None:
+        """The ids of a run of lower-case letters; None if it isn't one, or if the normaliser changes it."""
+        if run.isalpha():  # ASCII letters stand for their own bytes, so the model takes them as they are
+            return b"".join([self.bytes[x.id] for x in self.model.tokenize(run.decode())])
+        if not run.isascii() and unicodedata.normalize("NFC", run.decode("utf-8", "replace")).lower().isalpha():
+            return self._one(run)
+        return None
+
+    def _new(self, words: set[bytes]) -> dict[bytes, bytes]:
+        out, new, runs, tails = {}, {}, self.runs, self.tails
         for word in words:
             run = word.lower().rstrip(_MARKS)
-            if run.isalpha() or not run.isascii() and unicodedata.normalize("NFC", run.decode("utf-8", "replace")).lower().isalpha():
-                split.append((word, run))
-                if run not in self.runs:
-                    new[run] = None
-            else:
-                out[word] = self._one(word)
-        if new:
-            new = self._many(list(new))
-        for word, run in split:
-            ids, tail = new[run] if run in new else self.runs[run], word[len(run) :]
-            if tail:
-                if tail not in self.known:
-                    self.known[tail] = self._one(tail)
-                ids += self.known[tail]
+            ids = runs.get(run) or new.get(run)
+            if ids is None:
+                if (ids := self._run(run)) is None:
+                    out[word] = self._one(word)
+                    continue
+                new[run] = ids
+            if len(run) != len(word):
+                tail = word[len(run) :]
+                if tail not in tails:
+                    if len(tails) >= CACHED_TAILS:
+                        tails.clear()
+                    tails[tail] = self._one(tail)
+                ids += tails[tail]
             out[word] = ids
-        self.misses += len(words)
+        if len(runs) < CACHED:
+            runs.update((w, x) for w, x in new.items() if len(w) <= CACHED_BYTES)
+        return out
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Token ids of UTF-8 texts as little-endian unsigned 32-bit integers, without special tokens."""
         if self.misses > MISSES:
             self.known.clear()
             self.runs.clear()
             self.misses = 0
-        if len(self.known) < CACHED:
-            self.known.update((w, x) for w, x in out.items() if len(w) <= CACHED_BYTES)
-        if len(self.runs) < CACHED:
-            self.runs.update((w, x) for w, x in new.items() if len(w) <= CACHED_BYTES)
+        split, known = [t.split() for t in texts], self.known
+        missing = set().union(*split).difference(known)
+        new, full = self._new(missing) if missing else {}, len(known) >= CACHED
+        known.update(new)
+        out = [b"".join(map(known.__getitem__, words)) for words in split]
+        for word in new if full else [w for w in new if len(w) > CACHED_BYTES]:
+            del known[word]
+        self.misses += len(missing)
         return out
 
 
 _words = cache(_Words)
 
 
-def encode(text: bytes, path: str) -> bytes:
-    """Token ids of a UTF-8 text as little-endian unsigned 32-bit integers, without special tokens.
+def encode(texts: list[bytes], path: str) -> list[bytes]:
+    """Token ids of each text. The tokenizer never joins what ASCII white space separates, so words are encoded apart."""
+    return _words(path).encode(texts)
 
-    The tokenizer never joins what ASCII white space separates, so words are encoded apart and the common ones kept.
-    """
-    coder, words = _words(path), text.split()
-    known = coder.known
-    distinct = set(words)
-    missing = distinct.difference(known)
-    if not missing:
-        return b"".join(map(known.__getitem__, words))
-    found = {w: known[w] for w in distinct.difference(missing)}
-    found |= coder.encode(list(missing))  # after which known may hold other words
-    return b"".join(map(found.__getitem__, words))
+
+def _chunks(rows: Iterator[tuple], most: int = CHUNK_BYTES) -> Iterator[tuple[list, list[bytes]]]:
+    """(keys, texts) of rows, of `most` bytes of text or one row."""
+    keys, texts, size = [], [], 0
+    for key, body in rows:
+        if texts and size + len(body) > most:
+            yield keys, texts
+            keys, texts, size = [], [], 0
+        keys.append(key)
+        texts.append(body)
+        size += len(body)
+    if texts:
+        yield keys, texts
 
 
 def cut(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -120,9 +127,10 @@ def cut(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, doc_id: str =
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             rows: list[list] = [[] for _ in schema]
-            for key, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encode(body.as_py() or b"", tokenizer) + end
-                view = memoryview(ids)
+            texts = ((key, body.as_py() or b"") for key, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True))
+            coded = (pair for keys, bodies in _chunks(texts) for pair in zip(keys, encode(bodies, tokenizer), strict=True))
+            for key, ids in coded:
+                view = memoryview(ids := ids + end)
                 for n, start in enumerate(range(0, len(ids) // 4, capacity)):
                     own = view[start * 4 : (start + capacity) * 4]
                     length = len(own) // 4
