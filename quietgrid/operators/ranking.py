@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,7 +20,9 @@ def totals_below(distinct: DataFrame, keys: list[str], value: str, sums: list[st
     by = [F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)] or [F.lit(0).alias("_key0")]
     names = [f"_key{i}" for i in range(len(by))]
     rows = distinct.select("*", *by)
-    cuts = rows.groupBy(*names).agg(F.percentile_approx(value, [i / buckets for i in range(1, buckets)], 1000).alias("_cuts"))
+    # all columns are used here, so that this reads the same shuffled rows as the joins below
+    known = reduce(lambda a, b: a & b, (F.col(s).isNotNull() for s in sums))
+    cuts = rows.groupBy(*names).agg(F.percentile_approx(F.when(known, F.col(value)), [i / buckets for i in range(1, buckets)], 1000).alias("_cuts"))
     rows = rows.join(cuts, names).withColumn("_bucket", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
     whole = rows.groupBy(*names, "_bucket").agg(*(F.sum(s).alias(f"_{s}") for s in sums))
     earlier = Window.partitionBy(*names).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)

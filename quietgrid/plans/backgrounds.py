@@ -11,7 +11,7 @@ from ..operators import mixture as X
 from ..operators import temporal as T
 from .bindings import FRAMES, VECTORS, frames, rounded, table, vectors
 from .evidence import auc_sql
-from .registry import query
+from .register import query
 
 
 def _inverse(p: str, aa: str, ab: str, bb: str) -> str:

@@ -10,7 +10,7 @@ from ..operators import calibrate as C
 from ..operators import metrics as M
 from ..operators import temporal as T
 from .bindings import FRAMES, frames, rounded
-from .registry import query
+from .register import query
 from .series import GAIN
 
 #: Three channels of a frame: its value, a property of the event, the distance of its value from the mean of ln(1 + value).
@@ -79,21 +79,16 @@ def equal_error_rate(spark, sf_dir):
 
 
 def _protocols(df):
-    """video, t, y, protocol, s: a fused score under each temporal filter."""
+    """video, t, y, protocol, s: a fused score under each temporal filter. All filters share one sort by video and time."""
     by = (["video"], "t", "fused")
-    each = {
-        "raw": df.withColumn("s", F.col("fused")),
-        "centred-median": T.centred_median(df, *by, "s"),
-        "causal-median": T.causal_median_padded(df, *by, "s"),
-        "causal-kalman": T.causal_kalman(df, *by, "s", GAIN),
-        "fixed-lag-kalman": T.fixed_lag_kalman(df, *by, "s", GAIN),
-        "min-max-gaussian": T.gaussian(T.min_max(df, ["video"], "fused", "m"), ["video"], "t", "m", "s"),
-    }
-    out = None
-    for name, rows in each.items():
-        own = rows.select("video", "t", "y", F.lit(name).alias("protocol"), F.round("s", 9).alias("s"))
-        out = own if out is None else out.unionByName(own)
-    return out
+    df = T.centred_median(df, *by, "centred-median")
+    df = T.causal_median_padded(df, *by, "causal-median")
+    df = T.causal_kalman(df, *by, "causal-kalman", GAIN)
+    df = T.fixed_lag_kalman(df, *by, "fixed-lag-kalman", GAIN)
+    df = T.gaussian(T.min_max(df, ["video"], "fused", "_unit"), ["video"], "t", "_unit", "min-max-gaussian")
+    names = {"raw": "fused"} | {n: n for n in ("centred-median", "causal-median", "causal-kalman", "fixed-lag-kalman", "min-max-gaussian")}
+    each = F.explode(F.array(*(F.struct(F.lit(n).alias("protocol"), F.round(F.col(f"`{c}`"), 9).alias("s")) for n, c in names.items())))
+    return df.select("video", "t", "y", each.alias("p")).select("video", "t", "y", "p.protocol", "p.s")
 
 
 _P = f"""fz AS (SELECT event_id, video, t, y, sum(evidence) AS f FROM ev GROUP BY 1, 2, 3, 4),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import grid as G
 from .bindings import HEIGHT, MAPS, WIDTH, maps, rounded
-from .registry import query
+from .register import query
 
 _F = ["frame"]
 

@@ -1,36 +1,8 @@
 """Named queries over the driver's tables, each with SQL text that another engine can run where SQL can say it."""
 
-from __future__ import annotations
+from . import backgrounds, evidence, grids, motions, series, tables  # noqa: F401  they register their queries
+from .register import ORACLE_SQL, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
 FLAGSHIP = "alarm_scores"
 
-
-def query(sql: str | None = None) -> Callable:
-    """Registers a function under its own name."""
-
-    def keep(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        from ..session import ship
-
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return f(ship(spark), sf_dir)
-
-        QUERIES[f.__name__] = run
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return run
-
-    return keep
-
-
-def load() -> None:
-    """Imports the modules that register queries."""
-    from . import backgrounds, evidence, grids, series, tables  # noqa: F401
-
-
-load()
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]

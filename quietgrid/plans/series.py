@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import temporal as T
 from .bindings import FRAMES, frames, rounded
-from .registry import query
+from .register import query
 
 _KEYS = ["video"]
 GAIN = T.steady_gain(0.05)

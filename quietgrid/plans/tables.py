@@ -10,7 +10,7 @@ from ..operators import relational as R
 from ..operators import sampling as S
 from ..sources.frames import decimate, frame_labels, label_ranges
 from .bindings import FRAMES, frames, rounded, table
-from .registry import query
+from .register import query
 
 
 @query("SELECT l_orderkey, l_linenumber, round(l_quantity / 127.5::DOUBLE - 1, 6) AS u FROM lineitem")
