@@ -25,12 +25,28 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Folders that this process has written and not released.
+_ROOTS: set[str] = set()
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes all scratch tables of this process. Results of operators read them, so those must have been written before."""
+    while _ROOTS:
+        _delete(spark, _ROOTS.pop())
+
+
 class Scratch:
-    """Tables written to the shared folder. They cut lineage and outlive the executor that wrote them."""
+    """Tables written to the shared folder. They cut lineage and outlive the executor that wrote them; release() deletes them."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.n = spark, 0
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        _ROOTS.add(self.root)
 
     def path(self, name: str = "t") -> str:
         self.n += 1
@@ -44,9 +60,7 @@ class Scratch:
 
     def drop(self, df: DataFrame) -> None:
         """Deletes a table that write() returned; nothing lazy may still read it."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df.scratch_path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(self.spark, df.scratch_path)
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:

@@ -1,7 +1,7 @@
 """Near-dedup of embeddings: spherical k-means cells, and blocked cosine products within them.
 
 Vectors are compared only within a label (and dimension). Equal vectors are one row with a count. Centroids are fitted per
-label on a bounded sample; every vector is assigned. A pair whose cosine reaches the threshold can be cut by the border of
+label on a bounded sample; every vector is assigned. Cells that stay large get centroids of their own. A pair whose cosine reaches the threshold can be cut by the border of
 two cells only if one of the two lies within half their chord of it, so vectors that near also visit the cell beyond, and
 no pair is lost. A pair that meets in several cells counts in the first. Cells are cut into blocks of bounded size, a task
 takes the product of two blocks and sums up links, so neither a hot cell nor a group of copies is gathered or listed as pairs.
@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, components
@@ -21,31 +21,41 @@ from .common import Scratch, components
 COSINE = 0.93
 #: Rows that k-means is fitted on, vectors it aims at in a cell, cells in all, rounds.
 SAMPLE, CELL, CELLS, ROUNDS = 16_384, 1024, 4096, 8
+#: Times a cell's aim beyond which it is cut again, cells it is cut into at most, rows that those are fitted on.
+LARGE, SUBCELLS, SUBSAMPLE = 8, 256, 8192
 #: Vectors in a block.
 BLOCK = 2048
 
+#: A cell's number is that of its first cut, shifted by so many bits, and that of its second one.
+_SHIFT = 20
+
 
 def _usable(v: str) -> str:
     return f"{v} is not null and forall({v}, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists({v}, x -> x <> 0)"
 
 
-def fit_cells(sample: pd.DataFrame, sizes: dict[tuple[int, int], int], cell: int = CELL, cells: int = CELLS, rounds: int = ROUNDS, seed: int = 0) -> dict[tuple[int, int], np.ndarray]:
-    """Unit centroids by (label, dim), for groups of over one cell; a group has its share of the cells at most."""
+def _unit(vecs) -> np.ndarray:
+    rows = np.array([np.asarray(v, np.float64) for v in vecs], np.float64)
+    return rows / np.linalg.norm(rows, axis=1, keepdims=True)
+
+
+def spherical_k_means(rows: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = 0) -> np.ndarray:
+    """Unit centroids, k at most, of unit rows."""
+    centers = rows[np.random.default_rng(seed).choice(len(rows), min(k, len(rows)), replace=False)]
+    for _ in range(rounds):
+        sums = np.zeros_like(centers)
+        np.add.at(sums, (rows @ centers.T).argmax(1), rows)
+        norm = np.linalg.norm(sums, axis=1, keepdims=True)
+        centers = np.where(norm > 0, sums / np.where(norm > 0, norm, 1), centers)
+    return np.unique(centers, axis=0)
+
+
+def fit_cells(sample: pd.DataFrame, sizes: dict[tuple[int, int], int], cell: int = CELL, cells: int = CELLS) -> dict[tuple[int, int], np.ndarray]:
+    """Centroids by (label, dim), for groups of over one cell; a group has its share of the cells at most."""
     total, out = sum(sizes.values()), {}
     for key, own in sample.groupby(["label", "dim"]):
-        k = min(-(-sizes[key] // cell), max(1, cells * sizes[key] // total), len(own))
-        if k < 2:
-            continue
-        rows = np.array(own["vec"].tolist(), np.float64)
-        rows /= np.linalg.norm(rows, axis=1, keepdims=True)
-        centers = rows[np.random.default_rng(seed).choice(len(rows), k, replace=False)]
-        for _ in range(rounds):
-            home = (rows @ centers.T).argmax(1)
-            sums = np.zeros_like(centers)
-            np.add.at(sums, home, rows)
-            norm = np.linalg.norm(sums, axis=1, keepdims=True)
-            centers = np.where(norm > 0, sums / np.where(norm > 0, norm, 1), centers)
-        out[key] = np.unique(centers, axis=0)
+        if (k := min(-(-sizes[key] // cell), max(1, cells * sizes[key] // total), len(own))) > 1:
+            out[key] = spherical_k_means(_unit(own["vec"]), k)
     return out
 
 
@@ -78,8 +88,7 @@ def _links(tile: pd.DataFrame, cosine: float) -> pd.DataFrame:
     nothing = pd.DataFrame({"rep": pd.Series(dtype="int64"), "links": pd.Series(dtype="int64"), "root": pd.Series(dtype="int64")})
     if not len(left) or not len(right):
         return nothing
-    unit = [np.array(x["vec"].tolist(), np.float64) for x in (left, right)]
-    unit = [u / np.linalg.norm(u, axis=1, keepdims=True) for u in unit]
+    unit = [_unit(x["vec"]) for x in (left, right)]
     a, b = np.nonzero(unit[0] @ unit[1].T >= cosine)
     if i == j:
         a, b = a[a < b], b[a < b]
@@ -105,6 +114,43 @@ def _links(tile: pd.DataFrame, cosine: float) -> pd.DataFrame:
     return pd.DataFrame({"rep": reps, "links": links, "root": root})[links > 0]
 
 
+def _cut_large(placed: DataFrame, scratch: Scratch, cosine: float, cell: int) -> DataFrame:
+    """placed, with cells of over LARGE times their aim cut by centroids fitted in tasks on a bounded sample of each.
+
+    A pair that met in the cell meets in a part of it, by the same rule of visits. Rows of a large cell are dealt to tasks
+    by salt, each with a copy of its centroids.
+    """
+    where = ["label", "dim", "cell"]
+    kind = placed.schema["label"].dataType.simpleString()
+    inside = placed.select("rep", "label", "dim", "vec", F.explode("cells").alias("cell"))
+    large = scratch.write(inside.groupBy(*where).count().where(F.col("count") > LARGE * cell).withColumn("salts", F.ceil(F.col("count") / 16_384)), "large")
+    if large.isEmpty():
+        return placed
+    rows = inside.join(large, where)
+    turn = F.row_number().over(Window.partitionBy(*where).orderBy(F.xxhash64("vec"), "rep"))
+
+    def fit(own: pd.DataFrame) -> pd.DataFrame:
+        centers = spherical_k_means(_unit(own["vec"]), int(min(SUBCELLS, -(-own["count"].iloc[0] // cell))))
+        return pd.DataFrame({c: [own[c].iloc[0]] for c in [*where, "salts"]} | {"centers": [centers.ravel()]})
+
+    fitted = rows.withColumn("turn", turn).where(F.col("turn") <= SUBSAMPLE).drop("turn").groupBy(*where).applyInPandas(fit, f"label {kind}, dim int, cell long, salts long, centers array<double>")
+    copies = fitted.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).select(*(F.col(c).alias(f"_{c}") for c in [*where, "salt"]), "centers")
+
+    def assign(own: pd.DataFrame, centers: pd.DataFrame) -> pd.DataFrame:
+        if not len(own):
+            return pd.DataFrame({"rep": [], "part": []}).astype("int64")
+        at = np.asarray(centers["centers"].iloc[0], np.float64).reshape(-1, int(own["dim"].iloc[0]))
+        i, part = np.nonzero(visits(_unit(own["vec"]), at, cosine))
+        return pd.DataFrame({"rep": own["rep"].to_numpy()[i], "part": own["cell"].to_numpy()[i] + part + 1})
+
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("salts")))
+    parts = salted.groupBy(*where, "salt").cogroup(copies.groupBy("_label", "_dim", "_cell", "_salt")).applyInPandas(assign, "rep long, part long")
+    kept = inside.join(large.select(*where), where, "left_anti").select("rep", F.col("cell").alias("part"))
+    # a vector's cells: a bounded list for each, as it visits few
+    lists = parts.unionByName(kept).groupBy("rep").agg(F.array_sort(F.collect_set("part")).alias("cells"))
+    return scratch.write(placed.drop("cells").join(lists, "rep"), "parts")
+
+
 def near_duplicates(
     vectors: DataFrame, cosine: float = COSINE, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", sample: int = SAMPLE, cell: int = CELL, cells: int = CELLS, block: int = BLOCK
 ) -> DataFrame:
@@ -137,12 +183,11 @@ def near_duplicates(
                 if at is None:
                     yield own.assign(cells=[[0]] * len(own))
                     continue
-                unit = np.array(own["vec"].tolist(), np.float64)
-                unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-                yield own.assign(cells=[np.nonzero(v)[0].tolist() for v in visits(unit, at, cosine)])
+                yield own.assign(cells=[(np.nonzero(v)[0] << _SHIFT).tolist() for v in visits(_unit(own["vec"]), at, cosine)])
 
     kind = reps.schema["label"].dataType.simpleString()
-    placed = scratch.write(reps.select("rep", "label", "dim", "vec", "n").mapInPandas(assign, f"rep long, label {kind}, dim int, vec array<double>, n long, cells array<int>"), "assigned")
+    placed = scratch.write(reps.select("rep", "label", "dim", "vec", "n").mapInPandas(assign, f"rep long, label {kind}, dim int, vec array<double>, n long, cells array<long>"), "assigned")
+    placed = _cut_large(placed, scratch, cosine, cell)
     inside = placed.withColumn("cell", F.explode("cells"))
     blocks = scratch.write(inside.groupBy("label", "dim", "cell").count().where("count > 1").withColumn("blocks", F.ceil(F.col("count") / block).cast("int")).drop("count"), "blocks")
     dealt = inside.join(blocks, ["label", "dim", "cell"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))

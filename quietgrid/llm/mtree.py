@@ -166,7 +166,10 @@ def top_k(vectors: DataFrame, every: int = 100, k: int = K, scale: int = SCALE,
 
     placed = scratch.write(kept.mapInPandas(nearest, "vec_id long, vec array<long>, dim int, pivot long, away double"), "placed")
     around = scratch.write(placed.groupBy("dim", "pivot").agg(F.max("away").alias("radius"), F.ceil(F.count("*") / shard).alias("parts")), "pivots")
-    radii = {(r["dim"], r["pivot"]): (r["radius"], r["parts"]) for r in around.collect()}  # one row for each pivot
+    radius = {d: np.zeros(len(v)) for d, v in picked.items()}
+    parts = {d: np.zeros(len(v), np.int64) for d, v in picked.items()}
+    for r in around.collect():  # one row for each pivot
+        radius[r["dim"]][r["pivot"]], parts[r["dim"]][r["pivot"]] = r["radius"], r["parts"]
     dealt = placed.join(around.select("dim", "pivot", "parts"), ["dim", "pivot"]).withColumn("shard", F.col("pivot") * F.lit(1 << 32) + F.pmod(F.xxhash64("vec_id"), F.col("parts")))
 
     def plant(own: pd.DataFrame) -> pd.DataFrame:
@@ -187,13 +190,21 @@ def top_k(vectors: DataFrame, every: int = 100, k: int = K, scale: int = SCALE,
                     at, top = shared.value[dim]
                     matrix = _matrix(own["vec"], dim)
                     away, total = _away(_points(matrix, None), at), (matrix**2).sum(1) + top
-                    near = away.argmin(1)
-                    for q, (_, row) in enumerate(own.iterrows()):
-                        for p in [near[q]] if home else [p for p in range(len(at)) if p != near[q]]:
-                            radius, parts = radii.get((dim, int(p)), (0.0, 0))
-                            low = max(0.0, away[q, p] - radius)
-                            if home or pd.isna(row["least"]) or total[q] - low * low + 1e-9 * total[q] + 1e-3 >= 2 * row["least"]:
-                                yield pd.DataFrame({"dim": dim, "shard": [int(p) * (1 << 32) + s for s in range(int(parts))], "block": row["block"], "query_id": row["query_id"], "vec": [row["vec"]] * int(parts), "least": row["least"]})
+                    near, asks = away.argmin(1), np.zeros(away.shape, bool)
+                    if home:
+                        asks[np.arange(len(own)), near] = True
+                    else:
+                        low = np.maximum(away - radius[dim], 0)
+                        least = own["least"].to_numpy(np.float64)[:, None]
+                        # a shard is left out only if nothing in it can reach the score that k others have
+                        asks = np.isnan(least) | ((total * (1 + 1e-9))[:, None] - low * low + 1e-3 >= 2 * least)
+                        asks[np.arange(len(own)), near] = False
+                    q, p = np.nonzero(asks)
+                    n = parts[dim][p]
+                    q, first = np.repeat(q, n), np.repeat(p.astype(np.int64) << 32, n)
+                    sub = np.arange(len(q)) - np.repeat(np.cumsum(n) - n, n)
+                    rows_asked = own.iloc[q]
+                    yield pd.DataFrame({"dim": dim, "shard": first + sub, "block": rows_asked["block"].to_numpy(), "query_id": rows_asked["query_id"].to_numpy(), "vec": rows_asked["vec"].array, "least": rows_asked["least"].to_numpy()})
 
         return task
 
