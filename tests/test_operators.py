@@ -223,3 +223,20 @@ def test_sources(spark, tmp_path):
     res = S.read_results(spark, str(root / "run" / "*" / "results.json"))
     assert res.first().asDict() == {"run": "run", "detector": "rem", "post": "raw", "auc": 0.5, "eer": 0.4}
     assert "0.5" in sinks.markdown(sinks.pivot_table(res, "detector", "post", "auc"))
+
+
+def test_linear_reconstruction(spark):
+    from quietgrid.operators.reconstruct import LinearReconstructor, overlap_residual
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(50, 2)) @ rng.normal(size=(2, 4)) + rng.normal(scale=0.1, size=(50, 4))
+    df = vectors(spark, x, np.zeros(50))
+    m = LinearReconstructor(2).fit(df, "f", 4)
+    centred = x - x.mean(0)
+    axes = np.linalg.svd(centred, full_matrices=False)[2][:2]
+    want = centred - centred @ axes.T @ axes
+    got = np.array([r["r"] for r in m.residuals(df, "f", "r").orderBy("i").collect()])
+    np.testing.assert_allclose(got, want, atol=1e-9)
+    patches = spark.createDataFrame([("f", 0, 0, [1.0, 2.0, 3.0, 4.0]), ("f", 0, 1, [5.0, 6.0, 7.0, 8.0])], "frame string, py int, px int, r array<double>")
+    rows = {(r["y"], r["x"]): r["r"] for r in overlap_residual(patches, "r", ["frame"], 2, 2, 2).collect()}
+    assert rows == {(0, 0): 1.0, (0, 1): 3.5, (1, 0): 3.0, (1, 1): 5.5}
