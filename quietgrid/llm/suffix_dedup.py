@@ -1,9 +1,10 @@
 """Repeated passages by sparse suffix arrays.
 
 Suffixes (of words) are kept only where content selects them: a position whose 20-word hash is the least of a window of 31.
-Documents that share a run of 50 words share such a position in it. Suffixes that share those 20 words are sorted by what
-follows and again by what precedes; neighbours are compared and extended left and right. A run reaches no further than 30
-words beyond its outermost kept positions, so 30 words on either side of each tell its whole extent.
+Documents that share a run of 50 words share such a position in it. Suffixes are sorted; neighbours that share those 20
+words are compared and extended left and right. A run reaches no further than 30 words beyond its outermost kept positions,
+so 30 words on either side of each tell its whole extent. A suffix's longest match need not stand beside it if it is long on
+the left; an exact check follows, which looks up each window of 50 words around a kept position that no neighbour had.
 
 Two passes read the texts. The first counts the 20-word hashes; those that occur once can't repeat. The second keeps the
 words around the others. Between them goes a Bloom filter of fixed size, whose false positives cost time but change nothing.
@@ -32,7 +33,9 @@ _NO_ID = -(1 << 63)
 
 _R, _B = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _CONTEXT = "seed long, key long, doc_id long, at int, before binary, after binary"
-_SPAN = "key long, doc_id long, start int, stop int, partner long"
+_SPAN = "key long, doc_id long, start int, stop int, partner long, window long, kind int"
+#: Kinds of rows: a span; a window that another document of the partition has; one that none there has, of a seed at its edge.
+_FOUND, _OFFERED, _WANTED = 0, 1, 2
 
 
 @cache
@@ -119,23 +122,62 @@ def _pairs(keys: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return i[same], j[same]
 
 
-def _spans(rows: pd.DataFrame, seed: int, least: int) -> pd.DataFrame:
-    """Spans of `least` words and more that rows share with their neighbours."""
-    reach = least - seed
-    i, j = _pairs(rows["key"].to_numpy(), rows["seed"].to_numpy())
-    before, after = (np.frombuffer(b"".join(rows[c]), np.uint32).reshape(len(rows), reach) for c in ("before", "after"))
+def _windows(seeds: np.ndarray, before: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, whether all words are there) of the windows around each row that have 0, 1, ... reach words before its seed."""
+    reach = before.shape[1]
+    sums = []
+    for side, base in ((before, _R), (after, _B)):
+        h = np.zeros((len(side), reach + 1), np.uint64)
+        for k in range(reach):
+            h[:, k + 1] = _mixed(h[:, k] * np.uint64(base) + side[:, k].astype(np.uint64))
+        sums.append(h)
+    there = [np.concatenate([np.ones((len(x), 1), bool), x != 0], 1) for x in (before, after)]
+    return _mixed(seeds.view(np.uint64)[:, None] + sums[0] * np.uint64(_B) + sums[1][:, ::-1] * np.uint64(_R)), there[0] & there[1][:, ::-1]
+
+
+def _compared(rows: pd.DataFrame, seed: int, least: int) -> pd.DataFrame:
+    """Of a partition's sorted rows: spans of `least` words and more that other documents have, as _SPAN."""
+    reach, n = least - seed, len(rows)
+    keys, seeds, at, docs = (rows[c].to_numpy() for c in ("key", "seed", "at", "doc_id"))
+    before, after = (np.frombuffer(b"".join(rows[c]), np.uint32).reshape(n, reach) for c in ("before", "after"))
+    i, j = _pairs(keys, seeds)
     left, right = _common(before[i], before[j]), _common(after[i], after[j])
-    long = left + right + seed >= least
+    long = left + right >= reach
     i, j, left, right = i[long], j[long], left[long], right[long]
-    at, docs = rows["at"].to_numpy()[i], rows["doc_id"].array
-    return pd.DataFrame({"key": rows["key"].to_numpy()[i], "doc_id": docs[i], "start": (at - left).astype(np.int32), "stop": (at + seed + right).astype(np.int32), "partner": docs[j]})
+    out = [pd.DataFrame({"key": keys[i], "doc_id": docs[i], "start": at[i] - left, "stop": at[i] + seed + right, "partner": docs[j], "window": 0, "kind": _FOUND})]
+    # windows with 0 to reach words before the seed: which of them a neighbour has shown, which others any row has
+    shown = np.zeros((n, reach + 2), np.int32)
+    np.add.at(shown, (i, reach - right), 1)
+    np.add.at(shown, (i, left + 1), -1)
+    hashes, there = _windows(seeds, before, after)
+    row, ahead = np.nonzero(there)
+    order = np.argsort(hashes[row, ahead], kind="stable")
+    row, ahead = row[order], ahead[order]
+    window = hashes[row, ahead]
+    first = np.flatnonzero(np.concatenate([[True], window[1:] != window[:-1]])) if len(window) else np.zeros(0, np.int64)
+    group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(window))))
+    if len(first):
+        by_key = np.lexsort((keys[row], group))
+        low, high = row[by_key[first]], row[by_key[np.append(first[1:], len(window)) - 1]]
+        shared = keys[low] != keys[high]
+        new = shared[group] & (shown.cumsum(1)[row, ahead] == 0)
+        r, a, g = row[new], ahead[new], group[new]
+        partner = np.where(keys[low[g]] == keys[r], docs[high[g]], docs[low[g]])
+        out.append(pd.DataFrame({"key": keys[r], "doc_id": docs[r], "start": at[r] - a, "stop": at[r] - a + least, "partner": partner, "window": 0, "kind": _FOUND}))
+        # seeds at the partition's ends go on in others: what is shared here is offered once, what isn't is wanted
+        edge = (seeds[row] == seeds[0]) | (seeds[row] == seeds[-1])
+        offered, wanted = first[shared & edge[first]], np.flatnonzero(edge & ~shared[group])
+        for kind, x in ((_OFFERED, offered), (_WANTED, wanted)):
+            r = row[x]
+            out.append(pd.DataFrame({"key": keys[r], "doc_id": docs[r], "start": at[r] - ahead[x], "stop": at[r] - ahead[x] + least, "partner": _NO_ID, "window": window[x].view(np.int64), "kind": kind}))
+    return pd.concat(out, ignore_index=True)
 
 
 def repeated_passages(docs: DataFrame, least: int = MIN_WORDS, seed: int = SEED_WORDS, doc_id: str = "doc_id", text: str = "text", rows: int = ROWS, filter_log: int = FILTER_LOG) -> DataFrame:
     """A row per repeated span: doc_id, start_word, end_word, n_words, partner_id, first.
 
     A span is a longest run of words (A-Z in lower case, split at ASCII white space) made up of passages of `least` words or
-    more that another document has too. partner_id is the least id among the documents it was compared with, first tells
+    more that another document has too. partner_id is the least id among the documents it was found equal to, first tells
     whether the span's own document has a smaller one. Null, empty and shorter texts have no spans. Rows that share an id
     are documents of their own; a null id is carried as null and is never first. No rows give no rows.
     """
@@ -191,35 +233,21 @@ def repeated_passages(docs: DataFrame, least: int = MIN_WORDS, seed: int = SEED_
 
     suffixes = scratch.write(source.mapInArrow(contexts, _CONTEXT), "suffixes")
     parts = max(1, -(-suffixes.count() // rows), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    found = None
-    for order in (["seed", "after", "before", "key", "at"], ["seed", "before", "after", "key", "at"]):
-        # ranges split a seed that very many documents share
-        ordered = suffixes.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-
-        def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            held = [b for b in batches if len(b)]
-            if held:
-                own = pd.concat(held, ignore_index=True)
-                spans = _spans(own, seed, least)
-                yield spans.assign(part=None, place=None, seed=None, at=None, before=None, after=None, edge=0)
-                # the outermost rows of one document and seed, and the row beside them, meet those of other partitions
-                keys, seeds, n = own["key"].to_numpy(), own["seed"].to_numpy(), len(own)
-                ahead = np.flatnonzero((keys != keys[0]) | (seeds != seeds[0]))[:1]
-                back = np.flatnonzero((keys != keys[-1]) | (seeds != seeds[-1]))[-1:]
-                picked = np.unique(np.concatenate([np.arange((ahead[0] if len(ahead) else n - 1) + 1), np.arange(back[0] if len(back) else 0, n)]))
-                yield own.iloc[picked].assign(part=TaskContext.get().partitionId(), place=picked, edge=1, start=None, stop=None, partner=None)
-
-        columns = "key long, doc_id long, start int, stop int, partner long, part int, place int, seed long, at int, before binary, after binary, edge int"
-        names = [c.split()[0] for c in columns.split(", ")]
-        compared = scratch.write(ordered.mapInPandas(lambda batches, f=compare: (b[names] for b in f(batches)), columns), "compared")
-
-        def seams(rows: pd.DataFrame) -> pd.DataFrame:
-            return _spans(rows.sort_values(["part", "place"], ignore_index=True), seed, least)
-
-        # few rows for each partition: of the documents at its two ends
-        joints = compared.where("edge > 0").withColumn("_all", F.col("edge") * 0).groupBy("_all").applyInPandas(seams, _SPAN)
-        own = compared.where("edge = 0").select("key", "doc_id", "start", "stop", "partner").unionByName(joints)
-        found = own if found is None else found.unionByName(own)
+    order = ["seed", "after", "before", "key", "at"]
+    # ranges split a seed that very many documents share
+    ordered = suffixes.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = [b for b in batches if len(b)]
+        if held:
+            yield _compared(pd.concat(held, ignore_index=True), seed, least)
+
+    compared = scratch.write(ordered.mapInPandas(compare, _SPAN), "compared")
+    edges = compared.where(F.col("kind") != _FOUND)
+    ends = edges.groupBy("window").agg(F.min(F.struct("key", "doc_id")).alias("low"), F.max(F.struct("key", "doc_id")).alias("high")).where("low.key <> high.key")
+    across = edges.where(F.col("kind") == _WANTED).join(ends, "window").withColumn("partner", F.when(F.col("low.key") == F.col("key"), F.col("high.doc_id")).otherwise(F.col("low.doc_id")))
+    spans = ["key", "doc_id", "start", "stop", "partner"]
+    found = compared.where(F.col("kind") == _FOUND).select(*spans).unionByName(across.select(*spans))
     order = Window.partitionBy("key").orderBy("start", "stop")
     reached = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
     spans = found.groupBy("key", "start", "stop").agg(F.first("doc_id").alias("doc_id"), F.min(F.nullif("partner", F.lit(_NO_ID))).alias("partner"))

@@ -54,6 +54,29 @@ def test_spans_equal_brute_force(spark, seed):
     assert run(spark, docs, rows=40) == brute(docs, 50)
 
 
+@pytest.mark.parametrize("rows", [25, 100_000])
+def test_edited_copies_hide_nothing(spark, rows):
+    """Copies with edits share long right sides with each other and passages with third documents."""
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(3000)}"
+    passages = [[word() for _ in range(n)] for n in (50, 51, 53, 56, 60, 70, 90)]
+    docs = []
+    for _ in range(6):
+        base = [word() for _ in range(rng.randint(80, 300))]
+        for p in rng.sample(passages, 2):
+            q = rng.randrange(len(base))
+            base[q:q] = p
+        for _ in range(8):
+            own = list(base)
+            for _ in range(len(own) // rng.choice([15, 25, 40, 80])):
+                own[rng.randrange(len(own))] = word()
+            docs.append((len(docs), " ".join(own), "en", "s"))
+    for _ in range(10):
+        own = [w for p in rng.sample(passages, 3) for w in [word() for _ in range(rng.randint(0, 30))] + p[rng.randint(0, 3) :]]
+        docs.append((len(docs), " ".join(own), "en", "s"))
+    assert run(spark, docs, rows=rows) == brute(docs, 50)
+
+
 def test_hot_passage_and_copies(spark):
     rng = random.Random(9)
     docs = texts(rng, 120, [70])
