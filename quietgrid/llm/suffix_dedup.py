@@ -26,7 +26,7 @@ from .common import Scratch
 
 MIN_WORDS, SEED_WORDS = 50, 20
 #: log2 of the Bloom filter's 64-bit words (16 MiB), and rows of a sorted partition.
-FILTER_LOG, ROWS = 21, 100_000
+FILTER_LOG, ROWS = 21, 50_000
 
 #: Stands for a null id inside, so that batches with nulls don't turn ids into floating-point numbers.
 _NO_ID = -(1 << 63)
