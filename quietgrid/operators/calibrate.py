@@ -11,7 +11,8 @@ from itertools import combinations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranking import counts_below
+from .ranking import counts_below, picked_quantile, reference_counts
+from .ranking import quantile as exact_quantile
 
 #: Fixed values of the tail: its quantile, the least scale of excesses.
 TAIL, LEAST_SCALE = 0.9, 1e-6
@@ -34,10 +35,12 @@ def z_scores(scores: DataFrame, reference: DataFrame, keys: list[str], score: st
 
 def tail_evidence(scores: DataFrame, reference: DataFrame, keys: list[str], score: str, out: str = "evidence") -> DataFrame:
     """-log of the upper-tail probability of a score under the reference: exponential above its 0.9 quantile, else empirical."""
-    cut = reference.groupBy(*keys).agg(F.percentile(score, TAIL).alias("_u"), F.count("*").alias("_n"))
+    counts = reference_counts(scores, reference, keys, score)
+    sizes = reference.groupBy(*keys).agg(F.count("*").alias("_n"))
+    cut = picked_quantile(counts, sizes, keys, score, "_ref", TAIL, "_u").join(sizes, keys)
     over = reference.join(cut, keys).where(F.col(score) > F.col("_u")).groupBy(*keys).agg(F.avg(F.col(score) - F.col("_u")).alias("_beta"))
     fit = cut.join(over, keys, "left").withColumn("_beta", F.greatest(F.coalesce("_beta", F.lit(LEAST_SCALE)), F.lit(LEAST_SCALE)))
-    ranked = counts_below(scores, reference, keys, score, "_below").join(fit, keys)
+    ranked = scores.join(counts.select(*keys, score, F.col("below__ref").alias("_below")), [*keys, score]).join(fit, keys)
     empirical = -F.ln((F.col("_n") - F.col("_below") + 1) / (F.col("_n") + 1))
     tail = -math.log(1 - TAIL) + (F.col(score) - F.col("_u")) / F.col("_beta")
     return ranked.withColumn(out, F.when(F.col(score) > F.col("_u"), tail).otherwise(empirical)).drop("_u", "_n", "_beta", "_below")
@@ -98,5 +101,4 @@ def gate(df: DataFrame, score: str, quantile: float, check: str, out: str) -> Da
 
 def alarm(scores: DataFrame, calibration: DataFrame, keys: list[str], score: str, quantile: float = 0.995) -> DataFrame:
     """scores with threshold (a quantile of the calibration scores) and alarm (strictly above it)."""
-    cut = calibration.groupBy(*keys).agg(F.percentile(score, quantile).alias("threshold"))
-    return scores.join(cut, keys).withColumn("alarm", F.col(score) > F.col("threshold"))
+    return scores.join(exact_quantile(calibration, keys, score, quantile, "threshold"), keys).withColumn("alarm", F.col(score) > F.col("threshold"))

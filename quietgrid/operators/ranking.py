@@ -33,9 +33,34 @@ def totals_below(distinct: DataFrame, keys: list[str], value: str, sums: list[st
     return rows.select(*distinct.columns, *(f"below_{s}" for s in sums))
 
 
+def reference_counts(queries: DataFrame, reference: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """keys, value, _ref, below__ref: reference rows at and below every value of either frame."""
+    both = queries.select(*keys, value, F.lit(0).cast("long").alias("_ref")).unionByName(reference.select(*keys, value, F.lit(1).cast("long").alias("_ref")))
+    return totals_below(both.groupBy(*keys, value).agg(F.sum("_ref").alias("_ref")), keys, value, ["_ref"])
+
+
 def counts_below(queries: DataFrame, reference: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
     """queries with the number of reference rows (same keys) whose value is less: a left-sided search in sorted values."""
-    both = queries.select(*keys, value, F.lit(0).cast("long").alias("_ref")).unionByName(reference.select(*keys, value, F.lit(1).cast("long").alias("_ref")))
-    distinct = both.groupBy(*keys, value).agg(F.sum("_ref").alias("_ref"))
-    found = totals_below(distinct, keys, value, ["_ref"]).select(*keys, value, F.col("below__ref").alias(out))
+    found = reference_counts(queries, reference, keys, value).select(*keys, value, F.col("below__ref").alias(out))
     return queries.join(found, [*keys, value])
+
+
+def picked_quantile(counts: DataFrame, sizes: DataFrame, keys: list[str], value: str, number: str, q: float, out: str) -> DataFrame:
+    """keys and the quantile, linear between neighbours, of values with their numbers of rows and of rows below.
+
+    sizes: keys, _n. It takes the two rows around the quantile's rank, so no task holds a key's values.
+    """
+    place = F.lit(q) * (F.col("_n") - 1)
+    rows = counts.join(sizes, keys) if keys else counts.crossJoin(F.broadcast(sizes))  # one row
+    below, own = F.col(f"below_{number}"), F.col(number)
+    at = lambda i: F.max(F.when((below <= i) & (i < below + own), F.col(value)))
+    near = rows.where((below <= F.ceil(place)) & (F.floor(place) < below + own))
+    ends = near.groupBy(*keys).agg(at(F.floor(place)).alias("_lo"), at(F.ceil(place)).alias("_hi"), F.first(place - F.floor(place)).alias("_part"))
+    return ends.select(*keys, (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_part")).alias(out))
+
+
+def quantile(df: DataFrame, keys: list[str], value: str, q: float, out: str) -> DataFrame:
+    """keys and the exact quantile of their values, nulls left out."""
+    distinct = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
+    sizes = distinct.groupBy(*keys).agg(F.sum("_c").alias("_n"))
+    return picked_quantile(totals_below(distinct, keys, value, ["_c"]), sizes, keys, value, "_c", q, out)

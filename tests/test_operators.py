@@ -15,7 +15,7 @@ from quietgrid.operators import metrics as M
 from quietgrid.operators import mixture as X
 from quietgrid.operators import relational as R
 from quietgrid.operators import temporal as T
-from quietgrid.operators.ranking import counts_below
+from quietgrid.operators.ranking import counts_below, quantile
 from quietgrid.sources import frames as S
 from quietgrid.sources import sinks
 
@@ -165,6 +165,14 @@ def test_counts_below_is_a_left_search(spark, queries, reference):
     assert [got[i] for i in range(len(queries))] == np.searchsorted(np.sort(reference), queries, "left").tolist()
 
 
+@CALM
+@given(st.lists(st.integers(-9, 9), min_size=1, max_size=40), st.sampled_from([0.0, 0.1, 0.5, 0.9, 0.995, 1.0]))
+def test_quantiles_are_exact(spark, values, q):
+    df = spark.createDataFrame([("a", float(v)) for v in values], "k string, v double")
+    assert quantile(df, ["k"], "v", q, "u").first()["u"] == pytest.approx(np.quantile(values, q))
+    assert quantile(df, [], "v", q, "u").first()["u"] == pytest.approx(np.quantile(values, q))
+
+
 @CALM
 @given(st.lists(st.tuples(st.integers(0, 6), st.integers(0, 1)), min_size=2, max_size=50))
 def test_auc_counts_ties_half(spark, rows):
