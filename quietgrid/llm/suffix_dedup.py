@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 MIN_WORDS, SEED_WORDS = 50, 20
-#: log2 of the Bloom filter's 64-bit words (16 MiB), and rows of a sorted partition.
-FILTER_LOG, ROWS = 21, 50_000
+#: log2 of the Bloom filter's 64-bit words (16 MiB), rows of a sorted partition, and rows checked at once (or one seed's).
+FILTER_LOG, ROWS, BLOCK = 21, 20_000, 4096
 
 #: Stands for a null id inside, so that batches with nulls don't turn ids into floating-point numbers.
 _NO_ID = -(1 << 63)
@@ -135,6 +135,34 @@ def _windows(seeds: np.ndarray, before: np.ndarray, after: np.ndarray) -> tuple[
     return _mixed(seeds.view(np.uint64)[:, None] + sums[0] * np.uint64(_B) + sums[1][:, ::-1] * np.uint64(_R)), there[0] & there[1][:, ::-1]
 
 
+def _looked_up(keys, seeds, at, docs, before, after, shown, edge, least) -> list[pd.DataFrame]:
+    """Windows of whole seeds' rows that other documents have, but those shown; and what seeds at an edge offer and want."""
+    hashes, there = _windows(seeds, before, after)
+    row, ahead = np.nonzero(there)
+    if not len(row):
+        return []
+    order = np.argsort(hashes[row, ahead], kind="stable")
+    row, ahead = row[order], ahead[order]
+    window = hashes[row, ahead]
+    first = np.flatnonzero(np.concatenate([[True], window[1:] != window[:-1]]))
+    group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(window))))
+    by_key = np.lexsort((keys[row], group))
+    low, high = row[by_key[first]], row[by_key[np.append(first[1:], len(window)) - 1]]
+    shared = keys[low] != keys[high]
+
+    def rows_of(x: np.ndarray, partner: np.ndarray | int, number: np.ndarray | int, kind: int) -> pd.DataFrame:
+        begin = at[row[x]] - ahead[x]
+        return pd.DataFrame({"key": keys[row[x]], "doc_id": docs[row[x]], "start": begin, "stop": begin + least, "partner": partner, "window": number, "kind": kind})
+
+    new = np.flatnonzero(shared[group] & ~shown[row, ahead])
+    lowest = low[group[new]]
+    out = [rows_of(new, np.where(keys[lowest] == keys[row[new]], docs[high[group[new]]], docs[lowest]), 0, _FOUND)]
+    # a seed at the partition's end goes on in others: what is shared here is offered once, what isn't is wanted
+    for kind, x in ((_OFFERED, first[shared & edge[row[first]]]), (_WANTED, np.flatnonzero(edge[row] & ~shared[group]))):
+        out.append(rows_of(x, _NO_ID, window[x].view(np.int64), kind))
+    return [o for o in out if len(o)]
+
+
 def _compared(rows: pd.DataFrame, seed: int, least: int) -> pd.DataFrame:
     """Of a partition's sorted rows: spans of `least` words and more that other documents have, as _SPAN."""
     reach, n = least - seed, len(rows)
@@ -145,31 +173,18 @@ def _compared(rows: pd.DataFrame, seed: int, least: int) -> pd.DataFrame:
     long = left + right >= reach
     i, j, left, right = i[long], j[long], left[long], right[long]
     out = [pd.DataFrame({"key": keys[i], "doc_id": docs[i], "start": at[i] - left, "stop": at[i] + seed + right, "partner": docs[j], "window": 0, "kind": _FOUND})]
-    # windows with 0 to reach words before the seed: which of them a neighbour has shown, which others any row has
-    shown = np.zeros((n, reach + 2), np.int32)
+    # windows with 0 to reach words before the seed: which of them a neighbour has shown
+    shown = np.zeros((n, reach + 2), np.int16)
     np.add.at(shown, (i, reach - right), 1)
     np.add.at(shown, (i, left + 1), -1)
-    hashes, there = _windows(seeds, before, after)
-    row, ahead = np.nonzero(there)
-    order = np.argsort(hashes[row, ahead], kind="stable")
-    row, ahead = row[order], ahead[order]
-    window = hashes[row, ahead]
-    first = np.flatnonzero(np.concatenate([[True], window[1:] != window[:-1]])) if len(window) else np.zeros(0, np.int64)
-    group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(window))))
-    if len(first):
-        by_key = np.lexsort((keys[row], group))
-        low, high = row[by_key[first]], row[by_key[np.append(first[1:], len(window)) - 1]]
-        shared = keys[low] != keys[high]
-        new = shared[group] & (shown.cumsum(1)[row, ahead] == 0)
-        r, a, g = row[new], ahead[new], group[new]
-        partner = np.where(keys[low[g]] == keys[r], docs[high[g]], docs[low[g]])
-        out.append(pd.DataFrame({"key": keys[r], "doc_id": docs[r], "start": at[r] - a, "stop": at[r] - a + least, "partner": partner, "window": 0, "kind": _FOUND}))
-        # seeds at the partition's ends go on in others: what is shared here is offered once, what isn't is wanted
-        edge = (seeds[row] == seeds[0]) | (seeds[row] == seeds[-1])
-        offered, wanted = first[shared & edge[first]], np.flatnonzero(edge & ~shared[group])
-        for kind, x in ((_OFFERED, offered), (_WANTED, wanted)):
-            r = row[x]
-            out.append(pd.DataFrame({"key": keys[r], "doc_id": docs[r], "start": at[r] - ahead[x], "stop": at[r] - ahead[x] + least, "partner": _NO_ID, "window": window[x].view(np.int64), "kind": kind}))
+    edge = (seeds == seeds[0]) | (seeds == seeds[-1])
+    cuts = np.append(np.flatnonzero(seeds[1:] != seeds[:-1]) + 1, n)
+    start = 0
+    while start < n:
+        stop = int(cuts[max(np.searchsorted(cuts, start + BLOCK, "right") - 1, np.searchsorted(cuts, start, "right"))])
+        own = slice(start, stop)
+        out += _looked_up(keys[own], seeds[own], at[own], docs[own], before[own], after[own], shown[own].cumsum(1) > 0, edge[own], least)
+        start = stop
     return pd.concat(out, ignore_index=True)
 
 
