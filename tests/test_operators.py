@@ -19,7 +19,7 @@ from quietgrid.operators.ranking import counts_below, quantile
 from quietgrid.sources import frames as S
 from quietgrid.sources import sinks
 
-CALM = settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+CALM = settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 SERIES = st.lists(st.integers(-50, 50).map(lambda v: v / 4), min_size=1, max_size=40)
 
 
@@ -165,6 +165,15 @@ def test_counts_below_is_a_left_search(spark, queries, reference):
     assert [got[i] for i in range(len(queries))] == np.searchsorted(np.sort(reference), queries, "left").tolist()
 
 
+@CALM
+@given(st.lists(st.floats(allow_nan=False), min_size=1, max_size=40), st.lists(st.floats(allow_nan=False) | st.sampled_from([0.0, 1.0, 1.0 + 2**-52, 1.0 - 2**-53, -1.0, 5e-324]), min_size=1, max_size=40))
+def test_counts_below_over_all_floats(spark, queries, reference):
+    q = spark.createDataFrame([(i, v) for i, v in enumerate(queries)], "i int, v double")
+    r = spark.createDataFrame([(v,) for v in reference], "v double")
+    got = {x["i"]: x["n"] for x in counts_below(q, r, [], "v", "n").collect()}
+    assert [got[i] for i in range(len(queries))] == np.searchsorted(np.sort(reference), queries, "left").tolist()
+
+
 @CALM
 @given(st.lists(st.integers(-9, 9), min_size=1, max_size=40), st.sampled_from([0.0, 0.1, 0.5, 0.9, 0.995, 1.0]))
 def test_quantiles_are_exact(spark, values, q):
