@@ -22,3 +22,12 @@ def ship(spark: SparkSession) -> SparkSession:
         sc.addPyFile(path)
         sc._quietgrid_shipped = True
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where that is unset, as in tests."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="quietgrid-"))
+        found = spark.sparkContext.getCheckpointDir()
+    return found.rstrip("/")
