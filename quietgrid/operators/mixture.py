@@ -117,3 +117,20 @@ def code_mixture(df: DataFrame, feature: str, ids: list[str], out: str = "bgmm",
         return pd.Series(-logsumexp(kept.log_terms(np.array(f.tolist(), np.float64))) if len(f) else [], dtype="float64")
 
     return unit(coded(vectors)).withColumn(out, density("_code")).drop("_code")
+
+
+def assign(df: DataFrame, feature: str, mixture: Mixture, out: str) -> DataFrame:
+    """df with the most probable component of each row (the first of equals)."""
+
+    @F.pandas_udf(T.IntegerType())
+    def best(f: pd.Series) -> pd.Series:
+        return pd.Series(mixture.log_terms(np.array(f.tolist(), np.float64)).argmax(1) if len(f) else [], dtype="int32")
+
+    return df.withColumn(out, best(feature))
+
+
+def scene_states(df: DataFrame, normal: DataFrame, feature: str, ids: list[str], out: str = "state", most: int = 6, rows: int = 60_000, seed: int = 0) -> DataFrame:
+    """df with the scene state of each frame's descriptor: a component, of weight over 0.01, of a mixture of normal ones."""
+    fitted = Mixture.fit(cap(normal, ids, rows, seed), feature, most, seed)
+    active = fitted.w > ACTIVE
+    return assign(df, feature, Mixture(fitted.w[active] / fitted.w[active].sum(), fitted.mu[active], fitted.cov[active]), out)

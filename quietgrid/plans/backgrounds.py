@@ -158,3 +158,15 @@ def code_mixture(spark, sf_dir):
     """Negative log densities of reduced embedding codes."""
     df = table(spark, sf_dir, "embeddings").where("embedding is not null").select("vec_id", "embedding")
     return X.code_mixture(df, "embedding", ["vec_id"], most=8).select("vec_id", "bgmm")
+
+
+@query()
+def scene_states(spark, sf_dir):
+    """States of months from coarse views of their maps; assignment is tested against NumPy."""
+    from ..operators import grid as G
+    from .bindings import HEIGHT, WIDTH, maps
+
+    view = G.coarse_view(G.dense(maps(spark, sf_dir), ["frame"], "v", HEIGHT, WIDTH), ["frame"], "v", HEIGHT, WIDTH, 4)
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("i", "mean"))), lambda s: s["mean"])
+    df = view.groupBy("frame").agg(ordered.alias("f"))
+    return X.scene_states(df, df.where("frame % 2 = 0"), "f", ["frame"], most=3).select("frame", "state")

@@ -152,6 +152,8 @@ def test_adapted_mixture(spark):
         w = a * n / len(own) + (1 - a) * 0.5
         np.testing.assert_allclose(got[c]["w"], w / w.sum(), rtol=1e-9)
         np.testing.assert_allclose(np.reshape(got[c]["mu"], (2, 2)), a[:, None] * (gamma.T @ own) / n[:, None] + (1 - a)[:, None] * ubm.mu, rtol=1e-9)
+    states = {r["i"]: r["s"] for r in X.assign(df, "f", ubm, "s").collect()}
+    assert all(states[i] == int(ubm.log_terms(x[i : i + 1]).argmax()) for i in range(120))
     scored = X.score(df, X.adapt(df, "cell", "f", ubm), "cell", "f", ubm, "s")
     assert scored.count() == 120 and scored.where("s is null or isnan(s)").count() == 0
 
