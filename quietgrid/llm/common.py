@@ -17,6 +17,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows and bytes of an Arrow batch between Spark and Python: texts are long, and several copies of a batch are held at once.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batch limits to those above, where they are higher."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(key)
+        if not now.rstrip("b").isdigit() or int(now.rstrip("b")) > most or int(now.rstrip("b")) <= 0:
+            spark.conf.set(key, str(most))
+
+
 #: Folders that this process has written and not released.
 _ROOTS: set[str] = set()
 
@@ -36,6 +48,7 @@ class Scratch:
     """Tables written to the shared folder. They cut lineage and outlive the executor that wrote them; release() deletes them."""
 
     def __init__(self, spark: SparkSession, name: str):
+        small_batches(spark)
         self.spark, self.n = spark, 0
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         _ROOTS.add(self.root)

@@ -21,7 +21,7 @@ from .common import Scratch
 #: Labelled rows of each language that are learned from, at most; n-grams kept of each language, at most.
 SAMPLE, GRAMS = 2000, 20_000
 #: n-gram lengths, lookups for an n-gram, slots in the filter (a power of two), and characters handled at once.
-LENGTHS, LOOKUPS, SLOTS, CHUNK = (2, 3, 4), 3, 1 << 20, 1 << 20
+LENGTHS, LOOKUPS, SLOTS, CHUNK = (2, 3, 4), 3, 1 << 20, 1 << 17
 #: An n-gram belongs to a language if its rate there is at least this share of its highest rate in any.
 SHARE = 0.2
 UNKNOWN = "und"
