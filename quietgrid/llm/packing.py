@@ -79,17 +79,12 @@ class _Words:
             runs.update((w, x) for w, x in new.items() if len(w) <= CACHED_BYTES)
         return out
 
-    def forget(self) -> None:
-        """Drops what is kept of words. A task begins with nothing, so that an idle worker holds nothing."""
-        self.known.clear()
-        self.runs.clear()
-        self.tails.clear()
-        self.misses = 0
-
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Token ids of UTF-8 texts as little-endian unsigned 32-bit integers, without special tokens."""
         if self.misses > MISSES:
-            self.forget()
+            self.known.clear()
+            self.runs.clear()
+            self.misses = 0
         split, known = [t.split() for t in texts], self.known
         missing = set().union(*split).difference(known)
         new, full = self._new(missing) if missing else {}, len(known) >= CACHED
@@ -109,10 +104,6 @@ def encode(texts: list[bytes], path: str) -> list[bytes]:
     return _words(path).encode(texts)
 
 
-def forget(path: str) -> None:
-    _words(path).forget()
-
-
 def _chunks(rows: Iterator[tuple], most: int = CHUNK_BYTES) -> Iterator[tuple[list, list[bytes]]]:
     """(keys, texts) of rows, of `most` bytes of text or one row."""
     keys, texts, size = [], [], 0
@@ -147,7 +138,6 @@ def cut(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, doc_id: str =
                         column.append(value)
                     counts[length] += 1
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(rows, schema, strict=True)], schema=schema)
-        forget(tokenizer)
 
     return docs.select(F.col(doc_id).cast("long"), F.col(text).cast("binary")).mapInArrow(pieces, _PIECES)
 
