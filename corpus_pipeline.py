@@ -2,7 +2,7 @@
 
 1. language_id: documents that no learned language accounts for go.
 2. line_dedup: lines that spread over sites go, and documents that are nothing else.
-3. simhash_near_dedup: one document of each group of near duplicates stays.
+3. simhash_near_dedup: one document of each group of near copies stays: five-word shingles, Jaccard similarity of 0.8 or more.
 4. source_mixing: documents are repeated, cut or left out so that sources reach their targets.
 5. best_fit_packing: the pieces of what is left, with their places in sequences.
 """
@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quietgrid.llm import langid, line_dedup, mixing, packing, simhash
+from quietgrid.llm import langid, line_dedup, mixing, near_copies, packing
 from quietgrid.llm.common import Scratch
 from quietgrid.session import ship
 
@@ -27,7 +27,7 @@ def line_spread(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    return simhash.one_of_each(docs)
+    return near_copies.one_of_each(docs)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,6 +7,8 @@ one bit in one of the two, so they agree in one of that segment's 32 variants th
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -93,14 +95,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """
     scratch = Scratch(docs.sparkSession, "simhash")
     prints = scratch.write(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))).select("doc_id", "_fp"), "prints")
-    grouped = scratch.write(_named(prints, scratch), "groups")
+    grouped = scratch.write(_named(prints, scratch, lambda least: classes(least, scratch)), "groups")
     return prints.join(grouped, "_fp").select("doc_id", F.lpad(F.lower(F.hex("_fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def _named(prints: DataFrame, scratch: Scratch) -> DataFrame:
-    """(_fp, _group, component_id) for every fingerprint."""
+def _named(prints: DataFrame, scratch: Scratch, linked: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(_fp, _group, component_id) for every fingerprint; linked gives classes() of the fingerprints."""
     least = scratch.write(prints.groupBy("_fp").agg(F.min("doc_id").alias("_least")), "least")
-    groups = scratch.write(least.join(classes(least, scratch), "_fp", "left").withColumn("_group", F.coalesce("_group", "_fp")), "classes")
+    groups = scratch.write(least.join(linked(least), "_fp", "left").withColumn("_group", F.coalesce("_group", "_fp")), "classes")
     return groups.select("_fp", "_group").join(groups.groupBy("_group").agg(F.min("_least").alias("component_id")), "_group")
 
 
@@ -110,10 +112,15 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     Of rows that share the kept doc_id within a group one stays. Columns are those of docs, in its order.
     """
     scratch = Scratch(docs.sparkSession, "simhash")
-    named = docs.columns
     prints = fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))).withColumn("_text", F.xxhash64("text"))
     prints = scratch.write(prints.select("doc_id", "_fp", "_text"), "prints")
-    rows = prints.join(_named(prints, scratch), "_fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return first_of_each(docs, prints, lambda least: classes(least, scratch), scratch, doc_id, text)
+
+
+def first_of_each(docs: DataFrame, prints: DataFrame, linked: Callable[[DataFrame], DataFrame], scratch: Scratch, doc_id: str, text: str) -> DataFrame:
+    """one_of_each() by given prints: doc_id, _fp and _text, the hash of the text, of every row of docs."""
+    named = docs.columns
+    rows = prints.select("doc_id", "_fp", "_text").join(_named(prints, scratch, linked), "_fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     # of the rows with the group's least id, those with the least text hash; _n tells whether that is one row
     best = rows.groupBy("_group", "doc_id", "_text").agg(F.count("*").alias("_n")).groupBy("_group", "doc_id").agg(F.min(F.struct("_text", "_n")).alias("_best"))
     best = scratch.write(best.select(F.col("doc_id").alias("_id"), F.col("_best._text").alias("_text"), F.col("_best._n").alias("_n")), "best")
