@@ -54,4 +54,4 @@ def log_domain(spark, sf_dir):
 @query()
 def skewed_background_scores(spark, sf_dir):
     """A skewed t background by cell; tested against numerical integration and simulated data."""
-    return skewed_background(vectors(spark, sf_dir), "cell", "f", ["l_orderkey", "l_linenumber"], cell_rows=2000).select("l_orderkey", "l_linenumber", "skew_t")
+    return skewed_background(vectors(spark, sf_dir), "cell", "f", ["l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber", "skew_t")

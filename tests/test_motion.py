@@ -60,3 +60,18 @@ def test_em_recovers_what_was_simulated():
     np.testing.assert_allclose(m.mu, [1, 2], atol=0.08)
     np.testing.assert_allclose(m.gamma, [0.8, 0], atol=0.08)
     assert m.log_likelihood(x) > K.fit(x, 50.0, 60).log_likelihood(x)
+
+
+def test_every_row_counts_in_a_cells_fit(spark, monkeypatch):
+    monkeypatch.setattr(K, "GRID", (5.0,))
+    rng = np.random.default_rng(1)
+    x = rng.standard_t(5, (5600, 2))
+    x[5200:] += 1
+    cells = np.arange(5600) // 5200
+    rows = spark.createDataFrame([(i, int(c), v) for i, (c, v) in enumerate(zip(cells, x.tolist(), strict=True))], "id int, cell int, f array<double>")
+    got = K.skewed_background(rows, "cell", "f", ["id"], rounds=3).orderBy("id").select("skew_t").toPandas()["skew_t"].to_numpy()
+    scene = K.fit(x, 5.0, 3)
+    for cell in (0, 1):
+        m, a = K.fit(x[cells == cell], 5.0, 3), K.ALPHA
+        near = K.SkewT(*((1 - a) * p + a * q for p, q in ((m.mu, scene.mu), (m.gamma, scene.gamma), (m.sigma, scene.sigma))), 5.0)
+        np.testing.assert_allclose(got[cells == cell], near.score(x[cells == cell]), rtol=1e-6, atol=1e-6)
