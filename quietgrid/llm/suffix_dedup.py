@@ -6,8 +6,13 @@ words are compared and extended left and right. A run reaches no further than 30
 so 30 words on either side of each tell its whole extent. A suffix's longest match need not stand beside it if it is long on
 the left; an exact check follows, which looks up each window of 50 words around a kept position that no neighbour had.
 
+Suffixes of the same 20 words meet in one task, which sorts its suffixes and takes them as a stream. Those of 20 words that
+very many suffixes begin with are dealt to several tasks, and a join of windows finds what those have in common. Words are
+compared by their hashes: 31 bits for each of 30 words and 64 bits for the 20 together.
+
 Two passes read the texts. The first counts the 20-word hashes; those that occur once can't repeat. The second keeps the
-words around the others. Between them goes a Bloom filter of fixed size, whose false positives cost time but change nothing.
+words around the others. Between them goes a Bloom filter, sized by the count of those others up to 64 MiB; beyond, more
+suffixes pass that have no partner, which costs time but changes nothing.
 """
 
 from __future__ import annotations
@@ -25,16 +30,18 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 MIN_WORDS, SEED_WORDS = 50, 20
-#: log2 of the Bloom filter's 64-bit words (16 MiB), rows of a sorted partition, and rows checked at once (or one seed's).
-FILTER_LOG, ROWS, BLOCK = 21, 20_000, 4096
+#: log2 of the Bloom filter's 64-bit words at most (64 MiB), and its bits for each seed; log2 of the slots for common seeds.
+FILTER_LOG, FILTER_BITS, SLOT_LOG = 23, 8, 20
+#: Suffixes of a seed (about) that are compared in one task, as are at least so many at once.
+BLOCK = 4096
 
 #: Stands for a null id inside, so that batches with nulls don't turn ids into floating-point numbers.
 _NO_ID = -(1 << 63)
 
 _R, _B = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
-_CONTEXT = "seed long, key long, doc_id long, at int, before binary, after binary"
+_CONTEXT = "seed long, part int, key long, doc_id long, at int, before binary, after binary"
 _SPAN = "key long, doc_id long, start int, stop int, partner long, window long, kind int"
-#: Kinds of rows: a span; a window that another document of the partition has; one that none there has, of a seed at its edge.
+#: Kinds of rows: a span; a window of a common seed that another document of the task's part has; one that none there has.
 _FOUND, _OFFERED, _WANTED = 0, 1, 2
 
 
@@ -108,8 +115,8 @@ def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(same.all(1), a.shape[1], same.argmin(1))
 
 
-def _pairs(keys: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of sorted rows: each row's nearest neighbours of another document on either side, if they share its seed."""
+def _pairs(keys: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted rows: each row's nearest neighbours of another document on either side, if they are of its group."""
     n = len(keys)
     edge = np.flatnonzero(keys[1:] != keys[:-1])  # the last row before another key begins
     rows = np.arange(n)
@@ -118,7 +125,7 @@ def _pairs(keys: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     a = [rows[before >= 0], rows[after < len(edge)]]
     b = [edge[before[before >= 0]], edge[after[after < len(edge)]] + 1]
     i, j = np.concatenate(a), np.concatenate(b)
-    same = seeds[i] == seeds[j]
+    same = group[i] == group[j]
     return i[same], j[same]
 
 
@@ -135,8 +142,8 @@ def _windows(seeds: np.ndarray, before: np.ndarray, after: np.ndarray) -> tuple[
     return _mixed(seeds.view(np.uint64)[:, None] + sums[0] * np.uint64(_B) + sums[1][:, ::-1] * np.uint64(_R)), there[0] & there[1][:, ::-1]
 
 
-def _looked_up(keys, seeds, at, docs, before, after, shown, edge, least) -> list[pd.DataFrame]:
-    """Windows of whole seeds' rows that other documents have, but those shown; and what seeds at an edge offer and want."""
+def _looked_up(keys, seeds, at, docs, before, after, shown, split, least) -> list[pd.DataFrame]:
+    """Windows of whole groups' rows that other documents have, but those shown; and what split seeds offer and want."""
     hashes, there = _windows(seeds, before, after)
     row, ahead = np.nonzero(there)
     if not len(row):
@@ -147,57 +154,93 @@ def _looked_up(keys, seeds, at, docs, before, after, shown, edge, least) -> list
     first = np.flatnonzero(np.concatenate([[True], window[1:] != window[:-1]]))
     group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(window))))
     by_key = np.lexsort((keys[row], group))
-    low, high = row[by_key[first]], row[by_key[np.append(first[1:], len(window)) - 1]]
-    shared = keys[low] != keys[high]
+    low, high = by_key[first], by_key[np.append(first[1:], len(window)) - 1]
+    shared = keys[row[low]] != keys[row[high]]
 
     def rows_of(x: np.ndarray, partner: np.ndarray | int, number: np.ndarray | int, kind: int) -> pd.DataFrame:
         begin = at[row[x]] - ahead[x]
         return pd.DataFrame({"key": keys[row[x]], "doc_id": docs[row[x]], "start": begin, "stop": begin + least, "partner": partner, "window": number, "kind": kind})
 
     new = np.flatnonzero(shared[group] & ~shown[row, ahead])
-    lowest = low[group[new]]
-    out = [rows_of(new, np.where(keys[lowest] == keys[row[new]], docs[high[group[new]]], docs[lowest]), 0, _FOUND)]
-    # a seed at the partition's end goes on in others: what is shared here is offered once, what isn't is wanted
-    for kind, x in ((_OFFERED, first[shared & edge[row[first]]]), (_WANTED, np.flatnonzero(edge[row] & ~shared[group]))):
+    lowest, highest = row[low[group[new]]], row[high[group[new]]]
+    out = [rows_of(new, np.where(keys[lowest] == keys[row[new]], docs[highest], docs[lowest]), 0, _FOUND)]
+    # of what is shared here two documents' rows are offered, so that any document elsewhere meets another one
+    offers = split[row[first]] & shared
+    for kind, x in ((_OFFERED, low[offers]), (_OFFERED, high[offers]), (_WANTED, np.flatnonzero(split[row] & ~shared[group]))):
         out.append(rows_of(x, _NO_ID, window[x].view(np.int64), kind))
     return [o for o in out if len(o)]
 
 
 def _compared(rows: pd.DataFrame, seed: int, least: int) -> pd.DataFrame:
-    """Of a partition's sorted rows: spans of `least` words and more that other documents have, as _SPAN."""
+    """Of sorted rows of whole groups (a seed, or a part of one): spans of `least` words and more that other documents have, as _SPAN."""
     reach, n = least - seed, len(rows)
-    keys, seeds, at, docs = (rows[c].to_numpy() for c in ("key", "seed", "at", "doc_id"))
+    keys, seeds, parts, at, docs = (rows[c].to_numpy() for c in ("key", "seed", "part", "at", "doc_id"))
     before, after = (np.frombuffer(b"".join(rows[c]), np.uint32).reshape(n, reach) for c in ("before", "after"))
-    i, j = _pairs(keys, seeds)
+    group = np.cumsum(np.concatenate([[True], (seeds[1:] != seeds[:-1]) | (parts[1:] != parts[:-1])]))
+    i, j = _pairs(keys, group)
     left, right = _common(before[i], before[j]), _common(after[i], after[j])
     long = left + right >= reach
     i, j, left, right = i[long], j[long], left[long], right[long]
-    out = [pd.DataFrame({"key": keys[i], "doc_id": docs[i], "start": at[i] - left, "stop": at[i] + seed + right, "partner": docs[j], "window": 0, "kind": _FOUND})]
     # windows with 0 to reach words before the seed: which of them a neighbour has shown
     shown = np.zeros((n, reach + 2), np.int16)
     np.add.at(shown, (i, reach - right), 1)
     np.add.at(shown, (i, left + 1), -1)
-    edge = (seeds == seeds[0]) | (seeds == seeds[-1])
-    cuts = np.append(np.flatnonzero(seeds[1:] != seeds[:-1]) + 1, n)
-    start = 0
-    while start < n:
-        stop = int(cuts[max(np.searchsorted(cuts, start + BLOCK, "right") - 1, np.searchsorted(cuts, start, "right"))])
-        own = slice(start, stop)
-        out += _looked_up(keys[own], seeds[own], at[own], docs[own], before[own], after[own], shown[own].cumsum(1) > 0, edge[own], least)
-        start = stop
-    return pd.concat(out, ignore_index=True)
-
-
-def repeated_passages(docs: DataFrame, least: int = MIN_WORDS, seed: int = SEED_WORDS, doc_id: str = "doc_id", text: str = "text", rows: int = ROWS, filter_log: int = FILTER_LOG) -> DataFrame:
+    found = pd.DataFrame({"key": keys[i], "doc_id": docs[i], "start": at[i] - left, "stop": at[i] + seed + right, "partner": docs[j], "window": 0, "kind": _FOUND})
+    return pd.concat([found, *_looked_up(keys, seeds, at, docs, before, after, shown.cumsum(1) > 0, parts >= 0, least)], ignore_index=True)
+
+
+def _whole_groups(batches: Iterator[pd.DataFrame], block: int) -> Iterator[pd.DataFrame]:
+    """Sorted batches, put together to `block` rows or more that end where a group ends."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        held.append(batch)
+        if sum(map(len, held)) < block:
+            continue
+        last = batch.iloc[-1]
+        if held[0]["seed"].iloc[0] == last["seed"] and held[0]["part"].iloc[0] == last["part"]:
+            continue
+        rows = pd.concat(held, ignore_index=True)
+        open_ = int(((rows["seed"] == last["seed"]) & (rows["part"] == last["part"])).to_numpy().argmax())
+        yield rows.iloc[:open_].reset_index(drop=True)
+        held = [rows.iloc[open_:]]
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def _filter(seeds: DataFrame, log: int) -> np.ndarray:
+    """2 ** log 64-bit words in which a bit is set for each seed."""
+    spot = F.col("seed").bitwiseAND(F.lit((1 << log + 6) - 1))
+    words = seeds.groupBy(F.shiftrightunsigned(spot, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(seed & 63 as int))")).alias("bits")).toArrow()
+    bits = np.zeros(1 << log, np.int64)  # as many rows at most
+    bits[np.asarray(words.column("word"))] = np.asarray(words.column("bits"))
+    return bits.view(np.uint64)
+
+
+def _levels(counted: DataFrame, block: int, log: int) -> np.ndarray:
+    """By slot of a seed (its upper bits): log16 of the parts that its suffixes are dealt to, so that a part has `block` or fewer.
+
+    Seeds that share a slot with a more common one are split for nothing, which changes no result.
+    """
+    level = F.ceil(F.log(16.0, F.col("count") / block)).cast("int")
+    slots = counted.where(F.col("count") > block).groupBy(F.shiftrightunsigned("seed", 64 - log).alias("slot")).agg(F.max(level).alias("level")).toArrow()
+    out = np.zeros(1 << log, np.int8)  # as many rows at most
+    out[np.asarray(slots.column("slot"))] = np.asarray(slots.column("level"))
+    return out
+
+
+def repeated_passages(docs: DataFrame, least: int = MIN_WORDS, seed: int = SEED_WORDS, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK, filter_log: int = FILTER_LOG, slot_log: int = SLOT_LOG) -> DataFrame:
     """A row per repeated span: doc_id, start_word, end_word, n_words, partner_id, first.
 
     A span is a longest run of words (A-Z in lower case, split at ASCII white space) made up of passages of `least` words or
-    more that another document has too. partner_id is the least id among the documents it was found equal to, first tells
-    whether the span's own document has a smaller one. Null, empty and shorter texts have no spans. Rows that share an id
-    are documents of their own; a null id is carried as null and is never first. No rows give no rows.
+    more that another document has too; what repeats only inside one document is no span. partner_id is the least id among
+    the documents it was found equal to, first tells whether the span's own document has a smaller one. Null, empty and
+    shorter texts have no spans. Rows that share an id are documents of their own; a null id (and one of -2^63) is given as null and is never
+    first. No rows give no rows.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "suffix")
-    source = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID)), F.col(text).cast("binary"))
+    source = docs.select(F.col(doc_id).cast("long"), F.col(text).cast("binary"))
     reach = least - seed
 
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,40 +248,41 @@ def repeated_passages(docs: DataFrame, least: int = MIN_WORDS, seed: int = SEED_
             found = [positions(word_hashes(body.as_py() or b""), seed, least)[1] for body in batch.column(1)]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*found, np.zeros(0, np.uint64)]).view(np.int64))], names=["seed"])
 
-    twice = source.mapInArrow(seeds, "seed long").groupBy("seed").count().where("count > 1")
-    size = 1 << filter_log
-    spot = F.col("seed").bitwiseAND(F.lit((size << 6) - 1))
-    words = twice.groupBy(F.shiftrightunsigned(spot, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(seed & 63 as int))")).alias("bits")).toArrow()
-    bits = np.zeros(size, np.int64)  # `size` rows at most
-    bits[np.asarray(words.column("word"))] = np.asarray(words.column("bits"))
-    known = spark.sparkContext.broadcast(bits.view(np.uint64))
+    twice = scratch.write(source.mapInArrow(seeds, "seed long").groupBy("seed").count().where("count > 1"), "twice")
+    log = min(filter_log, max(4, (twice.count() * FILTER_BITS >> 6).bit_length()))
+    known = spark.sparkContext.broadcast((_filter(twice, log), _levels(twice, block, slot_log)))  # bounded by their parameters
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, number = TaskContext.get().partitionId(), 0
+        number, part = 0, TaskContext.get().partitionId()
+        bits, levels = known.value
         for batch in batches:
-            columns: list[list] = [[] for _ in range(6)]
+            columns: list[list] = [[] for _ in range(7)]
 
             def flush() -> pa.RecordBatch:
-                flat = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in columns[:2]] + [np.concatenate(columns[3]) if columns[3] else np.zeros(0, np.int64)]
-                ids = pa.array([x for x, n in columns[2] for _ in range(n)], pa.int64())
+                joined = lambda c, kind: np.concatenate([*c, np.zeros(0, kind)]).astype(kind)
+                ids = pa.array([x for x, n in columns[3] for _ in range(n)], pa.int64())
                 sides = []
-                for c in columns[4:]:
+                for c in columns[5:]:
                     data = np.ascontiguousarray(np.concatenate(c) if c else np.zeros((0, reach), np.uint32)).astype("<u4")
                     sides.append(pa.FixedSizeBinaryArray.from_buffers(pa.binary(reach * 4), len(data), [None, pa.py_buffer(data.tobytes())]).cast(pa.binary()))
+                flat = [joined(columns[0], np.uint64).view(np.int64), joined(columns[1], np.int32), joined(columns[2], np.int64), joined(columns[4], np.int32)]
                 for c in columns:
                     c.clear()
-                return pa.RecordBatch.from_arrays([pa.array(flat[0].view(np.int64)), pa.array(flat[1].astype(np.int64)), ids, pa.array(flat[2].astype(np.int32)), *sides], names=["seed", "key", "doc_id", "at", "before", "after"])
+                return pa.RecordBatch.from_arrays([*map(pa.array, flat[:3]), ids, pa.array(flat[3]), *sides], names=["seed", "part", "key", "doc_id", "at", "before", "after"])
 
             held = 0
-            for key, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for doc, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 number += 1
                 hashes = word_hashes(body.as_py() or b"")
                 at, found = positions(hashes, seed, least)
-                some = _filtered(found, known.value)
+                some = _filtered(found, bits)
                 at, found = at[some], found[some]
                 if len(at):
                     before, after = _around(hashes, at, seed, reach)
-                    for c, v in zip(columns, (found, np.full(len(at), part << 36 | number), (key, len(at)), at, before, after), strict=True):
+                    key = np.full(len(at), part << 36 | number)
+                    level = levels[(found >> np.uint64(64 - slot_log)).astype(np.int64)].astype(np.uint64)
+                    dealt = (_mixed(key.astype(np.uint64) * np.uint64(_B) + at.astype(np.uint64)) & ((np.uint64(1) << np.uint64(4) * level) - np.uint64(1))).astype(np.int64)
+                    for c, v in zip(columns, (found, np.where(level > 0, dealt, -1), key, (doc, len(at)), at, before, after), strict=True):
                         c.append(v)
                     held += len(at)
                 if held > 20_000:
@@ -247,17 +291,14 @@ def repeated_passages(docs: DataFrame, least: int = MIN_WORDS, seed: int = SEED_
             yield flush()
 
     suffixes = scratch.write(source.mapInArrow(contexts, _CONTEXT), "suffixes")
-    parts = max(1, -(-suffixes.count() // rows), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    order = ["seed", "after", "before", "key", "at"]
-    # ranges split a seed that very many documents share
-    ordered = suffixes.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    ordered = suffixes.repartition("seed", "part").sortWithinPartitions("seed", "part", "after", "before", "key", "at")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = [b for b in batches if len(b)]
-        if held:
-            yield _compared(pd.concat(held, ignore_index=True), seed, least)
+        for rows in _whole_groups(batches, block):
+            yield _compared(rows, seed, least)
 
-    compared = scratch.write(ordered.mapInPandas(compare, _SPAN), "compared")
+    given = ordered.withColumn("doc_id", F.coalesce("doc_id", F.lit(_NO_ID)))
+    compared = scratch.write(given.mapInPandas(compare, _SPAN), "compared")
     edges = compared.where(F.col("kind") != _FOUND)
     ends = edges.groupBy("window").agg(F.min(F.struct("key", "doc_id")).alias("low"), F.max(F.struct("key", "doc_id")).alias("high")).where("low.key <> high.key")
     across = edges.where(F.col("kind") == _WANTED).join(ends, "window").withColumn("partner", F.when(F.col("low.key") == F.col("key"), F.col("high.doc_id")).otherwise(F.col("low.doc_id")))

@@ -51,11 +51,11 @@ def texts(rng, n, passages, vocabulary=400):
 def test_spans_equal_brute_force(spark, seed):
     rng = random.Random(seed)
     docs = texts(rng, 60, [49, 50, 51, 60, 80, 130, 300])
-    assert run(spark, docs, rows=40) == brute(docs, 50)
+    assert run(spark, docs, block=40) == brute(docs, 50)
 
 
-@pytest.mark.parametrize("rows", [25, 100_000])
-def test_edited_copies_hide_nothing(spark, rows):
+@pytest.mark.parametrize("block", [2, 100_000])
+def test_edited_copies_hide_nothing(spark, block):
     """Copies with edits share long right sides with each other and passages with third documents."""
     rng = random.Random(11)
     word = lambda: f"w{rng.randrange(3000)}"
@@ -74,14 +74,17 @@ def test_edited_copies_hide_nothing(spark, rows):
     for _ in range(10):
         own = [w for p in rng.sample(passages, 3) for w in [word() for _ in range(rng.randint(0, 30))] + p[rng.randint(0, 3) :]]
         docs.append((len(docs), " ".join(own), "en", "s"))
-    assert run(spark, docs, rows=rows) == brute(docs, 50)
+    assert run(spark, docs, block=block) == brute(docs, 50)
 
 
 def test_hot_passage_and_copies(spark):
     rng = random.Random(9)
     docs = texts(rng, 120, [70])
     docs += [(1000 + i, docs[5][1], "en", "s") for i in range(40)]
-    assert run(spark, docs, rows=30) == brute(docs, 50)
+    # a passage that stands twice in a document, and once in another
+    twice = [f"t{i}" for i in range(55)]
+    docs += [(2000, " ".join([*twice, "a", "b", *twice]), "en", "s"), (2001, " ".join(twice), "en", "s"), (2002, " ".join([*(f"u{i}" for i in range(55))] * 2), "en", "s")]
+    assert run(spark, docs, block=3, slot_log=8, filter_log=6) == run(spark, docs) == brute(docs, 50)
 
 
 def test_awkward_documents(spark):
