@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
-#: Bytes of compressed records after which a task begins another archive; bytes that the reader asks for at once.
-ARCHIVE_BYTES, READ_BYTES = 256 << 20, 4 << 20
+#: Bytes of compressed records after which a task begins another archive, and those after which another task reads on;
+#: bytes that the reader asks for at once; read tasks at most.
+ARCHIVE_BYTES, PART_BYTES, READ_BYTES, READERS = 256 << 20, 32 << 20, 4 << 20, 1 << 16
 _DATE = "1970-01-01T00:00:00Z"
 _RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
@@ -110,8 +111,10 @@ def members(file, size: int) -> dict[str, tuple[int, int]]:
 class _Archive:
     """A ZIP package under way. Its index is written when the records are complete."""
 
-    def __init__(self, fs: pyarrow.fs.FileSystem, path: str):
-        self.path, self.index, self.written = path, [], 0
+    def __init__(self, fs: pyarrow.fs.FileSystem, path: str, part_bytes: int = PART_BYTES):
+        self.path, self.index, self.written, self.part_bytes = path, [], 0, part_bytes
+        #: of each part: where it begins in the index, its bytes there, its records
+        self.parts, self.full = [], 0
         self.file = fs.open_output_stream(path)
         self.zip = zipfile.ZipFile(self.file, "w", zipfile.ZIP_STORED)
         self.data = self.zip.open(DATA, "w", force_zip64=True)
@@ -119,24 +122,30 @@ class _Archive:
     def add(self, key: int | None, raw: bytes) -> None:
         packed = gzip.compress(raw, 6, mtime=0)
         self.data.write(packed)
-        self.index.append(json.dumps({"page_id": key, "offset": self.written, "length": len(packed)}))
+        line = json.dumps({"page_id": key, "offset": self.written, "length": len(packed)}).encode() + b"\n"
+        self.index.append(line)
+        if not self.parts or self.written >= self.full:
+            self.parts.append([sum(self.parts[-1][:2]) if self.parts else 0, 0, 0])
+            self.full = self.written + self.part_bytes
+        self.parts[-1][1] += len(line)
+        self.parts[-1][2] += 1
         self.written += len(packed)
 
-    def close(self) -> tuple[str, int]:
+    def close(self) -> list[tuple[str, int, int, int]]:
         self.data.close()
         with self.zip.open(INDEX, "w", force_zip64=True) as out:
-            for line in self.index:
-                out.write(line.encode() + b"\n")
+            out.writelines(self.index)
         self.zip.close()
         self.file.close()
-        return self.path, len(self.index)
+        return [(self.path, *part) for part in self.parts]
 
 
-def write(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+def write(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES, part_bytes: int = PART_BYTES) -> DataFrame:
     """Writes pages (page_id, url, payload, sha1, refers_to, revisit) to archives in a folder that all executors share.
 
     Each task writes archives under names of its own; a task that runs again writes others, and only the names that the
-    returned (path, records) rows hold count. The result must be kept (not evaluated twice).
+    returned rows hold count. These are the parts that a reader's task takes: path, at and length in the index, records.
+    The result must be kept (not evaluated twice).
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,23 +155,26 @@ def write(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) ->
             for page_id, url, payload, sha1, refers_to, revisit in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if archive is None:
                     fs.create_dir(root, recursive=True)
-                    archive = _Archive(fs, f"{root}/{uuid.uuid4().hex}.zip")
+                    archive = _Archive(fs, f"{root}/{uuid.uuid4().hex}.zip", part_bytes)
                 archive.add(page_id, record(page_id, url, payload, sha1, refers_to, revisit))
                 if archive.written >= archive_bytes:
-                    done.append(archive.close())
+                    done += archive.close()
                     archive = None
         if archive:
-            done.append(archive.close())
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in done], pa.string()), pa.array([x[1] for x in done], pa.int64())], names=["path", "records"])
+            done += archive.close()
+        columns = list(zip(*done, strict=True)) or [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["path", "at", "length", "records"])
 
-    return pages.select("page_id", "url", "payload", "sha1", "refers_to", "revisit").mapInArrow(task, "path string, records long")
+    return pages.select("page_id", "url", "payload", "sha1", "refers_to", "revisit").mapInArrow(task, "path string, at long, length long, records long")
 
 
-def records(path: str, fs: pyarrow.fs.FileSystem, read_bytes: int = READ_BYTES) -> Iterator[tuple[dict[str, str], bytes]]:
-    """The records of one archive, by its index: neighbouring ranges are read together, and nothing is extracted."""
+def records(path: str, fs: pyarrow.fs.FileSystem, read_bytes: int = READ_BYTES, part: tuple[int, int] | None = None) -> Iterator[tuple[dict[str, str], bytes]]:
+    """The records of one archive, or of a part of its index (at, length): neighbouring ranges are read together, and nothing is extracted."""
     with fs.open_input_file(path) as file:
         found = members(file, file.size())
         start, length = found[INDEX]
+        if part:
+            start, length = start + part[0], part[1]
         entries, rest, at = [], b"", start
         while at < start + length or rest:
             file.seek(at)
@@ -183,7 +195,7 @@ def records(path: str, fs: pyarrow.fs.FileSystem, read_bytes: int = READ_BYTES)
 
 
 def read(archives: DataFrame, folder: str) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to of every record of archives (path).
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of every record of parts of archives (path, at, length).
 
     A response's size and digest are taken from its payload, and must agree with its header; a revisit's are its header's.
     """
@@ -192,9 +204,9 @@ def read(archives: DataFrame, folder: str) -> DataFrame:
         fs, _ = pyarrow.fs.FileSystem.from_uri(folder)
         page = lambda urn: int(x) if (x := urn[len("<urn:page:") : -1]) else None
         for batch in batches:
-            for path in batch.column(0).to_pylist():
+            for path, *part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 rows = []
-                for head, payload in records(path, fs):
+                for head, payload in records(path, fs, part=part):
                     revisit, sha1 = head["WARC-Type"] == "revisit", head["WARC-Payload-Digest"].removeprefix("sha1:")
                     if not revisit and digest(payload) != sha1:
                         raise ValueError(f"a payload in {path} doesn't have its digest")
@@ -203,7 +215,7 @@ def read(archives: DataFrame, folder: str) -> DataFrame:
                 types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    return archives.select("path").mapInArrow(task, _RECORD)
+    return archives.select("path", "at", "length").mapInArrow(task, _RECORD)
 
 
 def with_revisits(pages: DataFrame, scratch: Scratch, page_id: str = "page_id", url: str = "url", html: str = "html", least: int = 0) -> DataFrame:
@@ -238,7 +250,8 @@ def round_trip(pages: DataFrame, page_id: str = "page_id", url: str = "url", htm
     folder = f"{scratch.root}/archives"
     rows = with_revisits(pages, scratch, page_id, url, html, least)
     archives = scratch.write(write(rows, folder), "archives")
-    return read(archives.repartition("path"), folder)
+    # a task for each part; a number that is asked for isn't lowered because the rows are small
+    return read(archives.repartition(min(READERS, max(1, archives.count()))), folder)
 
 
 SQL = """

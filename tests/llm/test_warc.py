@@ -37,10 +37,11 @@ def test_round_trip(spark, least):
 def test_archives_are_plain_zip_files(spark):
     scratch = Scratch(spark, "warctest")
     folder = f"{scratch.root}/archives"
-    archives = scratch.write(Z.write(Z.with_revisits(table(spark), scratch), folder, archive_bytes=1000), "list")
+    parts = scratch.write(Z.write(Z.with_revisits(table(spark), scratch), folder, archive_bytes=1000, part_bytes=300), "list")
     fs, _ = pyarrow.fs.FileSystem.from_uri(folder)
     found = 0
-    assert archives.count() > 3
+    archives = parts.groupBy("path").agg({"records": "sum"}).withColumnRenamed("sum(records)", "records")
+    assert 3 < archives.count() < parts.count()
     for row in archives.collect():
         with fs.open_input_file(row["path"]) as f:
             raw = f.read()
@@ -56,6 +57,14 @@ def test_archives_are_plain_zip_files(spark):
             found += 1
             assert head["WARC-Type"] == "revisit" or Z.digest(payload) == head["WARC-Payload-Digest"][5:]
     assert found == len(PAGES)
+    for part in parts.collect():
+        assert len(list(Z.records(part["path"], fs, part=(part["at"], part["length"])))) == part["records"] > 0
+    assert sorted([tuple(r) for r in Z.read(parts, folder).collect()], key=str) == want(PAGES)
+
+
+def test_reading_is_dealt_to_a_task_for_each_part(spark):
+    """However small the rows that name the parts are."""
+    assert Z.round_trip(table(spark).repartition(3)).rdd.getNumPartitions() == 3
 
 
 def test_zip64_and_comments(monkeypatch):
