@@ -7,7 +7,7 @@ document with the smallest id that has it, so no text goes from the corpus altog
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch
@@ -30,12 +30,13 @@ def _filled(text: Column) -> Column:
 
 
 def spread_lines(docs: DataFrame, scratch: Scratch, min_sites: int = MIN_SITES) -> tuple[DataFrame, DataFrame]:
-    """(occurrences (_id, _key, _site) of lines that may spread, lines (_key, _owner) that do).
+    """(occurrences (_id, _hash, _key, _at, _site) of lines that may spread, lines (_key, _owner) that do).
 
-    docs: _id, _site, _text. A line on min_sites sites has that many occurrences and two different sites at least, which is
-    counted first, with map-side combine, so that sketches are made for few lines.
+    docs: _id, _hash (of the text), _site, _text. A line on min_sites sites has that many occurrences and two different
+    sites at least, which is counted first, with map-side combine, so that sketches are made for few lines.
     """
-    found = docs.select("_id", F.xxhash64("_site").alias("_site"), F.explode(F.array_distinct(F.transform(_filled(F.col("_text")), _key))).alias("_key"))
+    found = docs.select("_id", "_hash", F.xxhash64("_site").alias("_site"), F.posexplode(_lines(F.col("_text"))).alias("_at", "_line")).where(F.btrim("_line", F.lit(" ")) != "")
+    found = found.select("_id", "_hash", "_site", "_at", _key(F.col("_line")).alias("_key"))
     maybe = found.groupBy("_key").agg(F.count("*").alias("n"), F.min("_site").alias("a"), F.max("_site").alias("b")).where((F.col("n") >= min_sites) & ((F.col("a") != F.col("b")) | (F.lit(min_sites) < 2)))
     maybe = scratch.write(maybe.select("_key"), "candidates")
     occurrences = scratch.write(found.join(maybe, "_key", "left_semi"), "occurrences")
@@ -48,46 +49,47 @@ def spread_lines(docs: DataFrame, scratch: Scratch, min_sites: int = MIN_SITES)
     return occurrences, scratch.write(spread, "spread")
 
 
+def _without(text: Column, gone: Column) -> Column:
+    """text without the lines at the positions in `gone`. Both arrays are bound once, so time is in proportion to the lines."""
+    bound = F.array(F.struct(_lines(text).alias("lines"), gone.alias("gone")))
+    kept = lambda s: F.array_except(F.sequence(F.lit(0), F.size(s["lines"]) - 1), s["gone"])
+    return F.transform(bound, lambda s: F.array_join(F.transform(kept(s), lambda i: s["lines"][i]), "\n"))[0]
+
+
 def clean(docs: DataFrame, min_sites: int = MIN_SITES, doc_id: str = "doc_id", text: str = "text", site: str = "source") -> DataFrame:
-    """docs with _lines (lines that aren't blank), _removed (lines taken out of it) and _clean (the text that is left).
+    """A row for each of docs: _row (its columns), _lines (those that aren't blank), _removed (lines taken out of it) and _clean (the text that is left).
 
     A line is compared without its outer spaces. Blank lines and everything but removed lines stay as they are. A null site
     is a site; null text stays null with 0 lines; empty tables stay empty. Of rows that share an id each is cleaned alike;
-    a null id owns a line only if no row with an id has it.
+    a null id owns a line only if no row with an id has it. docs may have columns of any names.
     """
     scratch = Scratch(docs.sparkSession, "lines")
-    rows = docs.select(F.col(doc_id).alias("_id"), F.col(site).alias("_site"), F.col(text).alias("_text"))
-    occurrences, spread = spread_lines(rows, scratch, min_sites)
+    held = docs.select(F.struct("*").alias("_row"), F.col(doc_id).alias("_id"), F.col(site).alias("_site"), F.col(text).alias("_text")).withColumn("_hash", F.xxhash64("_text"))
+    occurrences, spread = spread_lines(held.drop("_row"), scratch, min_sites)
     own = F.col("_id").eqNullSafe(F.col("_owner"))
-    lists = occurrences.join(spread, "_key").groupBy("_id").agg(F.collect_set(F.when(~own, F.col("_key"))).alias("_drop"), F.collect_set(F.when(own, F.col("_key"))).alias("_once"))
-    lists = scratch.write(lists.withColumnRenamed("_id", "_list_id"), "lists")
-    keys = F.transform(_lines(F.col(text)), _key)
-    kept = F.filter(
-        F.arrays_zip(_lines(F.col(text)).alias("line"), keys.alias("key"), F.sequence(F.lit(1), F.size(_lines(F.col(text)))).alias("at")),
-        lambda x: (F.btrim(x["line"], F.lit(" ")) == "") | ~(F.array_contains("_drop", x["key"]) | (F.array_contains("_once", x["key"]) & (F.array_position(F.col("_keys"), x["key"]) < x["at"]))),
-    )
+    # positions are those of a text, so rows that repeat both id and text share one list, and null ids don't share any other
+    again = F.row_number().over(Window.partitionBy("_id", "_hash", "_key").orderBy("_at")) > 1
+    gone = occurrences.join(spread, "_key").select("_id", "_hash", "_key", "_at", own.alias("_own")).distinct().withColumn("_gone", ~F.col("_own") | again)
+    lists = scratch.write(gone.where("_gone").groupBy(F.col("_id").alias("_list_id"), F.col("_hash").alias("_list_hash")).agg(F.collect_list("_at").alias("_at")), "lists")
     # the lists grow with the corpus, so the join is by shuffle at every size
-    joined = docs.join(lists.hint("merge"), docs[doc_id].eqNullSafe(lists["_list_id"]), "left").withColumn("_keys", F.when(F.col("_drop").isNotNull(), keys))
-    touched = F.col("_drop").isNotNull() & F.col(text).isNotNull()
-    cleaned = F.when(touched, F.array_join(F.transform(kept, lambda x: x["line"]), "\n")).otherwise(F.col(text))
-    count = lambda c: F.coalesce(F.size(_filled(c)), F.lit(0)).cast("long")
-    out = joined.withColumn("_clean", cleaned).drop("_list_id", "_drop", "_once", "_keys")
-    return out.withColumn("_lines", F.when(F.col(text).isNull(), F.lit(0)).otherwise(count(F.col(text)))).withColumn("_removed", F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.col("_lines") - count(F.col("_clean"))))
+    joined = held.join(lists.hint("merge"), held["_id"].eqNullSafe(lists["_list_id"]) & (held["_hash"] == lists["_list_hash"]), "left")
+    lines = F.when(F.col("_text").isNull(), F.lit(0)).otherwise(F.size(_filled(F.col("_text")))).cast("long")
+    cleaned = F.when(F.col("_at").isNotNull(), _without(F.col("_text"), F.col("_at"))).otherwise(F.col("_text"))
+    return joined.select("_row", F.col("_id"), lines.alias("_lines"), F.when(F.col("_at").isNull(), F.lit(0)).otherwise(F.size("_at")).cast("long").alias("_removed"), cleaned.alias("_clean"))
 
 
 def dedup(docs: DataFrame, **options) -> DataFrame:
     """One row per row of docs: doc_id, lines, removed, text (what is left of it). See clean()."""
-    doc_id = options.get("doc_id", "doc_id")
-    return clean(docs, **options).select(F.col(doc_id).alias("doc_id"), F.col("_lines").cast("long").alias("lines"), F.col("_removed").cast("long").alias("removed"), F.col("_clean").alias("text"))
+    return clean(docs, **options).select(F.col("_id").alias("doc_id"), F.col("_lines").alias("lines"), F.col("_removed").alias("removed"), F.col("_clean").alias("text"))
 
 
 def strip(docs: DataFrame, **options) -> DataFrame:
-    """docs in its own columns, with cleaned texts; documents of which removal leaves no line go."""
+    """docs in its own columns, with cleaned texts; documents of which removal leaves no line go. Awkward rows are as in clean()."""
     text = options.get("text", "text")
     rows = clean(docs, **options).where((F.col("_removed") == 0) | (F.col("_removed") < F.col("_lines")))
-    out = {n: F.col(n) for n in docs.columns} | {text: F.col("_clean")}
+    out = {n: F.col("_row")[n] for n in docs.columns} | {text: F.col("_clean")}
     if "n_chars" in docs.columns:
-        out["n_chars"] = F.when(F.col("_removed") > 0, F.length("_clean").cast("long")).otherwise(F.col("n_chars"))
+        out["n_chars"] = F.when(F.col("_removed") > 0, F.length("_clean").cast("long")).otherwise(F.col("_row")["n_chars"])
     return rows.select(*(c.alias(n) for n, c in out.items()))
 
 

@@ -18,9 +18,16 @@ DOCS = [
     (None, "nobody's text", None, None),
     (10, "12 !? 3", None, ""),
 ]
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, rank string, _fp string, cell int, score string, part string"
+#: Names that operators and stages use inside, with values that would show if they came through.
+INSIDE = ["_row", "_id", "_doc", "_fp", "_text", "_hash", "_n", "_group", "_best", "_bit", "_key", "_at", "_line", "_lines", "_site", "_own", "_owner", "_gone", "_removed", "_clean", "_drop", "_once", "_keys", "_lang", "_limit", "_draw", "_order", "_source", "_shard", "_cut", "_copy", "_words", "component_id", "held_out", "nth"]
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, rank string, cell int, score string, part string, " + ", ".join(f"{n} string" for n in INSIDE)
 
 
 def documents(spark, rows=DOCS):
     """With columns whose names operators use inside."""
-    return spark.createDataFrame([(*r, None if r[1] is None else len(r[1]), 5, "r", "x", 1, "s", "p") for r in rows], SCHEMA).repartition(3)
+    return spark.createDataFrame([(*r, None if r[1] is None else len(r[1]), 5, "r", 1, "s", "p", *(f"own {n}" for n in INSIDE)) for r in rows], SCHEMA).repartition(3)
+
+
+def untouched(rows):
+    """Whether all those columns came back as they were."""
+    return all(r[n] == f"own {n}" for r in rows for n in INSIDE)

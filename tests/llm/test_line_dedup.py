@@ -55,3 +55,15 @@ def test_documents_of_nothing_else_go(spark):
     kept = L.strip(df)
     assert kept.columns == df.columns
     assert {r["doc_id"]: (r["text"], r["n_chars"]) for r in kept.collect()} == {0: ("shared\nagain shared", 19), 20: ("own", 3), 21: ("", 0), 22: (None, None)}
+
+
+def test_null_ids_and_repeated_rows_are_cleaned_each(spark):
+    docs = [(None, f"shared\nown {i}\nshared", "en", f"s{i}") for i in range(9)] + [(5, "shared\nshared\nx", "en", "s1")] * 2 + [(5, "y\nshared", "en", "s2"), (6, "shared\nshared\nx", "en", "s1")]
+    for least in (2, 9):
+        assert run(spark, docs, least) == brute(docs, least)
+
+
+def test_many_removed_lines_of_one_document(spark):
+    lines = [f"line {k % 4000}" for k in range(8000)]
+    docs = [(i, "\n".join(lines), "en", f"s{i}") for i in range(3)]
+    assert run(spark, docs, 2) == brute(docs, 2)
