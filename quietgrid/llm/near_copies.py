@@ -1,9 +1,12 @@
 """Near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, and all that they link.
 
-Links of SimHash at 3 words and 3 bits count besides. Candidates agree in one of 24 bands of 4 minimum hashes, which a pair at 0.8 misses three times in a million and a closer
-pair less often. Every candidate is verified on the whole sets. Texts of equal sets are one row, so copies are not expanded.
-Of a band's bucket first a few leaders are held against all others, which links a large group in a linear number of pairs;
-then every pair of the bucket that is not yet in one component is held against each other, so no link is left out.
+Links of SimHash at 3 words and 3 bits count besides. SimHash alone can't give these pairs: at 0.8 about 10 of 64 bits differ,
+and a fingerprint of any length differs in that share of its bits, far more than segments with one wildcard find. So further
+candidates are those that agree in one of 24 bands of 4 minimum hashes, which a pair at 0.8 misses three times in a million
+and a closer pair less often. Every candidate is verified on the whole sets. Texts of equal sets are one row, so copies are
+not expanded. Of a band's bucket first a few leaders are held against all others, which links a large group in a linear
+number of pairs; then every pair of the bucket that is not yet in one component is held against each other, so no link is
+left out.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from pyspark.sql import types as T
 
 from .common import Scratch, components
 from .simhash import fingerprint, first_of_each
-from .simhash import links as close_prints
+from .simhash import joining as close_prints
 
 #: Words of a shingle; similarity of near copies, as a fraction; bands, hashes in a band, leaders of a bucket.
 WORDS, SIMILAR, BANDS, ROWS, LEADERS, SEED = 5, (4, 5), 24, 4, 3, 42

@@ -12,7 +12,7 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -58,14 +58,16 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.withColumn("_fp", _fingerprints(F.col(text)))
 
 
-def links(prints: DataFrame, scratch: Scratch) -> DataFrame:
-    """All pairs (a < b) of distinct values of prints._fp that differ in 1 to 3 bits, each once.
-
-    Equal fingerprints are one row here, so copies are not expanded. Each print makes 64 signature rows of two longs.
-    """
+def signatures(prints: DataFrame) -> DataFrame:
+    """(_fp, _key): 64 rows of two longs for each distinct fingerprint, so copies are not expanded."""
     signed = prints.select("_fp").distinct().withColumn("_bit", F.explode(F.sequence(F.lit(0), F.lit(63))))
     half = "(shiftrightunsigned(_fp, if(_bit >= 32, 32, 0)) & 4294967295L)"
-    signed = signed.select("_fp", F.expr(f"({half} & ~shiftleft(1L, _bit % 32)) | shiftleft(cast(_bit as bigint), 32)").alias("_key"))
+    return signed.select("_fp", F.expr(f"({half} & ~shiftleft(1L, _bit % 32)) | shiftleft(cast(_bit as bigint), 32)").alias("_key"))
+
+
+def links(prints: DataFrame) -> DataFrame:
+    """All pairs (a < b) of distinct values of prints._fp that differ in 1 to 3 bits, each once."""
+    signed = signatures(prints)
     x, y = signed.alias("x"), signed.alias("y")
     same = "(shiftrightunsigned(x._fp ^ y._fp, if(shiftright(x._key, 32) >= 32, 32, 0)) & 4294967295L) = 0"
     met = x.join(
@@ -80,9 +82,30 @@ def links(prints: DataFrame, scratch: Scratch) -> DataFrame:
     return met.select(F.col("x._fp").alias("a"), F.col("y._fp").alias("b"))
 
 
+def joining(prints: DataFrame, scratch: Scratch) -> DataFrame:
+    """Some of links(), which connect all that links() connects.
+
+    A group of m near copies has m^2 links, so first each print is held against the least of those that share a signature;
+    then, of signatures whose prints are not yet in one component, each two prints of different components.
+    """
+    signed = signatures(prints)
+    group = Window.partitionBy("_key")
+    shared = signed.withColumn("_low", F.min("_fp").over(group)).withColumn("_high", F.max("_fp").over(group)).where("_low < _high").drop("_high")
+    shared = scratch.write(shared, "shared")
+    close = f"bit_count({{}} ^ {{}}) <= {DISTANCE}"
+    stars = scratch.write(shared.where("_fp <> _low and " + close.format("_fp", "_low")).select(F.col("_low").alias("a"), F.col("_fp").alias("b")).distinct(), "stars")
+    named = shared.drop("_low").join(components(stars, scratch).select(F.col("id").alias("_fp"), "component"), "_fp", "left")
+    named = scratch.write(named.withColumn("_of", F.coalesce("component", "_fp")).drop("component"), "named")
+    mixed = named.groupBy("_key").agg(F.min("_of").alias("_low"), F.max("_of").alias("_high")).where("_low <> _high").select("_key")
+    left = scratch.write(named.join(mixed, "_key"), "mixed")
+    x, y = left.alias("x"), left.alias("y")
+    met = x.join(y, F.expr("x._key = y._key and x._fp < y._fp and x._of <> y._of and " + close.format("x._fp", "y._fp")))
+    return stars.unionByName(met.select(F.col("x._fp").alias("a"), F.col("y._fp").alias("b")).distinct())
+
+
 def classes(prints: DataFrame, scratch: Scratch) -> DataFrame:
     """(_fp, _group) for every fingerprint linked with another; _group is one fingerprint of the component."""
-    found = components(links(prints, scratch), scratch)
+    found = components(joining(prints, scratch), scratch)
     return found.select(F.col("id").alias("_fp"), F.col("component").alias("_group"))
 
 
@@ -119,13 +142,11 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 def first_of_each(docs: DataFrame, prints: DataFrame, linked: Callable[[DataFrame], DataFrame], scratch: Scratch, doc_id: str, text: str) -> DataFrame:
     """one_of_each() by given prints: doc_id, _fp and _text, the hash of the text, of every row of docs."""
-    named = docs.columns
     rows = prints.select("doc_id", "_fp", "_text").join(_named(prints, scratch, linked), "_fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     # of the rows with the group's least id, those with the least text hash; _n tells whether that is one row
     best = rows.groupBy("_group", "doc_id", "_text").agg(F.count("*").alias("_n")).groupBy("_group", "doc_id").agg(F.min(F.struct("_text", "_n")).alias("_best"))
     best = scratch.write(best.select(F.col("doc_id").alias("_id"), F.col("_best._text").alias("_text"), F.col("_best._n").alias("_n")), "best")
-    tagged = docs.withColumn("_hash", F.xxhash64(F.col(text)))
-    kept = tagged.join(best, tagged[doc_id].eqNullSafe(best["_id"]) & (tagged["_hash"] == best["_text"]))
-    single = kept.where("_n = 1").select(*named)
-    repeated = kept.where("_n > 1").dropDuplicates([doc_id, "_hash"]).select(*named)
-    return single.unionByName(repeated)
+    # the columns of docs go along as one, so that no name of theirs meets one of these
+    tagged = docs.select(F.struct("*").alias("_row"), F.col(doc_id).alias("_doc"), F.xxhash64(F.col(text)).alias("_hash"))
+    kept = tagged.join(best, tagged["_doc"].eqNullSafe(best["_id"]) & (tagged["_hash"] == best["_text"]))
+    return kept.where("_n = 1").select("_row.*").unionByName(kept.where("_n > 1").dropDuplicates(["_doc", "_hash"]).select("_row.*"))

@@ -4,6 +4,7 @@ import xxhash
 from edge import DOCS, documents
 
 from quietgrid.llm import simhash as S
+from quietgrid.llm.common import Scratch
 
 
 def plain(text):
@@ -63,8 +64,32 @@ def test_links_are_exact(spark):
                 x ^= 1 << bit
             prints.add(x)
     signed = [p - (1 << 64) if p >> 63 else p for p in prints]
-    got = sorted((r["a"], r["b"]) for r in S.links(spark.createDataFrame([(p,) for p in signed + signed[:9]], "_fp long"), None).collect())
-    assert got == sorted((a, b) for a in signed for b in signed if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= 3)
+    table = spark.createDataFrame([(p,) for p in signed + signed[:9]], "_fp long")
+    got = sorted((r["a"], r["b"]) for r in S.links(table).collect())
+    want = sorted((a, b) for a in signed for b in signed if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= 3)
+    assert got == want
+    some = {(r["a"], r["b"]) for r in S.joining(table, Scratch(spark, "test")).collect()}
+    assert some <= set(want)
+    assert joined(some) == joined(want)
+
+
+def joined(pairs):
+    group = {}
+    for a, b in pairs:
+        x, y = group.setdefault(a, {a}), group.setdefault(b, {b})
+        if x is not y:
+            x |= y
+            for k in y:
+                group[k] = x
+    return {frozenset(g) for g in group.values()}
+
+
+def test_a_large_group_of_near_copies_has_few_links(spark):
+    """All fingerprints at one bit or none from a common one: 65 of them have 2080 links."""
+    table = spark.createDataFrame([(0,)] + [(1 << b if b < 63 else -(1 << 63),) for b in range(64)], "_fp long")
+    assert S.links(table).count() == 65 * 64 // 2
+    some = S.joining(table, Scratch(spark, "test")).collect()
+    assert len(some) < 200 and len(joined((r["a"], r["b"]) for r in some)) == 1
 
 
 def test_one_of_each(spark):
