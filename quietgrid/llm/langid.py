@@ -137,27 +137,53 @@ def _slot(hashes: np.ndarray, k: int, slots: int) -> np.ndarray:
     return ((low + np.uint64(k) * high) & np.uint64(slots - 1)).astype(np.int64)
 
 
+def _picked(own: DataFrame, sample: int, scratch: Scratch) -> DataFrame:
+    """(lang, _hash) of `sample` different texts of each language at most, those first by hash.
+
+    own: lang, text, _hash. Only hashes under a threshold, half as many again as wanted, are told apart and ranked, so
+    neither texts nor all hashes of a language come together.
+    """
+    sizes = own.groupBy("lang").agg(F.approx_count_distinct("_hash").alias("_n"))
+    limit = F.least(F.lit(1 << 30), F.ceil(F.lit(1.5 * sample + 64) / F.col("_n") * (1 << 30))).alias("_limit")
+    limits = scratch.write(sizes.select(F.col("lang").alias("_lang"), limit), "limits")
+    few = own.select("lang", "_hash").join(_small(limits), F.col("lang") == F.col("_lang")).where(F.shiftrightunsigned("_hash", 34) < F.col("_limit"))
+    unsigned = F.shiftrightunsigned("_hash", 1)  # the order in which the threshold takes them
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy(unsigned, "_hash"))
+    return scratch.write(few.select("lang", "_hash").distinct().withColumn("_turn", turn).where(F.col("_turn") <= sample).select("lang", "_hash"), "picked")
+
+
+#: Rows up to which a table is sent to all tasks.
+SMALL = 1 << 20
+
+
+def _small(table: DataFrame) -> DataFrame:
+    """table, to be broadcast if it has SMALL rows or fewer; a row here has tens of bytes."""
+    return F.broadcast(table) if table.limit(SMALL + 1).count() <= SMALL else table
+
+
 def train(rows: DataFrame, sample: int = SAMPLE, grams: int = GRAMS, share: float = SHARE, text: str = "text", lang: str = "lang") -> Model:
-    """A model from labelled rows. Of each language `sample` rows are used at most, those first by a hash of the text."""
+    """A model from labelled rows, those without a lang or text left out.
+
+    Of each language `sample` different texts are used at most, those first by a hash, each once however often it is
+    repeated, so rows and partitions may be in any order. No rows give a model without languages.
+    """
     scratch = Scratch(rows.sparkSession, "langid")
-    own = rows.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-    # texts are picked by their hashes, so that the ranking moves hashes alone
-    picked = own.select("lang", F.xxhash64("text").alias("_hash"), F.length("text").alias("_n")).distinct()
-    picked = picked.withColumn("_turn", F.row_number().over(Window.partitionBy("lang").orderBy("_hash", "_n"))).where(F.col("_turn") <= sample)
-    chosen = own.withColumn("_hash", F.xxhash64("text")).join(picked.select(F.col("lang").alias("_l"), F.col("_hash").alias("_h")), (F.col("lang") == F.col("_l")) & (F.col("_hash") == F.col("_h")), "left_semi")
+    own = rows.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text")).withColumn("_hash", F.xxhash64("text"))
+    picked = _picked(own, sample, scratch).select(F.col("lang").alias("_l"), F.col("_hash").alias("_h"))
+    chosen = own.join(_small(picked), (F.col("lang") == F.col("_l")) & (F.col("_hash") == F.col("_h")), "left_semi").dropDuplicates(["lang", "_hash"])
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for language, docs in batch.groupby("lang"):
                 seen: list[np.ndarray] = [np.zeros(0, np.uint64)]
-                for body in docs.drop_duplicates("_hash")["text"]:
+                for body in docs["text"]:
                     points = letters(body)
                     seen += [_hashes(points, n) for n in LENGTHS]
                 values, times = np.unique(np.concatenate(seen), return_counts=True)
                 yield pd.DataFrame({"lang": language, "gram": values.view(np.int64), "n": times.astype(np.int64)})
 
     kind = rows.schema[lang].dataType.simpleString()
-    counted = chosen.select("lang", "text", "_hash").mapInPandas(count, f"lang {kind}, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = chosen.select("lang", "text").mapInPandas(count, f"lang {kind}, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counted = scratch.write(counted, "counts")
     totals = counted.groupBy("lang").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
     rated = counted.join(totals, "lang").withColumn("rate", F.col("n") / F.col("total")).withColumn("top", F.max("rate").over(Window.partitionBy("gram")))
@@ -176,14 +202,14 @@ def held_out(doc_id) -> F.Column:
 
 
 def judged(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs and a struct _lang: lang_pred, score, known (share of n-grams that the language contains)."""
+    """A row for each of docs: _row (its columns) and _lang (lang_pred, score, known: the share of n-grams that the language contains)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double, known double")
     def predict(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([shared.value.predict(t) for t in texts], columns=["lang_pred", "score", "known"])
 
-    return docs.withColumn("_lang", predict(F.col(text)))
+    return docs.select(F.struct("*").alias("_row"), predict(F.col(text)).alias("_lang"))
 
 
 def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", **options) -> DataFrame:
@@ -195,10 +221,13 @@ def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     """
     model = train(docs.where(~held_out(F.col(doc_id))), text=text, lang=lang, **options)
     rows = judged(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), model)
-    return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_lang.lang_pred").alias("lang_pred"), F.col("_lang.score").alias("score"))
+    return rows.select("_row.doc_id", held_out(F.col("_row.doc_id")).alias("held_out"), F.col("_lang.lang_pred").alias("lang_pred"), F.col("_lang.score").alias("score"))
 
 
 def accepted(docs: DataFrame, least_known: float = 0.3, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", **options) -> DataFrame:
-    """The rows of docs, in its columns, whose text is in a language: not `und`, and its n-grams known to that language."""
+    """The rows of docs, in its columns, whose text is in a language: not `und`, and its n-grams known to that language.
+
+    So null texts, texts without a letter and, if nothing could be learned, all texts go. Repeated rows share their fate.
+    """
     model = train(docs.where(~held_out(F.col(doc_id))), text=text, lang=lang, **options)
-    return judged(docs, model, text).where((F.col("_lang.lang_pred") != UNKNOWN) & (F.col("_lang.known") >= least_known)).select(*docs.columns)
+    return judged(docs, model, text).where((F.col("_lang.lang_pred") != UNKNOWN) & (F.col("_lang.known") >= least_known)).select("_row.*")

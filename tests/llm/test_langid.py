@@ -1,9 +1,12 @@
 import os
+import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
-from edge import DOCS, documents
+import xxhash
+from edge import DOCS, documents, untouched
 from pyspark.sql import functions as F
 
 from quietgrid.llm import langid as L
@@ -62,5 +65,64 @@ def test_held_out_accuracy(spark):
 def test_what_is_no_language_goes(spark):
     df = documents(spark)
     kept = L.accepted(df)
-    assert kept.columns == df.columns
+    assert kept.columns == df.columns and untouched(kept.collect())
     assert not {3, 4, 5, 10} & {r["doc_id"] for r in kept.collect()} and {1, 2, 9} <= {r["doc_id"] for r in kept.collect()}
+
+
+def plain_grams(text):
+    low = "".join(c.lower() if c.isalpha() and len(c.lower()) == 1 else c for c in text or "")
+    runs = "".join(c if c.isalpha() else " " for c in low).split()
+    whole = f" {' '.join(runs)} " if runs else ""
+    return [whole[i : i + n] for n in (2, 3, 4) for i in range(len(whole) - n + 1)]
+
+
+def brute(rows, sample, most):
+    """Every prediction from counts and sets; a gram's hash only breaks ties."""
+    own = {}
+    for i, text, lang in rows:
+        if lang is not None and text is not None and zlib.crc32(str(i).encode()) % 3 != 1:
+            own.setdefault(lang, {})[xxhash.xxh64_intdigest(text.encode(), 42)] = text
+    counts = {k: Counter(g for h in sorted(v)[:sample] for g in plain_grams(v[h])) for k, v in own.items()}
+    total = {k: sum(c.values()) for k, c in counts.items()}
+    hashed = lambda g: int(L._hashes(np.array([ord(c) for c in g], np.uint32), len(g)).view(np.int64)[0])
+    sets = {}
+    for k, c in counts.items():
+        shared = [g for g in c if c[g] / total[k] >= L.SHARE * max(d[g] / total[j] for j, d in counts.items() if total[j])]
+        sets[k] = set(sorted(shared, key=lambda g: (-c[g], hashed(g)))[:most])
+    out = {}
+    for i, text, _ in rows:
+        grams = plain_grams(text)
+        hits = {k: sum(g in s for g in grams) for k, s in sets.items()}
+        if not grams or not sets:
+            out[i] = ("und", 0.0)
+        elif not sum(hits.values()):
+            out[i] = (min(total, key=lambda k: (-total[k], k)), 0.0)
+        else:
+            best = min(hits, key=lambda k: (-hits[k], k))
+            out[i] = (best, hits[best] / sum(hits.values()))
+    return out
+
+
+@pytest.mark.parametrize("sample, most", [(2000, 20_000), (5, 60)])
+def test_predictions_equal_brute_force(spark, sample, most):
+    rng = random.Random(8)
+    alphabets = {"aa": "abcdefg", "bb": "efghijkl", "cc": "kéüßabc"}
+    rows = []
+    for i in range(200):
+        lang = rng.choice(sorted(alphabets))
+        text = " ".join("".join(rng.choices(alphabets[lang] + alphabets["bb"][:2], k=rng.randint(1, 7))) for _ in range(rng.randint(0, 30)))
+        rows.append((i, text if i % 40 else None, lang if rng.random() < 0.9 else None))
+    rows += [(300 + i, rows[1][1], rows[1][2]) for i in range(50)] + [(400, "12 34", "aa"), (401, "Zzz QQ", "bb"), (402, "İéÜ x", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    want = brute(rows, sample, most)
+    got = L.identify(docs.repartition(7), sample=sample, grams=most).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r["lang_pred"] == want[r["doc_id"]][0] and r["score"] == pytest.approx(want[r["doc_id"]][1], abs=1e-5), r
+
+
+def test_learning_does_not_gather_texts(spark):
+    """The sample is chosen by hashes: no window sees texts, and the texts that are taken come by broadcast."""
+    rows = documents(spark).where("lang is not null and text is not null").select("lang", "text").withColumn("_hash", F.xxhash64("text"))
+    picked = L._picked(rows, 2, L.Scratch(spark, "test"))
+    assert max(r["count"] for r in picked.groupBy("lang").count().collect()) == 2 and picked.columns == ["lang", "_hash"]

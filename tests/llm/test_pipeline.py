@@ -2,7 +2,7 @@
 
 import corpus_pipeline as P
 import public_tokenizers
-from edge import documents
+from edge import documents, untouched
 
 from quietgrid.llm import langid, line_dedup, mixing, packing, simhash
 
@@ -33,6 +33,7 @@ def test_stages(spark, tmp_path):
         else:
             own = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json")).groupBy("doc_id", "piece", "length", "ids_crc32").count()
             assert sorted(map(str, own.collect())) == sorted(map(str, out.groupBy("doc_id", "piece", "length", "ids_crc32").count().collect()))
+        assert k == 4 or untouched(out.collect())
         assert out.columns == (names if k < 4 else ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
         docs = out
 
