@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, components
@@ -23,8 +23,8 @@ COSINE = 0.93
 SAMPLE, CELL, CELLS, ROUNDS = 16_384, 1024, 4096, 8
 #: Times a cell's aim beyond which it is cut again, cells it is cut into at most, rows that those are fitted on.
 LARGE, SUBCELLS, SUBSAMPLE = 8, 256, 8192
-#: Vectors in a block.
-BLOCK = 2048
+#: Vectors in a block; copies of a vector that one task takes; heavy vectors up to which their list is sent to all tasks.
+BLOCK, COPIES, LISTED = 2048, 1 << 16, 1 << 20
 
 #: A cell's number is that of its first cut, shifted by so many bits, and that of its second one.
 _SHIFT = 20
@@ -35,7 +35,9 @@ def _usable(v: str) -> str:
 
 
 def _unit(vecs) -> np.ndarray:
+    """Rows of length 1. The largest component is divided out first, so that no square overflows or vanishes."""
     rows = np.array([np.asarray(v, np.float64) for v in vecs], np.float64)
+    rows = rows / np.abs(rows).max(axis=1, keepdims=True)
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
@@ -127,13 +129,15 @@ def _cut_large(placed: DataFrame, scratch: Scratch, cosine: float, cell: int) ->
     if large.isEmpty():
         return placed
     rows = inside.join(large, where)
-    turn = F.row_number().over(Window.partitionBy(*where).orderBy(F.xxhash64("vec"), "rep"))
+    # a sample by threshold of the hash, so that no cell is ranked as a whole
+    drawn = F.pmod(F.xxhash64("vec", "rep"), F.lit(1 << 30)) < F.lit(SUBSAMPLE) / F.col("count") * (1 << 30)
 
     def fit(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("rep")
         centers = spherical_k_means(_unit(own["vec"]), int(min(SUBCELLS, -(-own["count"].iloc[0] // cell))))
         return pd.DataFrame({c: [own[c].iloc[0]] for c in [*where, "salts"]} | {"centers": [centers.ravel()]})
 
-    fitted = rows.withColumn("turn", turn).where(F.col("turn") <= SUBSAMPLE).drop("turn").groupBy(*where).applyInPandas(fit, f"label {kind}, dim int, cell long, salts long, centers array<double>")
+    fitted = rows.where(drawn).groupBy(*where).applyInPandas(fit, f"label {kind}, dim int, cell long, salts long, centers array<double>")
     copies = fitted.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).select(*(F.col(c).alias(f"_{c}") for c in [*where, "salt"]), "centers")
 
     def assign(own: pd.DataFrame, centers: pd.DataFrame) -> pd.DataFrame:
@@ -151,8 +155,33 @@ def _cut_large(placed: DataFrame, scratch: Scratch, cosine: float, cell: int) ->
     return scratch.write(placed.drop("cells").join(lists, "rep"), "parts")
 
 
+def _spread(rows: DataFrame, named: DataFrame, scratch: Scratch, copies: int) -> DataFrame:
+    """rows joined with named by label and vector. A vector of over `copies` rows is dealt to tasks by salt.
+
+    Which those are is a list of hashes, a row for each `copies` rows of the table at most, sent to all tasks while it is
+    short; beyond, the join is plain, and left to the session's splitting of skewed partitions.
+    """
+    hashed = F.xxhash64("label", "vec")
+    heavy = scratch.write(named.where(F.col("n") > copies).groupBy(hashed.alias("_hash")).agg(F.ceil(F.max("n") / copies).alias("_salts")), "heavy")
+    if heavy.limit(LISTED + 1).count() > LISTED:
+        return rows.join(named, ["label", "vec"])
+    salts = F.coalesce("_salts", F.lit(1))
+    left = rows.withColumn("_hash", hashed).join(F.broadcast(heavy), "_hash", "left").withColumn("_salt", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), salts))
+    right = named.withColumn("_hash", hashed).join(F.broadcast(heavy), "_hash", "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).drop("_salts", "_hash")
+    return left.drop("_salts", "_hash").join(right, ["label", "vec", "_salt"])
+
+
 def near_duplicates(
-    vectors: DataFrame, cosine: float = COSINE, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", sample: int = SAMPLE, cell: int = CELL, cells: int = CELLS, block: int = BLOCK
+    vectors: DataFrame,
+    cosine: float = COSINE,
+    vec_id: str = "vec_id",
+    embedding: str = "embedding",
+    label: str = "label",
+    sample: int = SAMPLE,
+    cell: int = CELL,
+    cells: int = CELLS,
+    block: int = BLOCK,
+    copies: int = COPIES,
 ) -> DataFrame:
     """One row per row of vectors: vec_id, n_links, component_id, kept.
 
@@ -197,9 +226,9 @@ def near_duplicates(
     named = reps.join(groups, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    named = named.join(ids, "component").join(links, "rep", "left").select("label", "vec", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
+    named = named.join(ids, "component").join(links, "rep", "left").select("label", "vec", "n", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
     named = scratch.write(named, "named")
     out = rows.withColumn("_usable", usable)
-    own = out.where("_usable").join(named, ["label", "vec"]).select("vec_id", "n_links", "component_id")
+    own = _spread(out.where("_usable"), named, scratch, copies).select("vec_id", "n_links", "component_id")
     alone = out.where(~F.col("_usable")).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return own.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -61,4 +61,11 @@ def test_cells_lose_no_pair(spark, seed, cells, monkeypatch):
 
 def test_hot_vector(spark):
     rows = [(i, [1.0, 2.0], 0) for i in range(300)] + [(1000, [1.0, 2.1], 0), (1001, [-1.0, 0.0], 0)]
-    assert run(spark, rows, block=8) == brute(rows)
+    assert run(spark, rows, block=8, copies=64) == run(spark, rows) == brute(rows)
+
+
+def test_squares_that_overflow_or_vanish(spark):
+    rows = [(1, [1e200, 0.0]), (2, [2e200, 1e190]), (3, [1e-200, 0.0]), (4, [1.0, 0.001]), (5, [0.0, 5e-324]), (6, [0.0, 1.7e308]), (7, [-1e-300, 1e-320])]
+    df = spark.createDataFrame([(i, v, "a") for i, v in rows], "vec_id long, embedding array<double>, label string")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in E.near_duplicates(df).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (3, 1), 5: (1, 5), 6: (1, 5), 7: (0, 7)}
