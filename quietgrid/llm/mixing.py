@@ -1,7 +1,8 @@
 """Mixing sources to target weights by Sainte-Lague apportionment, in DataFrame functions alone.
 
 Sources share the mix by weight, capped at a multiple of their size (water-filling). Blocks of equal size are then given to
-sources by highest quotients target / (2k + 1), and in the same way by each source to its shards, whose sizes are bounded.
+sources by highest quotients target / (2k + 1), and in the same way by each source to its shards, whose sizes are bounded,
+or first to groups of them where there are more than fit one row.
 A shard lays its documents out in seeded order, which cuts it into blocks; it takes whole rounds and then its first blocks.
 """
 
@@ -13,8 +14,8 @@ from pyspark.sql import functions as F
 from .common import WORD, Scratch
 
 WEIGHTS, SHARE, CAP = (5.0, 2.0, 1.0), 1.5, 2.0
-#: Words in a block; words and documents in a shard, about.
-BLOCK, SHARD_WORDS, SHARD_DOCS = 4, 1 << 20, 1 << 16
+#: Words in a block; words and documents in a shard, about; shards that share blocks out in one row.
+BLOCK, SHARD_WORDS, SHARD_DOCS, FAN = 4, 1 << 20, 1 << 16, 1024
 SEED = "0"
 
 
@@ -56,6 +57,25 @@ def _seats(rows: DataFrame, group: list[str], order: list[str], blocks: str) ->
     return rows.withColumn("seats", seats.cast("long")).drop("_d", "_sure", "_left")
 
 
+def _shares(shards: DataFrame, fan: int) -> DataFrame:
+    """shards (source, _shard, t, m, _blocks of the source) and seats. A source gives to groups of shards, those to theirs.
+
+    A group has `fan` members, so no row or task holds more claims than that; up to `fan` shards of a source are one group.
+    """
+    levels = 1
+    while (shards.agg(F.max("_shard")).first()[0] or 0) >= fan**levels:
+        levels += 1
+    given = shards.groupBy("source").agg(F.first("_blocks").alias("_blocks")).withColumn("_above", F.lit(0).cast("long"))
+    for level in reversed(range(levels)):
+        node = F.floor(F.col("_shard") / fan**level)
+        claims = shards.groupBy("source", node.alias("_node")).agg(F.sum("t").alias("t"), F.sum("m").alias("m")).withColumn("_above", F.floor(F.col("_node") / fan))
+        above = given.select(F.col("source").alias("_s"), F.col("_above").alias("_a"), "_blocks")
+        claims = claims.join(above, claims["source"].eqNullSafe(above["_s"]) & (claims["_above"] == above["_a"])).drop("_s", "_a")
+        seats = _seats(claims, ["source", "_above"], ["_node"], "_blocks")
+        given = seats.select("source", F.col("_node").alias("_above"), F.col("seats").cast("double").alias("_blocks"))
+    return given.select(F.col("source").alias("_s"), F.col("_above").alias("_k"), F.col("_blocks").alias("_seats"))
+
+
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
     """sizes (source, source_size, docs) and target. Sources take the weights in turn by code point, null last.
 
@@ -79,6 +99,7 @@ def mix(
     block: int = BLOCK,
     shard_words: int = SHARD_WORDS,
     shard_docs: int = SHARD_DOCS,
+    fan: int = FAN,
     seed: str = SEED,
     doc_id: str = "doc_id",
     text: str = "text",
@@ -95,17 +116,25 @@ def mix(
     scratch, keep = Scratch(docs.sparkSession, "mixing"), keep or []
     rows = docs.select(F.col(doc_id).alias("_id"), F.col(source).alias("_source"), words(F.col(text)).alias("size"), *(F.col(k).alias(f"_kept_{k}") for k in keep))
     rows = rows.withColumn("_order", F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("_id").cast("string"), F.lit("")))))
-    by_source = scratch.write(targets(rows.groupBy(F.col("_source").alias("source")).agg(F.sum("size").alias("source_size"), F.count("*").alias("docs")), weights, share, cap), "sources")
+    # the texts are read here, and once more only if they are kept
+    sized = scratch.write(rows.select("_id", "_source", "size", "_order"), "sized")
+    rows = rows if keep else sized
+    by_source = scratch.write(targets(sized.groupBy(F.col("_source").alias("source")).agg(F.sum("size").alias("source_size"), F.count("*").alias("docs")), weights, share, cap), "sources")
     total = by_source.agg(F.sum("source_size")).first()[0] or 0
     claims = by_source.select("*", F.col("target").alias("t"), F.floor(F.col("source_size") * F.lit(cap) / block).cast("double").alias("m"), F.floor(F.lit(total * share / block + 0.5)).cast("double").alias("_give"))
     quotas = _seats(claims, [], ["source"], "_give").select("source", "source_size", "target", F.col("seats").cast("double").alias("_blocks"), F.ceil(F.greatest(F.col("source_size") / shard_words, F.col("docs") / shard_docs, F.lit(1))).alias("_shards"))
     quotas = scratch.write(quotas, "quotas")
-    rows = rows.join(quotas, rows["_source"].eqNullSafe(quotas["source"])).withColumn("_shard", F.conv(F.substring("_order", 1, 8), 16, 10).cast("long") % F.col("_shards"))
-    shards = rows.groupBy("source", "_shard").agg(F.sum("size").alias("_words"), F.first("_blocks").alias("_blocks"))
+
+    def sharded(df: DataFrame) -> DataFrame:
+        return df.join(quotas, df["_source"].eqNullSafe(quotas["source"])).withColumn("_shard", F.conv(F.substring("_order", 1, 8), 16, 10).cast("long") % F.col("_shards"))
+
+    shards = sharded(sized).groupBy("source", "_shard").agg(F.sum("size").alias("_words"), F.first("_blocks").alias("_blocks"))
     shards = scratch.write(shards.select("*", F.col("_words").cast("double").alias("t"), F.floor(F.col("_words") * F.lit(cap) / block).cast("double").alias("m")), "shards")
-    shards = _seats(shards, ["source"], ["_shard"], "_blocks").select(F.col("source").alias("_s"), F.col("_shard").alias("_k"), "_words", (F.col("seats") * block).alias("_take"))
+    seats = _shares(shards, fan)
+    shards = shards.join(seats, shards["source"].eqNullSafe(seats["_s"]) & (shards["_shard"] == seats["_k"])).select("_s", "_k", "_words", (F.col("_seats") * block).cast("long").alias("_take"))
     shards = scratch.write(shards, "shares")
-    rows = rows.drop("_blocks", "_shards").join(shards, rows["source"].eqNullSafe(shards["_s"]) & (rows["_shard"] == shards["_k"]))
+    rows = sharded(rows).drop("_blocks", "_shards")
+    rows = rows.join(shards, rows["source"].eqNullSafe(shards["_s"]) & (rows["_shard"] == shards["_k"]))
     ordered = Window.partitionBy("source", "_shard").orderBy("_order", "_id", "size", *(F.xxhash64(f"_kept_{k}") for k in keep))
     start = F.sum("size").over(ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")
     rounds = F.when(F.col("_words") > 0, F.floor(F.col("_take") / F.col("_words"))).otherwise(0)
@@ -120,6 +149,7 @@ def materialise(docs: DataFrame, **options) -> DataFrame:
 
     A document taken once or twice is one or two rows. Where a round takes part of it, that row's text is its first words,
     joined by spaces (and n_chars, if there is such a column, is that text's length); one document in a shard is so cut.
+    Null and wordless texts have nothing to take, so they go; ties and repeated rows are as in mix().
     """
     named = docs.columns
     rows = mix(docs, keep=named, **options)

@@ -33,10 +33,9 @@ def rows(n=300):
     return [(i, " ".join("w" for _ in range(int(rng.paretovariate(0.8)) % 500)), "en", rng.choice("aaaaaabcdefgh") if i % 17 else None) for i in range(n)]
 
 
-@pytest.mark.parametrize("docs", [DOCS, rows(), [(1, "a b", "en", "only")], [(1, None, None, None), (2, "", "en", "x")]], ids=["edge", "random", "one", "empty"])
-@pytest.mark.parametrize("shard", [1 << 20, 60])
-def test_targets_are_met(spark, docs, shard):
-    got = M.mix(documents(spark, docs), shard_words=shard).collect()
+@pytest.mark.parametrize("docs, shard, fan", [(DOCS, 1 << 20, 1024), (DOCS, 60, 1024), (rows(), 1 << 20, 1024), (rows(), 60, 1024), (rows(), 300, 8), ([(1, "a b", "en", "only")], 60, 1024), ([(1, None, None, None), (2, "", "en", "x")], 60, 1024)])
+def test_targets_are_met(spark, docs, shard, fan):
+    got = M.mix(documents(spark, docs), shard_words=shard, fan=fan).collect()
     assert sorted((str(r["doc_id"]), r["size"]) for r in got) == sorted((str(d[0]), size(d[1])) for d in docs)
     sizes = {}
     for d in docs:
@@ -52,7 +51,7 @@ def test_targets_are_met(spark, docs, shard):
             shards[s] = max(1, sizes[s] // shard + 1)
         for s, n in taken.items():
             assert abs(n - want[s]) <= M.BLOCK * (shards[s] + 1)
-    again = M.mix(documents(spark, docs).repartition(5), shard_words=shard).collect()
+    again = M.mix(documents(spark, docs).repartition(5), shard_words=shard, fan=fan).collect()
     assert sorted(map(str, got)) == sorted(map(str, again))
 
 
