@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -25,9 +25,17 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where that is unset, as in tests."""
+    """The folder that the cluster names in spark.checkpoint.dir; one of our own only on a local master, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="quietgrid-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df cut from its lineage, in the shared folder, so that it outlives the executors that made it."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint()
