@@ -1,11 +1,15 @@
 """URL filters: host and path rules first, then a weighted vocabulary matched by an Aho-Corasick automaton.
 
-The automaton finds every term of the vocabulary in one pass over the URL. A hit counts if neither neighbour is a letter or
-digit of ASCII. One strict hit, or several distinct soft terms, block a URL that no rule decides.
+The automaton finds every term of the vocabulary in one pass over the URL, in which escapes of ASCII characters have been
+decoded once and A-Z put in lower case. A hit counts if neither neighbour is a letter or digit of ASCII. A term that weighs
+LIMIT or more is strict, others are soft: one strict hit, or distinct soft terms that weigh LIMIT together, block a URL that
+no rule decides. The vocabulary below is a default; read_vocabulary() takes another from a table.
 """
 
 from __future__ import annotations
 
+import math
+import re
 from functools import cache
 
 import ahocorasick
@@ -14,12 +18,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: (verdict, rule): the rule is a host and a path.
+# Fixed values. (verdict, rule): the rule is a host and a path.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
-STRICT = ("adult", "casino", "escort", "hentai", "malware", "phishing", "porn", "porno", "spam", "torrent", "viagra", "warez", "xxx")
-SOFT = ("ads", "bet", "bets", "bonus", "cheap", "coupon", "crack", "dating", "deal", "deals", "farm", "free", "jackpot", "loan", "loans", "pills", "poker", "sex", "slots", "track", "tracker", "win", "winner")
-#: Distinct soft terms that block.
-SOFT_LIMIT = 2
+#: The weight that blocks.
+LIMIT = 1.0
+# The default vocabulary. Strict terms weigh 1, soft ones a half, weak ones a quarter.
+STRICT = """
+adult adultdating adultfriendfinder bdsm bestiality bukkake camgirl camgirls camsex casino casinos cialis creampie darknet deepfakes
+dildo erotic erotica escort escorts exploitkit fetish fuck gangbang gore hardcoresex hentai incest jailbait keygen keylogger levitra
+malware masturbation milf nsfw nude nudes onlyfans orgy phishing porn porno pornhub pornography pornos pornstar pornstars rapidgator
+ransomware roulette sexcam sexcams sexchat sexshop sextoys sexvideos shemale softcore spam spyware sportsbook strip striptease
+swingers threesome torrent torrents trojan twink upskirt viagra voyeur warez webcamsex whore xhamster xnxx xvideos xxx
+""".split()
+SOFT = """
+ads adserver affiliate bet bets betting bingo bonus cheap clickbait coupon coupons crack cracked cracks dating deal deals discount doubleclick
+farm followers forex free freebies gambling girls hack hacks hookup hot jackpot keto lesbian loan loans lottery mature naked offer offers
+payday pharmacy pills pirate poker popup popups promo proxy referral replica serial sex sexy singles slot slots steroids teen teens track
+tracker tracking unblocked wagering watches weightloss win winner winners
+""".split()
+WEAK = """
+best buy click download earn exclusive gift guaranteed instant limited online order prize rich sale save subscribe trial unlimited vip
+""".split()
+VOCABULARY = dict.fromkeys(STRICT, 1.0) | dict.fromkeys(SOFT, 0.5) | dict.fromkeys(WEAK, 0.25)
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORD = frozenset(_LOWER + "0123456789")
@@ -47,51 +67,75 @@ def matched_rule(host: Column, path: Column, rules: tuple[tuple[str, str], ...]
     return rule, verdict
 
 
+#: Terms of a vocabulary at most: it is sent to every task.
+TERMS = 1 << 20
+_ESCAPE = re.compile(r"%([2-7][0-9A-Fa-f])")
+
+
+def read_vocabulary(terms: DataFrame, term: str = "term", weight: str = "weight") -> dict[str, float]:
+    """{term: weight} of a table of at most TERMS terms, each in lower case with its largest weight. Nulls and empty terms are left out."""
+    rows = terms.where(F.col(weight).isNotNull() & (F.col(term) != "")).groupBy(F.translate(F.col(term), _UPPER, _LOWER).alias("term")).agg(F.max(F.col(weight).cast("double")).alias("weight"))
+    found = {r["term"]: r["weight"] for r in rows.limit(TERMS + 1).collect()}
+    if len(found) > TERMS:
+        raise ValueError(f"a vocabulary has {TERMS} terms at most")
+    return found
+
+
 @cache
-def _automaton(strict: tuple[str, ...], soft: tuple[str, ...]) -> ahocorasick.Automaton:
+def _automaton(vocabulary: frozenset[tuple[str, float]]) -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
-    for term in soft:
-        found.add_word(term, (term, False))
-    for term in strict:
-        found.add_word(term, (term, True))
+    for term, weight in vocabulary:
+        found.add_word(term, (term, weight))
     found.make_automaton()
     return found
 
 
-def hits(url: str, strict: tuple[str, ...] = STRICT, soft: tuple[str, ...] = SOFT) -> tuple[int, int]:
-    """(strict hits, distinct soft terms) in a URL in lower case, at boundaries."""
-    hard, easy = 0, set()
-    for end, (term, is_strict) in _automaton(strict, soft).iter(url):
+def plain(url: str) -> str:
+    """A URL as the vocabulary sees it: escapes of printable ASCII characters decoded (once), A-Z in lower case."""
+    return _ESCAPE.sub(lambda m: chr(int(m[1], 16)), url).translate(_LOWERED)
+
+
+_LOWERED = str.maketrans(_UPPER, _LOWER)
+
+
+def hits(text: str, vocabulary: frozenset[tuple[str, float]], limit: float = LIMIT) -> tuple[int, int, float]:
+    """(strict hits, distinct soft terms, weight of those) in a text of plain(), at boundaries."""
+    if not vocabulary:
+        return 0, 0, 0.0
+    hard, easy = 0, {}
+    for end, (term, weight) in _automaton(vocabulary).iter(text):
         start = end - len(term)
-        if (start < 0 or url[start] not in _WORD) and (end + 1 == len(url) or url[end + 1] not in _WORD):
-            if is_strict:
+        if (start < 0 or text[start] not in _WORD) and (end + 1 == len(text) or text[end + 1] not in _WORD):
+            if weight >= limit:
                 hard += 1
             else:
-                easy.add(term)
-    return hard, len(easy)
+                easy[term] = weight
+    return hard, len(easy), math.fsum(easy.values())
 
 
-def judge(pages: DataFrame, page_id: str = "page_id", url: str = "url", rules: tuple[tuple[str, str], ...] = RULES, strict: tuple[str, ...] = STRICT, soft: tuple[str, ...] = SOFT, soft_limit: int = SOFT_LIMIT) -> DataFrame:
-    """One row per row of pages: page_id, host, path, rule, verdict, strict_hits, soft_terms.
+def judge(pages: DataFrame, page_id: str = "page_id", url: str = "url", rules: tuple[tuple[str, str], ...] = RULES, vocabulary: dict[str, float] | None = None, limit: float = LIMIT) -> DataFrame:
+    """One row per row of pages: page_id, host, path, rule, verdict, strict_hits, soft_terms, soft_weight.
 
     A null or empty url has an empty host and path, fits no rule, has no hits and is allowed. Repeated rows are judged each;
-    other columns are not read; no rows give no rows.
+    other columns are not read; no rows give no rows. Host, path and rules take escapes as they stand.
     """
+    terms = frozenset((VOCABULARY if vocabulary is None else vocabulary).items())
 
-    @F.pandas_udf(T.StructType([T.StructField("strict_hits", T.IntegerType()), T.StructField("soft_terms", T.IntegerType())]))
+    @F.pandas_udf(T.StructType([T.StructField("strict_hits", T.IntegerType()), T.StructField("soft_terms", T.IntegerType()), T.StructField("soft_weight", T.DoubleType())]))
     def counted(urls: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([hits(u or "", strict, soft) for u in urls], columns=["strict_hits", "soft_terms"]).astype("int32")
+        found = pd.DataFrame([hits(plain(u or ""), terms, limit) for u in urls], columns=["strict_hits", "soft_terms", "soft_weight"])
+        return found.astype({"strict_hits": "int32", "soft_terms": "int32", "soft_weight": "float64"})
 
     host, path = split_url(F.col(url))
-    rows = pages.select(F.col(page_id).alias("page_id"), host.alias("host"), path.alias("path"), counted(F.translate(F.coalesce(F.col(url), F.lit("")), _UPPER, _LOWER)).alias("_hits"))
+    rows = pages.select(F.col(page_id).alias("page_id"), host.alias("host"), path.alias("path"), counted(F.col(url)).alias("_hits"))
     rule, verdict = matched_rule(F.col("host"), F.col("path"), rules)
-    own = F.when((F.col("_hits.strict_hits") >= 1) | (F.col("_hits.soft_terms") >= soft_limit), "block").otherwise("allow")
-    return rows.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"), F.col("_hits.strict_hits").alias("strict_hits"), F.col("_hits.soft_terms").alias("soft_terms"))
+    own = F.when((F.col("_hits.strict_hits") >= 1) | (F.col("_hits.soft_weight") >= limit), "block").otherwise("allow")
+    return rows.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"), F.col("_hits.strict_hits").alias("strict_hits"), F.col("_hits.soft_terms").alias("soft_terms"), F.col("_hits.soft_weight").alias("soft_weight"))
 
 
 def _sql() -> str:
-    any_strict = " + ".join(rf"len(regexp_extract_all(low, '(?:^|[^a-z0-9]){t}(?:[^a-z0-9])'))" for t in STRICT)
-    soft = " + ".join(rf"regexp_matches(low, '(^|[^a-z0-9]){t}([^a-z0-9]|$)')::INT" for t in SOFT)
+    listed = lambda terms: ", ".join(f"'{t}'" for t in terms)
+    of = lambda terms: f"len(list_distinct(list_filter(tokens, lambda t: t IN ({listed(terms)}))))"
     ordered = sorted(RULES, key=lambda r: -len(r[1]))
     fits = [f"((host = '{t.split('/')[0]}' OR ends_with(host, '.{t.split('/')[0]}')) AND starts_with(path, '/{t.split('/', 1)[1]}'))" for _, t in ordered]
     rule = " ".join(f"WHEN {c} THEN '{t}'" for c, (_, t) in zip(fits, ordered, strict=True))
@@ -99,15 +143,18 @@ def _sql() -> str:
     return f"""
 WITH cut AS (
   SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest,
-         -- a separator is doubled, as a match takes the one on either side
-         regexp_replace(translate(coalesce(url, ''), '{_UPPER}', '{_LOWER}'), '([^a-z0-9])', '\\1\\1', 'g') || '//' AS low FROM pages),
+         array_to_string(list_transform(string_split(coalesce(url, ''), '%'), lambda x, i: CASE WHEN i = 1 THEN x
+           WHEN regexp_matches(x, '^[2-7][0-9A-Fa-f]') THEN chr(('0x' || substr(x, 1, 2))::INT) || substr(x, 3) ELSE '%' || x END), '') AS decoded FROM pages),
 parts AS (
-  SELECT page_id, low, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{_UPPER}', '{_LOWER}') AS host,
-         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
-counted AS (SELECT *, {any_strict} AS strict_hits, {soft} AS soft_terms FROM parts)
+  SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{_UPPER}', '{_LOWER}') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
+         -- terms are runs of letters and digits, so hits at boundaries are whole runs
+         regexp_extract_all(translate(decoded, '{_UPPER}', '{_LOWER}'), '[a-z0-9]+') AS tokens FROM cut),
+counted AS (
+  SELECT *, len(list_filter(tokens, lambda t: t IN ({listed(STRICT)}))) AS strict_hits, {of(SOFT)} AS soft, {of(WEAK)} AS weak FROM parts)
 SELECT page_id, host, path, CASE {rule} ELSE NULL END AS rule,
-       CASE {verdict} WHEN strict_hits >= 1 OR soft_terms >= {SOFT_LIMIT} THEN 'block' ELSE 'allow' END AS verdict,
-       strict_hits::INT AS strict_hits, soft_terms::INT AS soft_terms
+       CASE {verdict} WHEN strict_hits >= 1 OR soft / 2 + weak / 4 >= {LIMIT} THEN 'block' ELSE 'allow' END AS verdict,
+       strict_hits::INT AS strict_hits, (soft + weak)::INT AS soft_terms, soft / 2 + weak / 4 AS soft_weight
 FROM counted
 """
 
