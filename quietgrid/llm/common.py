@@ -38,10 +38,19 @@ def _delete(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Deletes all scratch tables of this process. Results of operators read them, so those must have been written before."""
-    while _ROOTS:
-        _delete(spark, _ROOTS.pop())
+def held() -> frozenset[str]:
+    """The folders of scratch tables that this process has written and not released."""
+    return frozenset(_ROOTS)
+
+
+def release(spark: SparkSession, but: frozenset[str] = frozenset()) -> None:
+    """Deletes all scratch tables of this process but those in some folders.
+
+    Results of operators read them, so those must have been written before.
+    """
+    for root in _ROOTS - but:
+        _delete(spark, root)
+        _ROOTS.discard(root)
 
 
 class Scratch:
