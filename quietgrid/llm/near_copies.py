@@ -5,16 +5,20 @@ and a fingerprint of any length differs in that share of its bits, far more than
 candidates are those that agree in one of 24 bands of 4 minimum hashes, which a pair at 0.8 misses three times in a million
 and a closer pair less often. Every candidate is verified on the whole sets. Texts of equal sets are one row, so copies are
 not expanded. Of a band's bucket first a few leaders are held against all others, which links a large group in a linear
-number of pairs; then every pair of the bucket that is not yet in one component is held against each other, so no link is
-left out.
+number of pairs; the first leader is the set with most company in its buckets, such as the text that others are edits of.
+What is left in buckets of several components goes through an exact join: two sets of that similarity share one of the
+rarest fifth of their shingles, at places that leave room for the overlap they need. So no link is left out, and a text whose
+edits nobody else has meets nobody.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -83,16 +87,19 @@ def _similar(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def _buckets(prints: DataFrame, scratch: Scratch) -> DataFrame:
-    """_band, _key, _fp, _n for buckets of two and more distinct sets."""
+    """_band, _key, _fp, _n, _size for buckets of two and more (_size) distinct sets."""
     one = prints.groupBy("_fp").agg(F.first("_n").alias("_n"), F.first("_bands").alias("_bands"))
     rows = scratch.write(one.select("_fp", "_n", F.posexplode("_bands").alias("_band", "_key")), "bands")
-    shared = rows.groupBy("_band", "_key").agg(F.count("*").alias("_size")).where("_size > 1").drop("_size")
+    shared = rows.groupBy("_band", "_key").agg(F.count("*").alias("_size")).where("_size > 1")
     return scratch.write(rows.join(shared, ["_band", "_key"]), "buckets")
 
 
 def _leading(buckets: DataFrame) -> DataFrame:
-    """Pairs a < b of each bucket's leaders (least by a hash) with its other sets."""
-    lead = buckets.groupBy("_band", "_key").agg(F.array_distinct(F.array(*(F.min_by(F.struct("_fp", "_n"), F.struct(F.xxhash64("_fp", F.lit(k)), "_fp")) for k in range(LEADERS)))).alias("_lead"))
+    """Pairs a < b of each bucket's leaders (that with most company in all its buckets, others by hash) with its other sets."""
+    own = F.struct("_fp", "_n")
+    company = buckets.groupBy("_fp").agg(F.sum("_size").alias("_company"))
+    first = F.max_by(own, F.struct("_company", "_fp"))
+    lead = buckets.join(company, "_fp").groupBy("_band", "_key").agg(F.array_distinct(F.array(first, *(F.min_by(own, F.struct(F.xxhash64("_fp", F.lit(k)), "_fp")) for k in range(1, LEADERS)))).alias("_lead"))
     met = buckets.join(lead.select("_band", "_key", F.explode("_lead").alias("_lead")), ["_band", "_key"]).where("_fp <> _lead._fp")
     return met.where(_near_sizes("_n", "_lead._n")).select(F.least("_fp", "_lead._fp").alias("a"), F.greatest("_fp", "_lead._fp").alias("b")).distinct()
 
@@ -101,15 +108,35 @@ def _near_sizes(m: str, n: str) -> str:
     return f"least({m}, {n}) * {SIMILAR[1]} >= greatest({m}, {n}) * {SIMILAR[0]}"
 
 
-def _apart(buckets: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
-    """Pairs a < b of each bucket that are in different components."""
+def _elements(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for row in batch.itertuples(index=False):
+            yield pd.DataFrame({"_fp": row[0], "_n": row[1], "_of": row[2], "_shingle": np.frombuffer(row[3], np.int64)})
+
+
+def _apart(buckets: DataFrame, found: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """Pairs a < b of different components that may be near copies, among the sets in buckets of several components.
+
+    Shingles are ordered by how many of those sets have them. If the first that two sets share stands at places p and q, they
+    share n - p and m - q at most, and near copies share 4/9 of n + m at least. Pairs of different components have one that
+    isn't of the shingle's main component, so a large component isn't held against itself.
+    """
     named = buckets.join(found.select(F.col("id").alias("_fp"), "component"), "_fp", "left").withColumn("_of", F.coalesce("component", "_fp"))
     named = scratch.write(named.select("_band", "_key", "_fp", "_n", "_of"), "named")
     mixed = named.groupBy("_band", "_key").agg(F.min("_of").alias("_low"), F.max("_of").alias("_high")).where("_low <> _high").select("_band", "_key")
-    left = scratch.write(named.join(mixed, ["_band", "_key"]), "mixed")
-    x, y = left.alias("x"), left.alias("y")
-    met = x.join(y, F.expr(f"x._band = y._band and x._key = y._key and x._fp < y._fp and x._of <> y._of and {_near_sizes('x._n', 'y._n')}"))
-    return met.select(F.col("x._fp").alias("a"), F.col("y._fp").alias("b")).distinct()
+    left = named.join(mixed, ["_band", "_key"]).select("_fp", "_n", "_of").distinct()
+    rows = left.join(sets.select("_fp", "_set"), "_fp").select("_fp", "_n", "_of", "_set").mapInPandas(_elements, "_fp long, _n int, _of long, _shingle long")
+    rows = rows.withColumn("_common", F.count("*").over(Window.partitionBy("_shingle")))
+    rows = rows.withColumn("_at", F.row_number().over(Window.partitionBy("_fp").orderBy("_common", "_shingle")) - 1)
+    short = f"_common > 1 and _at * {SIMILAR[1]} <= _n * {SIMILAR[1] - SIMILAR[0]}"
+    rare = scratch.write(rows.where(short).select("_fp", "_n", "_of", "_shingle", "_at"), "rare")
+    main = rare.groupBy("_shingle", "_of").count().groupBy("_shingle").agg(F.max_by("_of", F.struct("count", "_of")).alias("_main"), F.count("*").alias("_kinds")).where("_kinds > 1").drop("_kinds")
+    rare = scratch.write(rare.join(main, "_shingle"), "rare")
+    x, y = rare.where("_of <> _main").alias("x"), rare.alias("y")
+    need = f"{SIMILAR[0]} * (x._n + y._n)"
+    room = " and ".join(f"{sum(SIMILAR)} * ({t}._n - {t}._at) >= {need}" for t in "xy")
+    met = x.join(y, F.expr(f"x._shingle = y._shingle and x._of <> y._of and (y._of = y._main or x._fp < y._fp) and {room}"))
+    return met.select(F.least("x._fp", "y._fp").alias("a"), F.greatest("x._fp", "y._fp").alias("b")).distinct()
 
 
 def _simhash_links(prints: DataFrame, scratch: Scratch) -> DataFrame:
@@ -137,7 +164,7 @@ def classes(prints: DataFrame, docs: DataFrame, doc_id: str, text: str, scratch:
 
     tried = scratch.write(_leading(buckets), "tried")
     links = verified(tried).unionByName(_simhash_links(prints, scratch))
-    rest = _apart(buckets, components(links, scratch), scratch).join(tried, ["a", "b"], "left_anti")
+    rest = _apart(buckets, components(links, scratch), sets, scratch).join(tried, ["a", "b"], "left_anti")
     found = components(links.unionByName(verified(rest)), scratch)
     return found.select(F.col("id").alias("_fp"), F.col("component").alias("_group"))
 

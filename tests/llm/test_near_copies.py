@@ -51,6 +51,27 @@ def test_stage_links_all_near_copies(spark):
     assert sorted(r["doc_id"] for r in stage(spark, documents(spark, rows), "unused").collect()) == brute(rows)
 
 
+def test_edits_of_one_text_meet_few_others(spark):
+    """Most edits have no near copy but the text itself, which is in no bucket with some; pairs that are tried don't grow with their square."""
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    base = [word() for _ in range(120)]
+    rows = [(0, " ".join(base), "en", "s")]
+    for i in range(1, 160):
+        own = list(base)
+        for k in rng.sample(range(120), 1 + i % 7):
+            own[k] = word()
+        rows.append((i, " ".join(own), "en", "s"))
+    tried = []
+    similar = N._apart
+    N._apart = lambda *a: tried.append(similar(*a)) or tried[0]
+    try:
+        assert sorted(r["doc_id"] for r in N.one_of_each(documents(spark, rows)).collect()) == brute(rows)
+        assert tried[0].count() < 2 * len(rows)
+    finally:
+        N._apart = similar
+
+
 def test_awkward_documents(spark):
     kept = N.one_of_each(documents(spark))
     ids = [r["doc_id"] for r in kept.collect()]
