@@ -6,12 +6,14 @@ Frames are long: keys (such as channel), and a score. References have the same k
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from itertools import combinations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranking import counts_below, picked_quantile, reference_counts
+from ..session import checkpointed
+from .ranking import counts_below, picked_quantile, reference_counts, value_counts
 from .ranking import quantile as exact_quantile
 
 #: Fixed values of the tail: its quantile, the least scale of excesses.
@@ -35,10 +37,11 @@ def z_scores(scores: DataFrame, reference: DataFrame, keys: list[str], score: st
 
 def tail_evidence(scores: DataFrame, reference: DataFrame, keys: list[str], score: str, out: str = "evidence") -> DataFrame:
     """-log of the upper-tail probability of a score under the reference: exponential above its 0.9 quantile, else empirical."""
-    counts = reference_counts(scores, reference, keys, score)
-    sizes = reference.groupBy(*keys).agg(F.count("*").alias("_n"))
+    # one table of counts, kept, gives sizes, quantiles, excesses and ranks
+    counts = checkpointed(reference_counts(scores, reference, keys, score))
+    sizes = counts.groupBy(*keys).agg(F.sum("_ref").alias("_n")).where("_n > 0")
     cut = picked_quantile(counts, sizes, keys, score, "_ref", TAIL, "_u").join(sizes, keys)
-    over = reference.join(cut, keys).where(F.col(score) > F.col("_u")).groupBy(*keys).agg(F.avg(F.col(score) - F.col("_u")).alias("_beta"))
+    over = counts.join(cut.select(*keys, "_u"), keys).where(F.col(score) > F.col("_u")).groupBy(*keys).agg((F.sum(F.col("_ref") * (F.col(score) - F.col("_u"))) / F.nullif(F.sum("_ref"), F.lit(0))).alias("_beta"))
     fit = cut.join(over, keys, "left").withColumn("_beta", F.greatest(F.coalesce("_beta", F.lit(LEAST_SCALE)), F.lit(LEAST_SCALE)))
     ranked = scores.join(counts.select(*keys, score, F.col("below__ref").alias("_below")), [*keys, score]).join(fit, keys)
     empirical = -F.ln((F.col("_n") - F.col("_below") + 1) / (F.col("_n") + 1))
@@ -53,6 +56,38 @@ def fuse(evidence: DataFrame, keys: list[str], channel: str, value: str, out: st
     return (summed.where(F.col("_channels") == len(channels)) if channels else summed).drop("_channels")
 
 
+def cross_fitted(
+    df: DataFrame, scene: list[str], video: str, time: str, fit: Callable[[DataFrame], DataFrame], score: Callable[[DataFrame, DataFrame], DataFrame], every: int = 3, n: int = 2
+) -> tuple[DataFrame, DataFrame]:
+    """(the model of all of df, held-out scores of every `every`-th frame of it): how a channel is fitted and scaled.
+
+    df: frames of normal videos. Videos are dealt to n folds; fit takes the frames of the other folds, score takes those held
+    out and that model, and the scores are a reference no model of which has seen its own frames. A fold whose others have no
+    frames has no scores: one video alone gives a model and an empty reference.
+    """
+    dealt = folds(df, scene, video, "_fold", n)
+    held = None
+    for k in range(n):
+        own = dealt.where(F.col("_fold") == k).where(F.col(time) % every == 0).drop("_fold")
+        scored = score(own, fit(dealt.where(F.col("_fold") != k).drop("_fold")))
+        held = scored if held is None else held.unionByName(scored)
+    return fit(df), held
+
+
+def fuse_z(scores: DataFrame, reference: DataFrame, keys: list[str], channel: str, score: str, sums: dict[str, list[str]], out: str = "fused") -> DataFrame:
+    """keys, name, out: sums of z-scores over the named sets of channels, scales from the reference.
+
+    A set with a channel that has no reference is skipped as a whole; so is, of a set, a frame that lacks one of its channels.
+    """
+    spark = scores.sparkSession
+    table = spark.createDataFrame([(name, c, len(own)) for name, own in sums.items() for c in own], f"name string, {channel} string, _size int")
+    known = table.join(reference.select(channel).distinct(), channel, "left_semi")
+    whole = known.groupBy("name").agg(F.count("*").alias("_there"), F.first("_size").alias("_of")).where("_there = _of").select("name")
+    z = z_scores(scores, reference, [channel], score, "_z").join(F.broadcast(table.join(whole, "name", "left_semi")), channel)  # rows of the argument
+    summed = z.groupBy(*keys, "name", "_size").agg(F.sum("_z").alias(out), F.count("*").alias("_n"))
+    return summed.where("_n = _size").drop("_n", "_size")
+
+
 def cell_survival(values: DataFrame, reference: DataFrame, cell: str, value: str, out: str = "evidence", kappa: float = KAPPA) -> DataFrame:
     """-log of a cell's survival function shrunk towards the scene's: (n S_cell + kappa S_scene + 1) / (n + kappa + 1)."""
     own = reference.groupBy(cell).agg(F.count("*").alias("_n"))
@@ -68,12 +103,13 @@ def cell_tail(values: DataFrame, reference: DataFrame, cell: str, value: str, ev
 
     The threshold is the value below the cell's largest tenth (one value at least).
     """
-    ranked = reference.select(cell, value).withColumn("_r", F.row_number().over(Window.partitionBy(cell).orderBy(F.desc(value)))).withColumn("_n", F.count("*").over(Window.partitionBy(cell)))
-    ranked = ranked.withColumn("_k", F.greatest(F.lit(1), F.floor(F.col("_n") * 0.1)))
-    u = ranked.where(F.col("_r") == F.col("_k") + 1).select(cell, F.col(value).alias("_u"))
-    top = ranked.where(F.col("_r") <= F.col("_k")).join(u, cell).withColumn("_excess", F.col(value) - F.col("_u"))
-    cells = top.groupBy(cell, "_u").agg(F.avg("_excess").alias("_own"), F.count("*").alias("_k"))
-    scene = top.agg(F.avg("_excess").alias("_scene"))  # one row
+    counts, sizes = value_counts(reference.select(cell, value), [cell], value)
+    ranked = counts.join(sizes, cell).withColumn("_k", F.greatest(F.lit(1), F.floor(F.col("_n") * 0.1))).withColumn("_above", F.col("_n") - F.col("below__c") - F.col("_c"))
+    u = ranked.where((F.col("_above") <= F.col("_k")) & (F.col("_k") < F.col("_above") + F.col("_c"))).select(cell, F.col(value).alias("_u"))
+    # of equal values at the threshold's rank only some are above it
+    top = ranked.where(F.col("_above") < F.col("_k")).join(u, cell).withColumn("_times", F.least("_c", F.col("_k") - F.col("_above"))).withColumn("_excess", F.col("_times") * (F.col(value) - F.col("_u")))
+    cells = top.groupBy(cell, "_u").agg((F.sum("_excess") / F.sum("_times")).alias("_own"), F.sum("_times").alias("_k"))
+    scene = top.agg((F.sum("_excess") / F.sum("_times")).alias("_scene"))  # one row
     fit = cells.crossJoin(F.broadcast(scene)).select(cell, "_u", F.greatest((F.col("_k") * F.col("_own") + kappa * F.col("_scene")) / (F.col("_k") + kappa), F.col("_scene") * 1e-2 + 1e-9).alias("_beta"))
     tail = -math.log(0.1) + (F.col(value) - F.col("_u")) / F.col("_beta")
     joined = values.join(fit, cell, "left")

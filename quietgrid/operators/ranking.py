@@ -62,8 +62,22 @@ def picked_quantile(counts: DataFrame, sizes: DataFrame, keys: list[str], value:
     return ends.select(*keys, (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_part")).alias(out))
 
 
+def value_counts(df: DataFrame, keys: list[str], value: str) -> tuple[DataFrame, DataFrame]:
+    """(keys, value, _c, below__c: rows at and below each value; keys, _n: all rows), nulls left out."""
+    distinct = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
+    return totals_below(distinct, keys, value, ["_c"]), distinct.groupBy(*keys).agg(F.sum("_c").alias("_n"))
+
+
+def quantiles(df: DataFrame, keys: list[str], value: str, wanted: dict[str, float]) -> DataFrame:
+    """keys and the exact quantiles of their values by name, nulls left out."""
+    counts, sizes = value_counts(df, keys, value)
+    found = [picked_quantile(counts, sizes, keys, value, "_c", q, name) for name, q in wanted.items()]
+    out = found[0]
+    for other in found[1:]:
+        out = out.join(other, keys) if keys else out.crossJoin(F.broadcast(other))  # one row
+    return out
+
+
 def quantile(df: DataFrame, keys: list[str], value: str, q: float, out: str) -> DataFrame:
     """keys and the exact quantile of their values, nulls left out."""
-    distinct = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
-    sizes = distinct.groupBy(*keys).agg(F.sum("_c").alias("_n"))
-    return picked_quantile(totals_below(distinct, keys, value, ["_c"]), sizes, keys, value, "_c", q, out)
+    return quantiles(df, keys, value, {out: q})

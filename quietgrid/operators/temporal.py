@@ -101,9 +101,10 @@ def gaussian(df: DataFrame, keys: Keys, order: str, value: str, out: str, sigma:
 
 
 def min_max(df: DataFrame, keys: Keys, value: str, out: str) -> DataFrame:
-    """(value - least) / (largest - least + 1e-12) within a series."""
-    whole = Window.partitionBy(*keys)
-    return df.withColumn(out, (F.col(value) - F.min(value).over(whole)) / (F.max(value).over(whole) - F.min(value).over(whole) + 1e-12))
+    """(value - least) / (largest - least + 1e-12) within a series. Ends come from partial minima, so no series is held as a whole."""
+    ends = df.groupBy(*(F.col(k).alias(f"_end_{k}") for k in keys)).agg(F.min(value).alias("_least"), F.max(value).alias("_largest"))
+    on = [F.col(k).eqNullSafe(F.col(f"_end_{k}")) for k in keys]
+    return df.join(ends, on).withColumn(out, (F.col(value) - F.col("_least")) / (F.col("_largest") - F.col("_least") + 1e-12)).drop("_least", "_largest", *(f"_end_{k}" for k in keys))
 
 
 def lag_difference(df: DataFrame, keys: Keys, order: str, value: str, out: str, gap: int = 2) -> DataFrame:

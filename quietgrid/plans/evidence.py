@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import calibrate as C
 from ..operators import metrics as M
 from ..operators import temporal as T
+from ..operators.ranking import quantiles
 from .bindings import FRAMES, frames, rounded
 from .register import query
 from .series import GAIN
@@ -221,6 +222,38 @@ def cross_fitted_reference(spark, sf_dir):
     return rounded(C.z_scores(df, fit, ["fold"], "x").select("event_id", "fold", "z"), "z")
 
 
+_FUSED = {"mc_all": ["k", "x", "xx"], "mc_pair": ["k", "x"], "mc_unknown": ["x", "none"]}
+
+
+@query(f"""WITH {FRAMES}, {_LONG}, f AS (SELECT channel, avg(score) AS m, stddev_pop(score) + 1e-12 AS sd FROM long WHERE y = 0 GROUP BY 1),
+z AS (SELECT event_id, channel, (score - m) / sd AS z FROM long JOIN f USING (channel))
+SELECT event_id, 'mc_all' AS name, round(sum(z), 6) AS fused FROM z GROUP BY 1 UNION ALL SELECT event_id, 'mc_pair', round(sum(z), 6) FROM z WHERE channel IN ('k', 'x') GROUP BY 1""")
+def channel_sums(spark, sf_dir):
+    """Sums of z-scores over sets of channels; the set with a channel that isn't there is skipped."""
+    long = channels(spark, sf_dir)
+    return rounded(C.fuse_z(long, long.where("y = 0").select("channel", "score"), ["event_id"], "channel", "score", _FUSED), "fused")
+
+
+@query(f"""WITH {FRAMES}, v AS (SELECT video, ((row_number() OVER (ORDER BY video) - 1) % 2)::INT AS fold FROM (SELECT DISTINCT video FROM frames WHERE y = 0)),
+s AS (SELECT frames.*, fold, (t % 6)::INT AS cell FROM frames JOIN v USING (video) WHERE y = 0),
+g AS (SELECT fold, avg(x) AS gm, var_pop(x) AS gv FROM s GROUP BY 1), c AS (SELECT fold, cell, avg(x) AS m, var_pop(x) AS v FROM s GROUP BY 1, 2),
+b AS (SELECT fold, cell, (m + gm) / 2 AS m, (v + gv) / 2 + (m - gm) * (m - gm) / 4 AS v FROM c JOIN g USING (fold)),
+g1 AS (SELECT avg(x) AS gm, var_pop(x) AS gv FROM s), c1 AS (SELECT cell, avg(x) AS m, var_pop(x) AS v FROM s GROUP BY 1),
+b1 AS (SELECT cell, (m + gm) / 2 AS m, (v + gv) / 2 + (m - gm) * (m - gm) / 4 AS v FROM c1 CROSS JOIN g1),
+ref AS (SELECT (s.x - b.m) * (s.x - b.m) / (b.v * (1 + 1e-3) + 1e-8) AS d FROM s JOIN b ON b.fold = 1 - s.fold AND b.cell = s.cell WHERE t % 3 = 0),
+sc AS (SELECT avg(d) AS m, stddev_pop(d) + 1e-12 AS sd FROM ref)
+SELECT event_id, round(((f.x - b1.m) * (f.x - b1.m) / (b1.v * (1 + 1e-3) + 1e-8) - sc.m) / sc.sd, 6) AS z FROM frames f JOIN b1 ON b1.cell = f.t % 6 CROSS JOIN sc""")
+def cross_fitted_channel(spark, sf_dir):
+    """A channel's model of all normal frames, scaled by scores of normal frames under models that haven't seen their videos."""
+    from ..operators import background as B
+
+    df = frames(spark, sf_dir).withColumn("cell", (F.col("t") % 6).cast("int")).withColumn("f", F.array("x")).withColumn("channel", F.lit("frx"))
+    fit = lambda own: B.finalise(B.moments(own, ["cell"], "f", 1), ["cell"], 1)
+    score = lambda own, model: B.detectors(own, model, ["cell"], "f", 1)
+    model, held = C.cross_fitted(df.where("y = 0"), [], "video", "t", fit, score)
+    return rounded(C.z_scores(score(df, model), held, ["channel"], "frx_bayes").select("event_id", "z"), "z")
+
+
 @query(f"WITH {FRAMES} SELECT video, event_id, t, round(x, 6) AS x FROM frames QUALIFY row_number() OVER (PARTITION BY video ORDER BY x DESC, t) = 1")
 def most_anomalous_frame(spark, sf_dir):
     return rounded(M.first_best(frames(spark, sf_dir), ["video"], "x", ["t"]).select("video", "event_id", "t", "x"), "x")
@@ -228,7 +261,9 @@ def most_anomalous_frame(spark, sf_dir):
 
 @query(f"WITH {FRAMES} SELECT event_type, round(quantile_cont(x, 0.9), 6) AS q90, round(quantile_cont(x, 0.5), 6) AS median, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS sd_pop, round(stddev_samp(x), 6) AS sd_samp, count(*) FILTER (x > 4) AS active FROM frames GROUP BY 1")
 def summary_statistics(spark, sf_dir):
-    rows = frames(spark, sf_dir).groupBy("event_type").agg(F.percentile("x", 0.9).alias("q90"), F.percentile("x", 0.5).alias("median"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("sd_pop"), F.stddev_samp("x").alias("sd_samp"), F.count_if(F.col("x") > 4).alias("active"))
+    df = frames(spark, sf_dir).select("event_type", "x")
+    rows = df.groupBy("event_type").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("sd_pop"), F.stddev_samp("x").alias("sd_samp"), F.count_if(F.col("x") > 4).alias("active"))
+    rows = rows.join(quantiles(df, ["event_type"], "x", {"q90": 0.9, "median": 0.5}), "event_type")
     return rounded(rows, "q90", "median", "mean", "sd_pop", "sd_samp")
 
 

@@ -93,25 +93,32 @@ def weighted_rx(spark, sf_dir):
     return rounded(rx(G.closing(rows, _F, "e", "c"), _F, "v", "c").select("frame", "y", "x", "wrx"), "wrx", digits=5)
 
 
-_DET = f"""cellv AS (SELECT *, (y // 4 * 3 + x // 4)::INT AS cell FROM dense), nrm AS (SELECT * FROM cellv WHERE frame % 2 = 0),
+_WRX = """e AS (SELECT frame, y, x, v AS r, v * v AS v FROM dense),
+dil AS (SELECT a.frame, a.y, a.x, a.r, max(b.v) AS m FROM e a JOIN e b ON a.frame = b.frame AND abs(a.y - b.y) <= 2 AND abs(a.x - b.x) <= 2 GROUP BY ALL),
+cl AS (SELECT a.frame, a.y, a.x, a.r, 1 / (min(b.m) + 1e-6) AS w FROM dil a JOIN dil b ON a.frame = b.frame AND abs(a.y - b.y) <= 2 AND abs(a.x - b.x) <= 2 GROUP BY ALL),
+wm AS (SELECT frame, sum(w * r) / sum(w) AS m FROM cl GROUP BY 1),
+wv AS (SELECT cl.frame, sum(w * (r - m) * (r - m)) / sum(w) AS v FROM cl JOIN wm USING (frame) GROUP BY 1)"""
+
+_DET = f"""{_WRX}, cellv AS (SELECT *, (y // 4 * 3 + x // 4)::INT AS cell FROM dense), nrm AS (SELECT * FROM cellv WHERE frame % 2 = 0),
 gg AS (SELECT avg(v) AS gm, var_pop(v) AS gv FROM nrm), cc AS (SELECT cell, avg(v) AS m, var_pop(v) AS cv FROM nrm GROUP BY 1),
 bb AS (SELECT *, (m + gm) / 2 AS bm, (cv + gv) / 2 + (m - gm) * (m - gm) / 4 AS bv FROM cc CROSS JOIN gg),
 dd AS (SELECT c.frame, y, x, c.v * c.v AS rem, (c.v - gm) * (c.v - gm) / (gv * 1.001::DOUBLE + 1e-8) AS frx_global, (c.v - m) * (c.v - m) / (cv * 1.001::DOUBLE + 1e-8) AS frx_cell,
   (c.v - bm) * (c.v - bm) / (bv * 1.001::DOUBLE + 1e-8) AS frx_bayes FROM cellv c JOIN bb USING (cell)),
 lng AS (SELECT frame, y, x, 'rem' AS detector, rem AS v FROM dd UNION ALL SELECT frame, y, x, 'frx_global', frx_global FROM dd UNION ALL SELECT frame, y, x, 'frx_cell', frx_cell FROM dd
-  UNION ALL SELECT frame, y, x, 'frx_bayes', frx_bayes FROM dd UNION ALL SELECT frame, y, x, 'frx_t', 0.5 * (5 + 1) * ln(1 + frx_bayes / 3) FROM dd),
+  UNION ALL SELECT frame, y, x, 'frx_bayes', frx_bayes FROM dd UNION ALL SELECT frame, y, x, 'frx_t', 0.5 * (5 + 1) * ln(1 + frx_bayes / 3) FROM dd
+  UNION ALL SELECT cl.frame, y, x, 'wrx', (r - m) * (r - m) / (v * (1 + 1e-3) + 1e-8) FROM cl JOIN wm USING (frame) JOIN wv USING (frame)),
 ws AS (SELECT fr.frame, t.detector, p.y, q.x, coalesce(sum(d.v), 0) AS s FROM fr CROSS JOIN (SELECT DISTINCT detector FROM lng) t CROSS JOIN range(0, 13) p(y) CROSS JOIN range(0, 11) q(x)
   LEFT JOIN lng d ON d.frame = fr.frame AND d.detector = t.detector AND d.y BETWEEN p.y - 2 AND p.y + 1 AND d.x BETWEEN q.x - 2 AND q.x + 1 GROUP BY 1, 2, 3, 4)"""
 
 
 @query(f"WITH {MAPS}, {_DET} SELECT frame, detector, round(max(s) / 16, 4) AS score FROM ws GROUP BY 1, 2")
 def frame_detectors(spark, sf_dir):
-    """Every residual detector's frame score but that of weighted_rx, which has its own query."""
+    """Every residual detector's frame score."""
     from ..operators.bundle import score_frames
 
     m = G.dense(maps(spark, sf_dir), _F, "v", HEIGHT, WIDTH)
     rows = score_frames(m, m.where("frame % 2 = 0"), _F, "v", HEIGHT, WIDTH, 4, 4, 5.0)
-    return rounded(rows.where("detector <> 'wrx'"), "score", digits=4)
+    return rounded(rows, "score", digits=4)
 
 
 @query()

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..operators import motion as M
+from ..operators.ranking import quantile
 from ..operators.skew import skewed_background
 from .bindings import rounded, table, vectors
 from .register import query
@@ -39,7 +40,7 @@ def flow_speed(spark, sf_dir):
 @query("SELECT l_orderkey, l_linenumber, least(255, round(l_extendedprice * (96.0::DOUBLE / greatest((SELECT quantile_cont(l_extendedprice, 0.999) FROM lineitem), 1e-3))))::INT AS level FROM lineitem")
 def quantised_magnitude(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem")
-    top = rows.agg(F.percentile("l_extendedprice", 0.999)).first()[0] or 0.0
+    top = (quantile(rows, [], "l_extendedprice", 0.999, "top").first() or [0.0])[0] or 0.0
     return rows.select("l_orderkey", "l_linenumber", S.quantised(F.col("l_extendedprice"), top).alias("level"))
 
 

@@ -8,6 +8,7 @@ from ..operators import judge as J
 from ..operators import metrics as M
 from ..operators import relational as R
 from ..operators import sampling as S
+from ..operators.ranking import quantile
 from ..sources.frames import decimate, frame_labels, label_ranges
 from .bindings import FRAMES, frames, rounded, table
 from .register import query
@@ -156,7 +157,7 @@ def median_latency(spark, sf_dir):
 
     df = frames(spark, sf_dir)
     gap = F.timestamp_diff("MICROSECOND", F.lag("ts").over(Window.partitionBy("video").orderBy("t")), F.col("ts")) / 1e6
-    return rounded(df.select("event_type", gap.alias("gap")).where("gap is not null").groupBy("event_type").agg(F.percentile("gap", 0.5).alias("median_gap")), "median_gap")
+    return rounded(quantile(df.select("event_type", gap.alias("gap")), ["event_type"], "gap", 0.5, "median_gap"), "median_gap")
 
 
 _TEXT = "list_distinct(regexp_extract_all(lower(text), '[a-z]+'))"
