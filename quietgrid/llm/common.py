@@ -82,22 +82,34 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
 
     edges: columns a and b of one orderable type, repeats and either direction allowed. Returns (id, component) for every
     node of an edge with a != b, component being the smallest id reachable. Alternates large-star and small-star steps
-    (logarithmically many rounds); every round is two grouped minima with map-side combine and two equi-joins, so a hub
-    with any number of links is never gathered in one task. Rounds are written to the shared folder. Null ends are ignored.
+    (logarithmically many rounds) until only stars are left; every round is two grouped minima with map-side combine and two
+    equi-joins, so a hub with any number of links is never gathered in one task. Rounds are written to the shared folder.
+    Null ends are ignored.
     """
     now = scratch.write(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    seen = None
-    while True:
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if mark[0] == 0 or mark == seen:
-            return now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(now.select(F.col("v").alias("id"), F.col("v").alias("component"))).distinct()
-        seen = mark
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        small = small.union(least.select("u", F.col("m").alias("v"))).distinct()
-        after = scratch.write(small, "edges")
+    while not _settled(now):
+        least = now.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "v")
+        large = now.join(least, "v", "left").select("u", F.coalesce("m", "v").alias("v"))
+        small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
+        after = scratch.write(small.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct(), "edges")
         scratch.drop(now)
         now = after
+    return now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+
+
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node u has one edge and is no other edge's v. edges: distinct (u, v), u > v."""
+    ends = edges.select(F.col("u").alias("id"), F.lit(1).alias("up")).unionByName(edges.select(F.col("v").alias("id"), F.lit(0).alias("up")))
+    return ends.groupBy("id").agg(F.max("up").alias("up"), F.count("*").alias("n")).where("up = 1 and n > 1").count() == 0
+
+
+def joined(found: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """components() of a graph with further edges (columns a and b), given found, its components() without them.
+
+    Only the components that the further edges link are worked on. Null ends are ignored.
+    """
+    a, b = (found.select(F.col("id").alias(k), F.col("component").alias(f"_{k}")) for k in "ab")
+    ends = edges.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
+    above = components(ends, scratch)
+    old = found.join(above.select(F.col("id").alias("component"), F.col("component").alias("_above")), "component", "left")
+    return old.select("id", F.coalesce("_above", "component").alias("component")).unionByName(above.join(found, "id", "left_anti"))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, components
+from .common import Scratch, components, joined
 from .simhash import fingerprint, first_of_each
 from .simhash import joining as close_prints
 
@@ -164,8 +164,9 @@ def classes(prints: DataFrame, docs: DataFrame, doc_id: str, text: str, scratch:
 
     tried = scratch.write(_leading(buckets), "tried")
     links = verified(tried).unionByName(_simhash_links(prints, scratch))
-    rest = _apart(buckets, components(links, scratch), sets, scratch).join(tried, ["a", "b"], "left_anti")
-    found = components(links.unionByName(verified(rest)), scratch)
+    found = scratch.write(components(links, scratch), "found")
+    rest = _apart(buckets, found, sets, scratch).join(tried, ["a", "b"], "left_anti")
+    found = joined(found, verified(rest), scratch)
     return found.select(F.col("id").alias("_fp"), F.col("component").alias("_group"))
 
 
