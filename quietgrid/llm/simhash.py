@@ -12,7 +12,7 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -89,9 +89,9 @@ def joining(prints: DataFrame, scratch: Scratch) -> DataFrame:
     then, of signatures whose prints are not yet in one component, each two prints of different components.
     """
     signed = signatures(prints)
-    group = Window.partitionBy("_key")
-    shared = signed.withColumn("_low", F.min("_fp").over(group)).withColumn("_high", F.max("_fp").over(group)).where("_low < _high").drop("_high")
-    shared = scratch.write(shared, "shared")
+    # least and greatest are taken before the shuffle too, so a key of many prints is no task's whole work
+    ends = signed.groupBy("_key").agg(F.min("_fp").alias("_low"), F.max("_fp").alias("_high")).where("_low < _high").select("_key", "_low")
+    shared = scratch.write(signed.join(scratch.write(ends, "ends"), "_key"), "shared")
     close = f"bit_count({{}} ^ {{}}) <= {DISTANCE}"
     stars = scratch.write(shared.where("_fp <> _low and " + close.format("_fp", "_low")).select(F.col("_low").alias("a"), F.col("_fp").alias("b")).distinct(), "stars")
     named = shared.drop("_low").join(components(stars, scratch).select(F.col("id").alias("_fp"), "component"), "_fp", "left")
