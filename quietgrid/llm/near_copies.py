@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,6 +29,9 @@ from .simhash import joining as close_prints
 #: Words of a shingle; similarity of near copies, as a fraction; bands, hashes in a band, leaders of a bucket.
 WORDS, SIMILAR, BANDS, ROWS, LEADERS, SEED = 5, (4, 5), 24, 4, 3, 42
 
+#: A shingle's rows are dealt to several tasks if they are more than DEAL and more than one in COMMON of all rows.
+DEAL, COMMON = 500, 10_000
+
 _RANDOM = np.random.default_rng(SEED).integers(0, 1 << 64, (3, BANDS * ROWS), np.uint64)
 _ODD, _FLIP, _PLACE = _RANDOM[0] | np.uint64(1), _RANDOM[1], (_RANDOM[2] | np.uint64(1)).reshape(BANDS, ROWS)
 _TURN = np.random.default_rng(SEED + 1).integers(0, 1 << 64, WORDS, np.uint64) | np.uint64(1)
@@ -114,28 +117,61 @@ def _elements(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"_fp": row[0], "_n": row[1], "_of": row[2], "_shingle": np.frombuffer(row[3], np.int64)})
 
 
+def _heavy(counts: DataFrame, count: str, rows: int) -> DataFrame:
+    """(_shingle, _times) for shingles with more than DEAL rows and more than one in COMMON of all: at most COMMON of them.
+
+    A table of _times * _times tasks has about that many rows of the shingle in each when it is dealt once.
+    """
+    most = max(DEAL, -(-rows // COMMON))
+    return counts.where(F.col(count) > most).select("_shingle", F.ceil(F.sqrt(F.col(count) / most)).cast("int").alias("_times"))
+
+
+def _with_times(rows: DataFrame, heavy: DataFrame) -> DataFrame:
+    return rows.join(F.broadcast(heavy), "_shingle", "left").withColumn("_times", F.coalesce("_times", F.lit(1)))
+
+
+def _part(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.col("_times")).cast("int")
+
+
+def _parts() -> Column:
+    return F.explode(F.sequence(F.lit(0), F.col("_times") - 1))
+
+
 def _apart(buckets: DataFrame, found: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
     """Pairs a < b of different components that may be near copies, among the sets in buckets of several components.
 
     Shingles are ordered by how many of those sets have them. If the first that two sets share stands at places p and q, they
     share n - p and m - q at most, and near copies share 4/9 of n + m at least. Pairs of different components have one that
-    isn't of the shingle's main component, so a large component isn't held against itself.
+    isn't of the shingle's main component, so a large component isn't held against itself. The rows of a shingle that very many
+    sets have are dealt to several tasks, in every join.
     """
     named = buckets.join(found.select(F.col("id").alias("_fp"), "component"), "_fp", "left").withColumn("_of", F.coalesce("component", "_fp"))
     named = scratch.write(named.select("_band", "_key", "_fp", "_n", "_of"), "named")
     mixed = named.groupBy("_band", "_key").agg(F.min("_of").alias("_low"), F.max("_of").alias("_high")).where("_low <> _high").select("_band", "_key")
     left = named.join(mixed, ["_band", "_key"]).select("_fp", "_n", "_of").distinct()
     rows = left.join(sets.select("_fp", "_set"), "_fp").select("_fp", "_n", "_of", "_set").mapInPandas(_elements, "_fp long, _n int, _of long, _shingle long")
-    rows = rows.withColumn("_common", F.count("*").over(Window.partitionBy("_shingle")))
+    rows = scratch.write(rows, "elements")
+    counts = scratch.write(rows.groupBy("_shingle").agg(F.count("*").alias("_common")).where("_common > 1"), "counts")
+    heavy = scratch.write(_heavy(counts, "_common", rows.count()), "heavy")
+    spread = _with_times(rows, heavy).withColumn("_x", _part("_fp")).drop("_times")
+    named_counts = _with_times(counts, heavy).withColumn("_x", _parts()).drop("_times")
+    rows = spread.join(named_counts, ["_shingle", "_x"], "left").withColumn("_common", F.coalesce("_common", F.lit(1)))
     rows = rows.withColumn("_at", F.row_number().over(Window.partitionBy("_fp").orderBy("_common", "_shingle")) - 1)
     short = f"_common > 1 and _at * {SIMILAR[1]} <= _n * {SIMILAR[1] - SIMILAR[0]}"
     rare = scratch.write(rows.where(short).select("_fp", "_n", "_of", "_shingle", "_at"), "rare")
-    main = rare.groupBy("_shingle", "_of").count().groupBy("_shingle").agg(F.max_by("_of", F.struct("count", "_of")).alias("_main"), F.count("*").alias("_kinds")).where("_kinds > 1").drop("_kinds")
-    rare = scratch.write(rare.join(main, "_shingle"), "rare")
-    x, y = rare.where("_of <> _main").alias("x"), rare.alias("y")
+    kinds = rare.groupBy("_shingle", "_of").count().groupBy("_shingle")
+    main = kinds.agg(F.max_by("_of", F.struct("count", "_of")).alias("_main"), F.count("*").alias("_kinds"), F.sum("count").alias("_rows")).where("_kinds > 1")
+    main = scratch.write(main.select("_shingle", "_main", "_rows"), "main")
+    heavy = scratch.write(_heavy(main, "_rows", rare.count()), "heavy")
+    rare = _with_times(rare, heavy).withColumn("_x", _part("_fp")).join(_with_times(main, heavy).withColumn("_x", _parts()).drop("_times", "_rows"), ["_shingle", "_x"])
+    rare = scratch.write(rare, "rare")
+    # a heavy shingle's rows meet in a square of tasks: one side is dealt by row and the other by column
+    x = rare.where("_of <> _main").withColumn("_y", _parts()).alias("x")
+    y = rare.withColumn("_y", F.col("_x")).withColumn("_x", _parts()).alias("y")
     need = f"{SIMILAR[0]} * (x._n + y._n)"
     room = " and ".join(f"{sum(SIMILAR)} * ({t}._n - {t}._at) >= {need}" for t in "xy")
-    met = x.join(y, F.expr(f"x._shingle = y._shingle and x._of <> y._of and (y._of = y._main or x._fp < y._fp) and {room}"))
+    met = x.join(y, F.expr(f"x._shingle = y._shingle and x._x = y._x and x._y = y._y and x._of <> y._of and (y._of = y._main or x._fp < y._fp) and {room}"))
     return met.select(F.least("x._fp", "y._fp").alias("a"), F.greatest("x._fp", "y._fp").alias("b")).distinct()
 
 

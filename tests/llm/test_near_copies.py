@@ -77,3 +77,19 @@ def test_awkward_documents(spark):
     ids = [r["doc_id"] for r in kept.collect()]
     assert kept.columns == documents(spark).columns and ids.count(None) == 1 and N.one_of_each(documents(spark, [])).count() == 0
     assert sorted(i for i in ids if i is not None) == brute([d for d in DOCS if d[0] is not None])
+
+
+def test_common_shingles_are_dealt_to_several_tasks(spark, monkeypatch):
+    """With hardly a row of a shingle to a task, the same pairs are tried and the same rows stay. No leader links any beforehand."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    base = [word() for _ in range(100)]
+    rows = [(i, " ".join(word() if rng.random() < 0.05 else w for w in base), "en", "s") for i in range(90)]
+    found, leading, pairs = N._apart, N._leading, []
+    monkeypatch.setattr(N, "_leading", lambda buckets: leading(buckets).where("false"))
+    monkeypatch.setattr(N, "_apart", lambda *a: pairs.append(found(*a)) or pairs[-1])
+    for deal in (N.DEAL, 2):
+        monkeypatch.setattr(N, "DEAL", deal)
+        assert sorted(r["doc_id"] for r in N.one_of_each(documents(spark, rows)).collect()) == brute(rows)
+    plain_pairs, dealt_pairs = ({(r["a"], r["b"]) for r in p.collect()} for p in pairs)
+    assert plain_pairs == dealt_pairs and plain_pairs
