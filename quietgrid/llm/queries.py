@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
-from . import embed_dedup, langid, line_dedup, mixing, mtree, packing, simhash, suffix_dedup, url_filter, warc_zip
+from . import ctph, embed_dedup, fim, langid, line_dedup, mixing, mtree, packing, simhash, suffix_dedup, url_filter, wand, warc_zip
 from .common import table
 
 
@@ -53,6 +53,18 @@ def op10_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_zip.round_trip(table(ship(spark), sf_dir, "pages"))
 
 
+def op11_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctph.against_next(table(ship(spark), sf_dir, "documents"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(table(ship(spark), sf_dir, "documents"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wand.rank(table(ship(spark), sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
@@ -64,6 +76,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_warc_zip": op10_warc_zip,
+    "op11_document_fingerprints": op11_document_fingerprints,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_ranked_search": op13_ranked_search,
 }
 
 #: DuckDB SQL, where it can express a query. The others are tested against brute force in tests/llm.
@@ -73,4 +88,6 @@ ORACLE_SQL: dict[str, str] = {
     "op6_source_mixing": mixing.SQL,
     "op8_line_dedup": line_dedup.SQL,
     "op10_warc_zip": warc_zip.SQL,
+    "op12_fill_in_middle": fim.SQL,
+    "op13_ranked_search": wand.SQL,
 }
