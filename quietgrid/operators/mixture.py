@@ -1,4 +1,4 @@
-"""Mixture backgrounds: a universal mixture adapted to each cell, and a pruned mixture over reduced codes."""
+"""Mixture backgrounds: log densities under a mixture, and a universal mixture adapted to each cell."""
 
 from __future__ import annotations
 
@@ -8,8 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import GaussianMixture
-from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,16 +17,14 @@ from .sampling import cap
 
 #: Components, relevance of the universal mixture, rows it is fitted on, its regularisation.
 COMPONENTS, RELEVANCE, ROWS, REGULARISATION = 5, 16.0, 200_000, 1e-4
-#: Components of the code mixture at most, those that count, its code length.
-MOST, ACTIVE, CODE = 20, 0.01, 16
 
 
 class Mixture:
     """weights (K), means (K, C) and covariances (K, C, C) with what log densities need. Its size doesn't grow with data."""
 
-    def __init__(self, weights, means, covs):
+    def __init__(self, weights, means, covs, ridge: float = REGULARISATION):
         self.w, self.mu, self.cov = (np.asarray(a, np.float64) for a in (weights, means, covs))
-        self.cov = self.cov + REGULARISATION * np.eye(self.cov.shape[-1])
+        self.cov = self.cov + ridge * np.eye(self.cov.shape[-1])
         self.p = np.linalg.inv(self.cov)
         self.ld = np.linalg.slogdet(self.p)[1]
 
@@ -96,27 +93,14 @@ def universal_background(df: DataFrame, cell: str, feature: str, ids: list[str],
     return score(df, adapt(df, cell, feature, ubm), cell, feature, ubm, out)
 
 
-def code_mixture(df: DataFrame, feature: str, ids: list[str], out: str = "bgmm", code: int = CODE, most: int = MOST, rows: int = 60_000, seed: int = 0) -> DataFrame:
-    """df with the negative log density of its codes (principal components, scaled to unit sample deviation).
-
-    The mixture is finite, with components of weight under 0.01 dropped: a stand-in for one with a Dirichlet-process prior.
-    """
-    vectors = df.withColumn("_raw", array_to_vector(F.transform(F.col(feature), lambda x: x.cast("double"))))
-    sample = cap(vectors, ids, rows, seed)
-    pca = PCA(k=code, inputCol="_raw", outputCol="_pc").fit(sample.select("_raw"))
-    coded = lambda d: pca.transform(d).withColumn("_code", vector_to_array("_pc")).drop("_raw", "_pc")
-    own = coded(sample)
-    scale = own.select(*(F.stddev_samp(F.col("_code")[i]).alias(f"s{i}") for i in range(code))).first()
-    unit = lambda d: d.withColumn("_code", F.array(*(F.col("_code")[i] / F.lit(max(scale[i] or 0.0, 1e-9)) for i in range(code))))
-    fitted = Mixture.fit(unit(own), "_code", most, seed)
-    active = fitted.w > ACTIVE
-    kept = Mixture(fitted.w[active] / fitted.w[active].sum(), fitted.mu[active], fitted.cov[active])
+def log_density(df: DataFrame, feature: str, mixture: Mixture, out: str) -> DataFrame:
+    """df with the negative log density of each row's vector under a mixture."""
 
     @F.pandas_udf(T.DoubleType())
     def density(f: pd.Series) -> pd.Series:
-        return pd.Series(-logsumexp(kept.log_terms(np.array(f.tolist(), np.float64))) if len(f) else [], dtype="float64")
+        return pd.Series(-logsumexp(mixture.log_terms(np.array(f.tolist(), np.float64))) if len(f) else [], dtype="float64")
 
-    return unit(coded(vectors)).withColumn(out, density("_code")).drop("_code")
+    return df.withColumn(out, density(feature))
 
 
 def assign(df: DataFrame, feature: str, mixture: Mixture, out: str) -> DataFrame:
@@ -127,10 +111,3 @@ def assign(df: DataFrame, feature: str, mixture: Mixture, out: str) -> DataFrame
         return pd.Series(mixture.log_terms(np.array(f.tolist(), np.float64)).argmax(1) if len(f) else [], dtype="int32")
 
     return df.withColumn(out, best(feature))
-
-
-def scene_states(df: DataFrame, normal: DataFrame, feature: str, ids: list[str], out: str = "state", most: int = 6, rows: int = 60_000, seed: int = 0) -> DataFrame:
-    """df with the scene state of each frame's descriptor: a component, of weight over 0.01, of a mixture of normal ones."""
-    fitted = Mixture.fit(cap(normal, ids, rows, seed), feature, most, seed)
-    active = fitted.w > ACTIVE
-    return assign(df, feature, Mixture(fitted.w[active] / fitted.w[active].sum(), fitted.mu[active], fitted.cov[active]), out)

@@ -7,9 +7,12 @@ import math
 from pyspark.sql import functions as F
 
 from ..operators import background as B
+from ..operators import dirichlet
+from ..operators import grid as G
+from ..operators import latent as L
 from ..operators import mixture as X
 from ..operators import temporal as T
-from .bindings import FRAMES, VECTORS, frames, rounded, table, vectors
+from .bindings import FRAMES, HEIGHT, VECTORS, WIDTH, frames, maps, rounded, table, vectors
 from .evidence import auc_sql
 from .register import query
 
@@ -153,20 +156,33 @@ def universal_mixture(spark, sf_dir):
     return X.universal_background(df, "cell", "f", ["l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber", "ubm")
 
 
+def placed_codes(spark, sf_dir):
+    """vec_id, embedding and a position on a grid of 12 by 10, by id."""
+    rows = table(spark, sf_dir, "embeddings").where("embedding is not null")
+    return rows.select("vec_id", "embedding", (F.col("vec_id") % 10 / 9.0).alias("px"), (F.floor(F.col("vec_id") / 10) % 12 / 11.0).alias("py"))
+
+
 @query()
 def code_mixture(spark, sf_dir):
-    """Negative log densities of reduced embedding codes."""
-    df = table(spark, sf_dir, "embeddings").where("embedding is not null").select("vec_id", "embedding")
-    return X.code_mixture(df, "embedding", ["vec_id"], most=8).select("vec_id", "bgmm")
+    """Negative log densities of reduced embedding codes with their positions, under a Dirichlet-process mixture of 20 sticks; tested against NumPy."""
+    return L.code_mixture(placed_codes(spark, sf_dir), "embedding", ["vec_id"], position=["px", "py"]).select("vec_id", "bgmm")
 
 
 @query()
-def scene_states(spark, sf_dir):
-    """States of months from coarse views of their maps; assignment is tested against NumPy."""
-    from ..operators import grid as G
-    from .bindings import HEIGHT, WIDTH, maps
+def active_components(spark, sf_dir):
+    """Components of a Dirichlet-process mixture of residual vectors, and which of them the rows need; tested against NumPy."""
+    df = vectors(spark, sf_dir).where("normal")
+    return L.components(dirichlet.fit(df, "f", ["l_orderkey", "l_linenumber"], 6).mixture(), spark)
+
 
+def month_views(spark, sf_dir):
+    """frame, f: coarse views of the months' maps."""
     view = G.coarse_view(G.dense(maps(spark, sf_dir), ["frame"], "v", HEIGHT, WIDTH), ["frame"], "v", HEIGHT, WIDTH, 4)
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("i", "mean"))), lambda s: s["mean"])
-    df = view.groupBy("frame").agg(ordered.alias("f"))
-    return X.scene_states(df, df.where("frame % 2 = 0"), "f", ["frame"], most=3).select("frame", "state")
+    return view.groupBy("frame").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "mean"))), lambda s: s["mean"]).alias("f"))
+
+
+@query()
+def scene_states(spark, sf_dir):
+    """States of months from coarse views of their maps, six at most; tested against NumPy."""
+    df = month_views(spark, sf_dir)
+    return L.scene_states(df, df.where("frame % 2 = 0"), "f", ["frame"]).select("frame", "state")

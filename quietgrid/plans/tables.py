@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import judge as J
+from ..operators import ngrams as N
 from ..operators import metrics as M
 from ..operators import relational as R
 from ..operators import sampling as S
@@ -167,8 +168,35 @@ _TEXT = "list_distinct(regexp_extract_all(lower(text), '[a-z]+'))"
 t AS (SELECT item_id, unnest({_TEXT}) AS term FROM benchmark),
 c AS (SELECT item_id, count(*) AS terms, count(*) FILTER (n.term IS NULL) AS unknown FROM t LEFT JOIN n USING (term) GROUP BY 1)
 SELECT b.item_id, coalesce(terms, 0) AS terms, coalesce(unknown, 0) AS unknown, round(ln((coalesce(unknown, 0) + 0.5::DOUBLE) / (coalesce(terms, 0) - coalesce(unknown, 0) + 0.5::DOUBLE)), 6) AS score FROM benchmark b LEFT JOIN c USING (item_id)""")
-def text_judge(spark, sf_dir):
-    """Records judged by how many of their words normal records don't show: a lexical stand-in for a language model."""
+def unknown_words(spark, sf_dir):
+    """Records judged by how many of their words normal records don't show."""
     docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").where("toxic = 0").select("doc_id"), "doc_id")
     normal = J.normal_terms(docs, ["doc_id"], "text")
     return rounded(J.log_odds(table(spark, sf_dir, "benchmark"), normal, ["item_id"], "text"), "score")
+
+
+_GRAMS = """list_concat(list_concat(['<s>'], regexp_extract_all(lower(coalesce(text, '')), '[a-z]+')), ['</s>'])"""
+
+
+def _kneser_ney(m: str) -> str:
+    """SQL: for the model of label m, p{m} of every bigram asked."""
+    d = N.DISCOUNT
+    return f"""c{m} AS (SELECT ctx, w, count(*) AS c FROM g WHERE label = {m} GROUP BY ALL),
+x{m} AS (SELECT ctx, sum(c) AS total, count(*) AS kinds FROM c{m} GROUP BY ctx),
+u{m} AS (SELECT w, count(*) AS c FROM c{m} GROUP BY w),
+t{m} AS (SELECT sum(c) AS total, count(*) AS kinds FROM u{m}),
+l{m} AS (SELECT a.*, (greatest(coalesce(u.c, 0) - {d}, 0) + {d} * t.kinds / (v.size + 1)) / t.total AS p FROM a CROSS JOIN v CROSS JOIN t{m} t LEFT JOIN u{m} u USING (w)),
+p{m} AS (SELECT l.ctx, l.w, CASE WHEN x.total IS NULL THEN l.p ELSE (greatest(coalesce(c.c, 0) - {d}, 0) + {d} * x.kinds * l.p) / x.total END AS p
+  FROM l{m} l LEFT JOIN c{m} c ON c.ctx = l.ctx AND c.w = l.w LEFT JOIN x{m} x ON x.ctx = l.ctx)"""
+
+
+@query(f"""WITH d AS (SELECT toxic AS label, {_GRAMS} AS ws FROM documents JOIN labels USING (doc_id) WHERE toxic IN (0, 1)),
+g AS (SELECT label, unnest(ws[1:len(ws) - 1]) AS ctx, unnest(ws[2:]) AS w FROM d),
+r AS (SELECT item_id, {_GRAMS} AS ws FROM benchmark), q AS (SELECT item_id, unnest(ws[1:len(ws) - 1]) AS ctx, unnest(ws[2:]) AS w FROM r),
+a AS (SELECT DISTINCT ctx, w FROM q), v AS (SELECT count(DISTINCT w) AS size FROM g),
+{_kneser_ney("1")}, {_kneser_ney("0")}
+SELECT item_id, count(*) - 1 AS words, round(avg(ln(p1.p / p0.p)), 6) AS score FROM q JOIN p1 ON p1.ctx = q.ctx AND p1.w = q.w JOIN p0 ON p0.ctx = q.ctx AND p0.w = q.w GROUP BY item_id""")
+def text_judge(spark, sf_dir):
+    """Records judged by two Kneser-Ney models, of records labelled anomalous and of normal ones."""
+    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    return rounded(N.log_odds(table(spark, sf_dir, "benchmark"), docs.where("toxic = 1"), docs.where("toxic = 0"), ["item_id"], "text"), "score")

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,6 +39,45 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df cut from its lineage, in the shared folder, so that it outlives the executors that made it."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """df cut from its lineage and written to the shared folder, so that it outlives the executors that made it; release() deletes it."""
+    path = folder(df.sparkSession, "checkpoint")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def kept(df: DataFrame) -> Iterator[DataFrame]:
+    """df written to the shared folder and read from there, for work that reads it again and again; deleted when the block ends.
+
+    Nothing lazy that reads it may leave the block.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    try:
+        yield spark.read.schema(df.schema).parquet(path)
+    finally:
+        delete(spark, path)
+
+
+#: Folders of tables that results read, and that may go when those have been written.
+_FOLDERS: set[str] = set()
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared one; release() deletes it."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _FOLDERS.add(path)
+    return path
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes the folders that this process has named, once results that read them have been written."""
+    for path in list(_FOLDERS):
+        delete(spark, path)
+        _FOLDERS.discard(path)

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -50,3 +50,14 @@ def deduplicated(stream: DataFrame, row_id: str, time: str, delay: str = "10 min
 def alarm_rates(alarms: DataFrame, time: str, width: str = "1 day", delay: str = "10 minutes") -> DataFrame:
     """window start, frames, alarms for tumbling windows of event time."""
     return alarms.withWatermark(time, delay).groupBy(F.window(time, width)).agg(F.count("*").alias("frames"), F.sum(F.col("alarm").cast("long")).alias("alarms")).select(F.col("window.start").alias("start"), "frames", "alarms")
+
+
+def calibrated_threshold(scores: DataFrame, key: str, time: str, row_id: str, score: str, quantile: float = 0.995, width: int = 9, every: int = 2) -> float:
+    """The quantile of normal rows' smoothed scores: every second row of a camera, so a median of half the width is causal over as long."""
+    from ..operators.ranking import quantile as exact
+    from ..operators.temporal import causal_median
+
+    turn = F.row_number().over(Window.partitionBy(key).orderBy(time, row_id)) - 1
+    rows = scores.withColumn("_turn", turn).where(F.col("_turn") % every == 0)
+    found = exact(causal_median(rows, [key], "_turn", score, "_smoothed", width=max(1, width // every)), [], "_smoothed", quantile, "_cut").first()
+    return float(found[0]) if found and found[0] is not None else float("inf")
