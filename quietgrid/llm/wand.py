@@ -22,6 +22,8 @@ from .common import Scratch
 #: Postings of a block; occurrences of terms after which another shard begins; bytes of a text that are split at once;
 #: documents that a search scores together, at first and at most; occurrences of terms of the items that one search job takes.
 BLOCK, SHARD, SLICE, SPANS, ITEM_TERMS = 128, 4_000_000, 1 << 20, (256, 4096), 200_000
+#: Tasks of a search at most.
+TASKS = 1 << 15
 #: Of a score: k1 in twelfths of a hundredth, b in hundredths, the scale of an impact.
 K1, B, SCALE = 12, 25, 1_000_000_000
 #: A-Z become a-z, other ASCII but letters and digits a space; bytes of other characters stay.
@@ -287,7 +289,7 @@ def search(index: DataFrame, items: DataFrame, k: int = 20, item_id: str = "item
     wanted = items.select(F.col(item_id).alias("item_id"), F.monotonically_increasing_id().alias("_item"), _terms(F.col(text)).alias("_terms")).where(F.size("_terms") > 0)
     wanted = scratch.write(wanted, "items")
     size = wanted.agg(F.sum(F.size("_terms"))).first()[0] or 0
-    jobs = -(-size // ITEM_TERMS)
+    jobs, shards = -(-size // ITEM_TERMS), index.where(F.col("doc_ids").isNotNull()).count()
     wanted = wanted.withColumn("_job", F.pmod(F.xxhash64("_item"), F.lit(max(jobs, 1))))
     found = []
     for job in range(jobs):
@@ -299,7 +301,8 @@ def search(index: DataFrame, items: DataFrame, k: int = 20, item_id: str = "item
         asked = terms.join(weights, "term").groupBy("_item").agg(F.collect_list(F.struct("term", (F.col("n") * F.col("w")).alias("w"))).alias("terms"))
         queries = {r["_item"]: [(bytes(t["term"]), t["w"]) for t in r["terms"]] for r in asked.collect()}  # of one job
         rows = lists.select(*index.columns).unionByName(index.where(F.col("doc_ids").isNotNull()))
-        found.append(rows.groupBy("shard").applyInArrow(_searcher(queries, documents, occurrences, k, block), "_item long, doc_id long, score long"))
+        # shards are work of like size, however little their lists hold, so tasks aren't joined by bytes
+        found.append(rows.repartition(max(1, min(shards, TASKS)), "shard").groupBy("shard").applyInArrow(_searcher(queries, documents, occurrences, k, block), "_item long, doc_id long, score long"))
     if not found:
         return wanted.select("item_id", F.lit(0).alias("rank"), F.lit(0).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("score")).where("false")
     every = found[0]
