@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .lookup import lookup
 from .sampling import cap
 
 #: Components, relevance of the universal mixture, rows it is fitted on, its regularisation.
@@ -84,7 +85,7 @@ def score(df: DataFrame, adapted: DataFrame, cell: str, feature: str, ubm: Mixtu
         x = np.array(f.tolist(), np.float64)
         return pd.Series(-logsumexp(ubm.log_terms(x, np.array(w.tolist()), np.array(mu.tolist()).reshape(len(x), *ubm.mu.shape))))
 
-    return df.join(adapted, cell).withColumn(out, density(feature, "w", "mu")).drop("w", "mu")
+    return lookup(df, adapted, [cell]).withColumn(out, density(feature, "w", "mu")).drop("w", "mu")
 
 
 def universal_background(df: DataFrame, cell: str, feature: str, ids: list[str], out: str = "ubm", components: int = COMPONENTS, rows: int = ROWS, seed: int = 0) -> DataFrame:

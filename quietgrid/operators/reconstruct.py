@@ -1,6 +1,6 @@
 """A pluggable reconstructor of patches, and a linear one: principal components learned from normal patches.
 
-The linear model stands in for a trained convolutional autoencoder; anything with fit(df) and residuals(df) can replace it.
+Anything with fit(df) and residuals(df) can replace it; autoencoder.py has a trained one that isn't linear.
 """
 
 from __future__ import annotations
@@ -13,22 +13,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .background import moments
+from .sums import summed
 
 
 class LinearReconstructor:
     """x is rebuilt from its first components around the mean. Fitted from moments, so one pass over any number of rows."""
 
     def __init__(self, components: int):
-        self.components, self.mean, self.axes = components, None, None
+        self.components, self.mean, self.axes, self.spread = components, None, None, None
 
     def fit(self, df: DataFrame, feature: str, dim: int) -> LinearReconstructor:
-        row = moments(df.withColumn("_all", F.lit(0)), ["_all"], feature, dim).first()
-        n = max(row["n"], 1) if row else 1
-        self.mean = np.array(row["s1"]) / n if row else np.zeros(dim)
-        cov = (np.array(row["s2"]).reshape(dim, dim) / n - np.outer(self.mean, self.mean)) if row else np.eye(dim)
+        """Takes all rows' vectors, arrays of `dim` numbers; without rows the mean is zero and the components the axes."""
+        sums = summed(df, [feature], lambda x: np.concatenate([[len(x)], x.sum(0), (x.T @ x).ravel()]))
+        self.mean, cov = np.zeros(dim), np.eye(dim)
+        if sums is not None:
+            self.mean = sums[1 : 1 + dim] / sums[0]
+            cov = sums[1 + dim :].reshape(dim, dim) / sums[0] - np.outer(self.mean, self.mean)
         values, vectors = np.linalg.eigh(cov)
-        self.axes = vectors[:, np.argsort(values)[::-1][: self.components]]
+        order = np.argsort(values)[::-1][: self.components]
+        self.axes, self.spread = vectors[:, order], values[order]
         return self
 
     def rebuild(self, x: np.ndarray) -> np.ndarray:

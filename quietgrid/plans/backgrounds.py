@@ -12,6 +12,8 @@ from ..operators import grid as G
 from ..operators import latent as L
 from ..operators import mixture as X
 from ..operators import temporal as T
+from ..operators.autoencoder import Autoencoder
+from ..operators.lookup import lookup
 from .bindings import FRAMES, HEIGHT, VECTORS, WIDTH, frames, maps, rounded, table, vectors
 from .evidence import auc_sql
 from .register import query
@@ -105,7 +107,7 @@ def state_conditioned(spark, sf_dir):
     parts = B.moments(own, ["state", "cell"], "f", 2)
     base = B.finalise(B.merge(parts, ["cell"], 2), ["cell"], 2)
     model = B.state_background(parts, seen, base, "state", "cell", 2)
-    rows = df.join(model, ["state", "cell"]).withColumn("frx_state", B.distance(F.col("f"), F.col("mu"), F.col("prec"), 2))
+    rows = lookup(df, model, ["state", "cell"]).withColumn("frx_state", B.distance(F.col("f"), F.col("mu"), F.col("prec"), 2))
     return rounded(rows.select("l_orderkey", "l_linenumber", "frx_state"), "frx_state", digits=5)
 
 
@@ -186,3 +188,12 @@ def scene_states(spark, sf_dir):
     """States of months from coarse views of their maps, six at most; tested against NumPy."""
     df = month_views(spark, sf_dir)
     return L.scene_states(df, df.where("frame % 2 = 0"), "f", ["frame"]).select("frame", "state")
+
+
+@query()
+def nonlinear_residual(spark, sf_dir):
+    """What a trained network of tanh units doesn't rebuild of embeddings; tested against NumPy."""
+    df = table(spark, sf_dir, "embeddings").where("embedding is not null").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("f"))
+    model = Autoencoder(8).fit(df, "f", 64, ["vec_id"])
+    error = F.aggregate("r", F.lit(0.0), lambda a, x: a + F.abs(x)) / 64
+    return model.residuals(df, "f", "r").select("vec_id", error.alias("error"))

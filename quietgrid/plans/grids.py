@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import grid as G
-from .bindings import HEIGHT, MAPS, WIDTH, maps, rounded
+from .bindings import HEIGHT, MAPS, WIDTH, maps, rounded, table
 from .register import query
 
 _F = ["frame"]
@@ -121,6 +121,54 @@ def frame_detectors(spark, sf_dir):
     return rounded(rows, "score", digits=4)
 
 
+def _pair_sql() -> str:
+    from .backgrounds import _d, _inverse
+
+    names = ("rem", "frx_global", "frx_cell", "frx_bayes", "wrx")
+    long = " UNION ALL ".join(f"SELECT frame, y, x, '{n}' AS detector, {n} AS v FROM dd" for n in names) + " UNION ALL SELECT frame, y, x, 'frx_t', 0.5 * (5 + 2) * ln(1 + frx_bayes / 3) FROM dd"
+    return f"""pairs AS (SELECT (year(l_shipdate) * 12 + month(l_shipdate))::INT AS frame, (l_suppkey % 12)::INT AS y, (l_partkey % 10)::INT AS x, sum(l_quantity - 25.5::DOUBLE) AS a, sum(l_discount * 100 - 5) AS b FROM lineitem GROUP BY 1, 2, 3),
+fr AS (SELECT DISTINCT frame FROM pairs),
+dense AS (SELECT fr.frame, ys.y::INT AS y, xs.x::INT AS x, coalesce(p.a, 0)::DOUBLE AS a, coalesce(p.b, 0)::DOUBLE AS b, (ys.y // 4 * 3 + xs.x // 4)::INT AS cell FROM fr CROSS JOIN range(0, 12) ys(y) CROSS JOIN range(0, 10) xs(x)
+  LEFT JOIN pairs p ON p.frame = fr.frame AND p.y = ys.y AND p.x = xs.x),
+e AS (SELECT *, a * a + b * b AS v FROM dense),
+dil AS (SELECT a.frame, a.y, a.x, max(b.v) AS m FROM e a JOIN e b ON a.frame = b.frame AND abs(a.y - b.y) <= 2 AND abs(a.x - b.x) <= 2 GROUP BY ALL),
+cl AS (SELECT a.frame, a.y, a.x, 1 / (min(b.m) + 1e-6) AS w FROM dil a JOIN dil b ON a.frame = b.frame AND abs(a.y - b.y) <= 2 AND abs(a.x - b.x) <= 2 GROUP BY ALL),
+wm AS (SELECT frame, sum(w * a) / sum(w) AS wa, sum(w * b) / sum(w) AS wb FROM cl JOIN e USING (frame, y, x) GROUP BY 1),
+wv AS (SELECT frame, sum(w * (a - wa) * (a - wa)) / sum(w) AS waa, sum(w * (a - wa) * (b - wb)) / sum(w) AS wab, sum(w * (b - wb) * (b - wb)) / sum(w) AS wbb FROM cl JOIN e USING (frame, y, x) JOIN wm USING (frame) GROUP BY 1),
+wp AS (SELECT *, {_inverse('pw', 'waa', 'wab', 'wbb')} FROM wv JOIN wm USING (frame)),
+fit AS (SELECT * FROM dense WHERE frame % 2 = 0),
+g0 AS (SELECT avg(a) AS ga, avg(b) AS gb, covar_pop(a, a) AS gaa, covar_pop(a, b) AS gab, covar_pop(b, b) AS gbb FROM fit),
+c0 AS (SELECT cell, avg(a) AS ca, avg(b) AS cb, covar_pop(a, a) AS caa, covar_pop(a, b) AS cab, covar_pop(b, b) AS cbb FROM fit GROUP BY 1),
+b0 AS (SELECT *, (ca + ga) / 2 AS ba, (cb + gb) / 2 AS bm, (caa + gaa) / 2 + (ca - ga) * (ca - ga) / 4 AS baa, (cab + gab) / 2 + (ca - ga) * (cb - gb) / 4 AS bab, (cbb + gbb) / 2 + (cb - gb) * (cb - gb) / 4 AS bbb FROM c0 CROSS JOIN g0),
+bg AS (SELECT *, {_inverse('pg', 'gaa', 'gab', 'gbb')}, {_inverse('pc', 'caa', 'cab', 'cbb')}, {_inverse('pb', 'baa', 'bab', 'bbb')} FROM b0),
+dd AS (SELECT frame, y, x, v AS rem, {_d('pg', 'ga', 'gb')} AS frx_global, {_d('pc', 'ca', 'cb')} AS frx_cell, {_d('pb', 'ba', 'bm')} AS frx_bayes, {_d('pw', 'wa', 'wb')} AS wrx FROM e JOIN bg USING (cell) JOIN wp USING (frame)),
+lng AS ({long}),
+ws AS (SELECT fr.frame, t.detector, p.y, q.x, coalesce(sum(d.v), 0) AS s FROM fr CROSS JOIN (SELECT DISTINCT detector FROM lng) t CROSS JOIN range(0, 13) p(y) CROSS JOIN range(0, 11) q(x)
+  LEFT JOIN lng d ON d.frame = fr.frame AND d.detector = t.detector AND d.y BETWEEN p.y - 2 AND p.y + 1 AND d.x BETWEEN q.x - 2 AND q.x + 1 GROUP BY 1, 2, 3, 4)"""
+
+
+@query(f"WITH {_pair_sql()} SELECT frame, detector, round(max(s) / 16, 4) AS score FROM ws GROUP BY 1, 2")
+def pair_detectors(spark, sf_dir):
+    """Every residual detector's frame score for residuals of two components: quantities and discounts."""
+    from ..operators.bundle import score_frames
+
+    line = table(spark, sf_dir, "lineitem").select((F.year("l_shipdate") * 12 + F.month("l_shipdate")).alias("frame"), (F.col("l_suppkey") % HEIGHT).cast("int").alias("y"), (F.col("l_partkey") % WIDTH).cast("int").alias("x"), (F.col("l_quantity") - 25.5).alias("a"), (F.col("l_discount") * 100 - 5).alias("b"))
+    sums = line.groupBy("frame", "y", "x").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    m = G.dense(sums, _F, "a", HEIGHT, WIDTH).join(sums.select("frame", "y", "x", "b"), ["frame", "y", "x"], "left")
+    m = m.select("frame", "y", "x", F.array("a", F.coalesce("b", F.lit(0.0))).alias("f"))
+    return rounded(score_frames(m, m.where("frame % 2 = 0"), _F, "f", HEIGHT, WIDTH, 4, 4, 5.0, dim=2), "score", digits=4)
+
+
+@query()
+def all_detectors(spark, sf_dir):
+    """Frame scores of all detectors: of residuals, of the scene's state, of codes, and fused; tested against NumPy."""
+    from ..operators.bundle import all_scores
+
+    m = G.dense(maps(spark, sf_dir), _F, "v", HEIGHT, WIDTH)
+    normal = m.select("frame").distinct().where("frame % 2 = 0")
+    return all_scores(m, normal, _F, "v", HEIGHT, WIDTH, 4, 4, 4, 4, 2, nu=5.0, code=6)
+
+
 @query()
 def patch_residual(spark, sf_dir):
     """Residuals of overlapping patches from a linear reconstruction; tested against NumPy."""
