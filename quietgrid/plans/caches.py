@@ -54,5 +54,5 @@ def archive_members(spark, sf_dir):
     root = folder(spark, "archives")
     pages = table(spark, sf_dir, "pages").select(F.concat(F.lit("page-"), "page_id", F.lit(".html")).alias("name"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("content"))
     archives.write_archives(pages, root)
-    rows = archives.read_members(spark, f"{root}/*.zip", r"\.html$")
+    rows = archives.read_archives(spark, f"{root}/*.zip", r"\.html$")
     return rows.select("name", F.octet_length("content").cast("long").alias("bytes"), F.md5("content").alias("md5"))

@@ -158,7 +158,7 @@ def write_archives(members: DataFrame, root: str) -> DataFrame:
 
 
 def read_folder(spark: SparkSession, root: str, pattern: str = ".*") -> DataFrame:
-    """name (below the root), content of the files of a folder whose names match: the rows that an archive of it would give."""
+    """name (below the root), content of the files of a folder whose names match. Spark's reader passes over empty files."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = root.rstrip("/").split("://")[-1].split(":", 1)[-1]
     name = F.regexp_replace(F.element_at(F.split("path", F.lit(_quoted(base) + "/"), 2), 2), "^/+", "")
@@ -170,5 +170,6 @@ def _quoted(text: str) -> str:
 
 
 def read_members(spark: SparkSession, path: str, pattern: str = ".*", **options) -> DataFrame:
-    """name, content: of an archive (or a glob of them) if the path ends in `.zip`, else of a folder."""
-    return read_archives(spark, path, pattern, **options) if path.endswith(".zip") else read_folder(spark, path, pattern)
+    """name, content: of an archive (or a glob of them) if the path ends in `.zip`, else of a folder; equal rows from either. Empty files have none."""
+    rows = read_archives(spark, path, pattern, **options) if path.endswith(".zip") else read_folder(spark, path, pattern)
+    return rows.where(F.octet_length("content") > 0)
