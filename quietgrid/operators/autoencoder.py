@@ -140,6 +140,8 @@ class Autoencoder:
                     at += int(np.prod(shape))
                 losses = dict(zip(["rows", "error", "fooled", "told"], sums[at:], strict=False))
                 n = losses.pop("rows")
+                for mover in movers:
+                    mover.rate = self.rate * (1 - step / self.steps)  # falls in a line, so that the last steps settle
                 self.losses.append({k: v / n for k, v in losses.items()})
                 if q:
                     q = movers[1].step(q, {k: found[k] / n for k in told})
