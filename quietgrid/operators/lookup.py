@@ -23,17 +23,25 @@ def width(table: DataFrame):
     return sum(parts[1:], parts[0]).cast("long")
 
 
-def lookup(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "inner", limit: int = BROADCAST, salts: int = SALTS) -> DataFrame:
-    """rows joined (inner or left) with the table's one row for their keys.
+def measured(table: DataFrame) -> int:
+    """Bytes of a table, about. The table should be a kept one, as this is a job over it."""
+    return table.agg(F.sum(width(table))).first()[0] or 0
+
 
-    The table is worked out once, written to the shared folder and measured there. Up to `limit` bytes it is broadcast, so
-    rows stay where they are. Beyond that each of its rows is repeated for `salts` parts of a key, over which rows are spread
-    by a hash of all their columns: rows of a hot key go to as many tasks. rows may be a stream.
+def joined(rows: DataFrame, table: DataFrame, keys: list[str], size: int, how: str = "inner", limit: int = BROADCAST, salts: int = SALTS) -> DataFrame:
+    """rows joined (inner or left) with the table's one row for their keys, given the table's size in bytes.
+
+    Up to `limit` bytes the table is broadcast, so rows stay where they are. Beyond that each of its rows is repeated for
+    `salts` parts of a key, over which rows are spread by a hash of their columns: rows of a hot key go to as many tasks.
     """
-    table = checkpointed(table)
-    size = table.agg(F.sum(width(table))).first()[0] or 0
     if size <= limit:
         return rows.join(F.broadcast(table), keys, how)
     spread = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     own = [c for c, kind in rows.dtypes if "map<" not in kind and kind != "variant"]
     return rows.withColumn("_salt", F.pmod(F.xxhash64(*own), F.lit(salts)).cast("int")).join(spread.hint("merge"), [*keys, "_salt"], how).drop("_salt")
+
+
+def lookup(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "inner", limit: int = BROADCAST, salts: int = SALTS) -> DataFrame:
+    """joined() with a table that is worked out once, written to the shared folder and measured there. rows may be a stream."""
+    table = checkpointed(table)
+    return joined(rows, table, keys, measured(table), how, limit, salts)
