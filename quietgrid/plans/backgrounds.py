@@ -6,14 +6,17 @@ import math
 
 from pyspark.sql import functions as F
 
+from ..models import BackgroundEstimator, BackgroundModel
 from ..operators import background as B
 from ..operators import dirichlet
 from ..operators import grid as G
 from ..operators import latent as L
 from ..operators import mixture as X
+from ..operators import predict as P
 from ..operators import temporal as T
 from ..operators.autoencoder import Autoencoder
 from ..operators.lookup import lookup
+from ..session import folder
 from .bindings import FRAMES, HEIGHT, VECTORS, WIDTH, frames, maps, rounded, table, vectors
 from .evidence import auc_sql
 from .register import query
@@ -197,3 +200,23 @@ def nonlinear_residual(spark, sf_dir):
     model = Autoencoder(8).fit(df, "f", 64, ["vec_id"])
     error = F.aggregate("r", F.lit(0.0), lambda a, x: a + F.abs(x)) / 64
     return model.residuals(df, "f", "r").select("vec_id", error.alias("error"))
+
+
+@query(f"WITH {VECTORS}, {_BG}, {_SCORED} SELECT l_orderkey, l_linenumber, round(frx_global, 6) AS frx_global, round(frx_cell, 6) AS frx_cell, round(frx_bayes, 6) AS frx_bayes FROM scored")
+def saved_background(spark, sf_dir):
+    """A background learned, saved, loaded and only then used."""
+    path = folder(spark, "model")
+    BackgroundEstimator(cellCol="cell", featuresCol="f", dim=2).fit(vectors(spark, sf_dir).where("normal")).save(path)
+    names = ["frx_global", "frx_cell", "frx_bayes"]
+    return rounded(BackgroundModel.load(path).transform(vectors(spark, sf_dir)).select("l_orderkey", "l_linenumber", *names), *names)
+
+
+@query(f"""WITH {FRAMES}, l AS (SELECT event_id, y, (video % 10)::INT AS cell, x, lag(x, 1) OVER w AS a, lag(x, 2) OVER w AS b FROM frames WINDOW w AS (PARTITION BY video ORDER BY t)),
+r AS (SELECT * FROM l WHERE b IS NOT NULL),
+c AS (SELECT cell, avg(a) AS ma, avg(b) AS mb, avg(x) AS mx, covar_pop(a, a) AS aa, covar_pop(a, b) AS ab, covar_pop(b, b) AS bb, covar_pop(a, x) AS ax, covar_pop(b, x) AS bx FROM r WHERE y = 0 GROUP BY 1),
+p AS (SELECT *, {_inverse('p', 'aa', 'ab', 'bb')} FROM c), q AS (SELECT *, p_aa * ax + p_ab * bx AS wa, p_ab * ax + p_bb * bx AS wb FROM p)
+SELECT event_id, round(x - mx - wa * (a - ma) - wb * (b - mb), 6) AS residual FROM r JOIN q USING (cell)""")
+def predictive_residual(spark, sf_dir):
+    """Frames minus what the two frames before predict, by a ridge regression for each cell."""
+    df = frames(spark, sf_dir).withColumn("cell", (F.col("video") % 10).cast("int"))
+    return rounded(P.predictive_residual(df, "y = 0", ["video"], "t", "cell", "x").select("event_id", "residual"), "residual")
