@@ -1,6 +1,6 @@
 """Motion features of cells from displacements of pixels (rows of frame keys, y, x, dx, dy).
 
-Displacements come from outside, or from block_matching(), a plain stand-in for an optical-flow library.
+Displacements come from outside, from flow.optical_flow(), or from block_matching() by whole pixels.
 """
 
 from __future__ import annotations
@@ -23,6 +23,21 @@ def flow_features(flow: DataFrame, frames: list[str], cell: int, width: int, bin
     return rows.groupBy(*frames, cell_id(F.col("y"), F.col("x"), cell, width).alias("cell_id")).agg(F.array(*sums, F.log1p(F.max("_m"))).alias("f"))
 
 
+def cells_of(d: np.ndarray, cell: int, bins: int = 8) -> np.ndarray:
+    """flow_features() of one frame's displacements (H, W, 2), as (cells, bins + 1)."""
+    h, w = d.shape[:2]
+    m, a = np.hypot(d[..., 0], d[..., 1]), np.arctan2(d[..., 1], d[..., 0])
+    b = np.minimum((np.where(a < 0, a + 2 * np.pi, a) / (2 * np.pi) * bins).astype(int), bins - 1)
+    y, x = np.indices((h, w))
+    wide = -(-w // cell)
+    own = y // cell * wide + x // cell
+    cells = -(-h // cell) * wide
+    sums = np.bincount((own * bins + b).ravel(), m.ravel(), cells * bins).reshape(cells, bins) / (cell * cell)
+    most = np.zeros(cells)
+    np.maximum.at(most, own.ravel(), m.ravel())
+    return np.log1p(np.concatenate([sums, most[:, None]], 1))
+
+
 def speed(f: Column, bins: int = 8) -> Column:
     """(ln(1 + mean magnitude), ln(1 + largest magnitude)) of a feature of flow_features()."""
     whole = F.aggregate(F.slice(f, 1, bins), F.lit(0.0), lambda s, x: s + F.expm1(x))
