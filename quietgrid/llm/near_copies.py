@@ -13,8 +13,6 @@ edits nobody else has meets nobody.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 import xxhash
@@ -65,13 +63,6 @@ def bands(found: np.ndarray) -> np.ndarray:
     return (keys ^ (keys >> np.uint64(31))).view(np.int64)
 
 
-def similar(a: bytes, b: bytes) -> bool:
-    """Whether two sets, as the bytes of shingles(), are near copies."""
-    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return both * SIMILAR[1] >= (len(x) + len(y) - both) * SIMILAR[0]
-
-
 @F.pandas_udf(T.StructType([T.StructField("_fp", T.LongType()), T.StructField("_sim", T.LongType()), T.StructField("_n", T.IntegerType()), T.StructField("_bands", T.ArrayType(T.LongType()))]))
 def _prints(text: pd.Series) -> pd.DataFrame:
     sets = [shingles(t) for t in text]
@@ -79,14 +70,15 @@ def _prints(text: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"_fp": np.array(prints, np.int64), "_sim": np.array([fingerprint(t) for t in text], np.int64), "_n": np.array([len(s) for s in sets], np.int32), "_bands": [bands(s) for s in sets]})
 
 
-@F.pandas_udf(T.BinaryType())
+@F.pandas_udf(T.ArrayType(T.LongType()))
 def _sets(text: pd.Series) -> pd.Series:
-    return pd.Series([shingles(t).tobytes() for t in text], dtype=object)
+    return pd.Series([shingles(t).view(np.int64) for t in text], dtype=object)
 
 
-@F.pandas_udf(T.BooleanType())
-def _similar(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([similar(x, y) for x, y in zip(a, b, strict=True)], dtype=bool)
+def similar(a: str, b: str) -> Column:
+    """Whether two sets, columns of distinct shingles, are near copies."""
+    both = F.size(F.array_intersect(a, b))
+    return both * SIMILAR[1] >= (F.size(a) + F.size(b) - both) * SIMILAR[0]
 
 
 def _buckets(prints: DataFrame, scratch: Scratch) -> DataFrame:
@@ -111,12 +103,6 @@ def _near_sizes(m: str, n: str) -> str:
     return f"least({m}, {n}) * {SIMILAR[1]} >= greatest({m}, {n}) * {SIMILAR[0]}"
 
 
-def _elements(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for row in batch.itertuples(index=False):
-            yield pd.DataFrame({"_fp": row[0], "_n": row[1], "_of": row[2], "_shingle": np.frombuffer(row[3], np.int64)})
-
-
 def _heavy(counts: DataFrame, count: str, rows: int) -> DataFrame:
     """(_shingle, _times) for shingles with more than DEAL rows and more than one in COMMON of all: at most COMMON of them.
 
@@ -150,7 +136,7 @@ def _apart(buckets: DataFrame, found: DataFrame, sets: DataFrame, scratch: Scrat
     named = scratch.write(named.select("_band", "_key", "_fp", "_n", "_of"), "named")
     mixed = named.groupBy("_band", "_key").agg(F.min("_of").alias("_low"), F.max("_of").alias("_high")).where("_low <> _high").select("_band", "_key")
     left = named.join(mixed, ["_band", "_key"]).select("_fp", "_n", "_of").distinct()
-    rows = left.join(sets.select("_fp", "_set"), "_fp").select("_fp", "_n", "_of", "_set").mapInPandas(_elements, "_fp long, _n int, _of long, _shingle long")
+    rows = left.join(sets.select("_fp", "_set"), "_fp").select("_fp", "_n", "_of", F.explode("_set").alias("_shingle"))
     rows = scratch.write(rows, "elements")
     counts = scratch.write(rows.groupBy("_shingle").agg(F.count("*").alias("_common")).where("_common > 1"), "counts")
     heavy = scratch.write(_heavy(counts, "_common", rows.count()), "heavy")
@@ -196,7 +182,7 @@ def classes(prints: DataFrame, docs: DataFrame, doc_id: str, text: str, scratch:
     left, right = (sets.select(F.col("_fp").alias(k), F.col("_set").alias(f"_{k}")) for k in "ab")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        return scratch.write(pairs.join(left, "a").join(right, "b").where(_similar("_a", "_b")).select("a", "b"), "links")
+        return scratch.write(pairs.join(left, "a").join(right, "b").where(similar("_a", "_b")).select("a", "b"), "links")
 
     tried = scratch.write(_leading(buckets), "tried")
     links = verified(tried).unionByName(_simhash_links(prints, scratch))

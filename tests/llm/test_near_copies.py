@@ -27,10 +27,11 @@ def brute(rows):
     return sorted(min(r[0] for r, h in zip(rows, group, strict=True) if h == g) for g in set(group))
 
 
-def test_similarity_is_exact():
+def test_similarity_is_exact(spark):
     a, b = "a b c d e f g h i j k l m", "a b c d e f g h i j k l n"  # 8 of 10 shingles
     c = "a b c d e f g h i j k n m"  # 7 of 11
-    assert N.similar(*(N.shingles(t).tobytes() for t in (a, b))) and not N.similar(*(N.shingles(t).tobytes() for t in (a, c)))
+    pairs = spark.createDataFrame([tuple(N.shingles(t).view("int64").tolist() for t in p) for p in ((a, b), (a, c))], "x array<long>, y array<long>")
+    assert [r[0] for r in pairs.select(N.similar("x", "y")).collect()] == [True, False]
     assert len(N.shingles(None)) == len(N.shingles(" \n")) == 0 and len(N.shingles("one Two")) == 1 and np.array_equal(N.shingles("one Two"), N.shingles("ONE two"))
 
 
