@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
-from .ranking import counts_below, picked_quantile, reference_counts, value_counts
+from .lookup import joined, lookup, measured
+from .ranking import picked_quantile, reference_counts, totals_below, value_counts
 from .ranking import quantile as exact_quantile
 
 #: Fixed values of the tail: its quantile, the least scale of excesses.
@@ -32,7 +33,7 @@ def folds(df: DataFrame, scene: list[str], video: str, out: str = "fold", n: int
 def z_scores(scores: DataFrame, reference: DataFrame, keys: list[str], score: str, out: str = "z") -> DataFrame:
     """(score - mean) / population standard deviation (plus 1e-12) of the reference."""
     fit = reference.groupBy(*keys).agg(F.avg(score).alias("_m"), (F.stddev_pop(score) + 1e-12).alias("_sd"))
-    return scores.join(fit, keys).withColumn(out, (F.col(score) - F.col("_m")) / F.col("_sd")).drop("_m", "_sd")
+    return lookup(scores, fit, keys).withColumn(out, (F.col(score) - F.col("_m")) / F.col("_sd")).drop("_m", "_sd")
 
 
 def tail_evidence(scores: DataFrame, reference: DataFrame, keys: list[str], score: str, out: str = "evidence") -> DataFrame:
@@ -43,7 +44,9 @@ def tail_evidence(scores: DataFrame, reference: DataFrame, keys: list[str], scor
     cut = picked_quantile(counts, sizes, keys, score, "_ref", TAIL, "_u").join(sizes, keys)
     over = counts.join(cut.select(*keys, "_u"), keys).where(F.col(score) > F.col("_u")).groupBy(*keys).agg((F.sum(F.col("_ref") * (F.col(score) - F.col("_u"))) / F.nullif(F.sum("_ref"), F.lit(0))).alias("_beta"))
     fit = cut.join(over, keys, "left").withColumn("_beta", F.greatest(F.coalesce("_beta", F.lit(LEAST_SCALE)), F.lit(LEAST_SCALE)))
-    ranked = scores.join(counts.select(*keys, score, F.col("below__ref").alias("_below")), [*keys, score]).join(fit, keys)
+    # few values, each on many rows, are a small table, which is broadcast; with many values rows are joined by value
+    ranked = joined(scores, counts.select(*keys, score, F.col("below__ref").alias("_below")), [*keys, score], measured(counts), salts=1)
+    ranked = lookup(ranked, fit, keys)
     empirical = -F.ln((F.col("_n") - F.col("_below") + 1) / (F.col("_n") + 1))
     tail = -math.log(1 - TAIL) + (F.col(score) - F.col("_u")) / F.col("_beta")
     return ranked.withColumn(out, F.when(F.col(score) > F.col("_u"), tail).otherwise(empirical)).drop("_u", "_n", "_beta", "_below")
@@ -89,11 +92,16 @@ def fuse_z(scores: DataFrame, reference: DataFrame, keys: list[str], channel: st
 
 
 def cell_survival(values: DataFrame, reference: DataFrame, cell: str, value: str, out: str = "evidence", kappa: float = KAPPA) -> DataFrame:
-    """-log of a cell's survival function shrunk towards the scene's: (n S_cell + kappa S_scene + 1) / (n + kappa + 1)."""
-    own = reference.groupBy(cell).agg(F.count("*").alias("_n"))
-    every = reference.agg(F.count("*").alias("_all"))  # one row
-    ranked = counts_below(values, reference, [cell], value, "_own")
-    ranked = counts_below(ranked, reference, [], value, "_scene").join(own, cell).crossJoin(F.broadcast(every))
+    """-log of a cell's survival function shrunk towards the scene's: (n S_cell + kappa S_scene + 1) / (n + kappa + 1).
+
+    One table of counts by cell and value, kept, gives the ranks in the cell and, summed up over cells, in the scene.
+    """
+    counts = checkpointed(reference_counts(values, reference, [cell], value))
+    every = totals_below(counts.groupBy(value).agg(F.sum("_ref").alias("_ref")), [], value, ["_ref"]).select(value, F.col("below__ref").alias("_scene"))
+    sizes = counts.groupBy(cell).agg(F.sum("_ref").alias("_n")).where("_n > 0")
+    whole = counts.agg(F.sum("_ref").alias("_all"))  # one row
+    ranks = checkpointed(counts.select(cell, value, F.col("below__ref").alias("_own")).join(every, value))
+    ranked = lookup(joined(values, ranks, [cell, value], measured(ranks), salts=1), sizes.crossJoin(F.broadcast(whole)), [cell])
     scene = (F.col("_all") - F.col("_scene")) / F.col("_all")
     return ranked.withColumn(out, -F.ln((F.col("_n") - F.col("_own") + kappa * scene + 1) / (F.col("_n") + kappa + 1))).drop("_own", "_scene", "_n", "_all")
 

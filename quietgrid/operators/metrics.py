@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
 from .ranking import totals_below
 
 
 def _by_score(df: DataFrame, keys: list[str], score: str, label: str) -> DataFrame:
-    """Distinct scores with their positives and negatives, and the negatives and positives below."""
+    """Distinct scores with their positives and negatives, and the negatives and positives below. The distinct scores are kept, as they are read twice."""
     distinct = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(*keys, F.col(score).alias("_score")).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.sum(1 - F.col(label).cast("long")).alias("neg"))
-    return totals_below(distinct, keys, "_score", ["pos", "neg"])
+    return totals_below(checkpointed(distinct), keys, "_score", ["pos", "neg"])
 
 
 def auc(df: DataFrame, score: str, label: str, keys: list[str] | None = None) -> DataFrame:
@@ -60,12 +61,14 @@ def first_best(df: DataFrame, keys: list[str], score: str, tie: list[str]) -> Da
 
 
 def leave_one_out(results: DataFrame, dataset: str, choice: str, score: str) -> DataFrame:
-    """held, choice, auc, chosen_on_mean: for each dataset the choice that is best on the mean of the others.
+    """held, choice, auc, chosen_on_mean: for each dataset the choice, of those it has, that is best on the mean of the others.
 
-    results has a row per dataset and choice; there are few. Ties go to the first choice in order.
+    results has a row per dataset and choice. The mean of the others is the choice's sum without the dataset's own score, so
+    a choice's rows meet once and nothing is joined; null scores don't count. Ties go to the first choice in order.
     """
-    held = results.select(F.col(dataset).alias("held")).distinct()
-    others = held.join(results, F.col("held") != F.col(dataset)).groupBy("held", choice).agg(F.avg(score).alias("chosen_on_mean"))
-    best = first_best(others.withColumn("_rounded", F.round("chosen_on_mean", 9)), ["held"], "_rounded", [choice]).drop("_rounded")
-    own = results.select(F.col(dataset).alias("held"), F.col(choice), F.col(score).alias("auc"))
-    return best.join(own, ["held", choice]).select("held", choice, "auc", "chosen_on_mean")
+    of_choice = Window.partitionBy(choice)
+    own = F.coalesce(score, F.lit(0.0))
+    others = F.count(score).over(of_choice) - F.col(score).isNotNull().cast("int")
+    rows = results.withColumn("chosen_on_mean", F.try_divide(F.sum(own).over(of_choice) - own, others)).where(F.col("chosen_on_mean").isNotNull())
+    best = first_best(rows.withColumn("_rounded", F.round("chosen_on_mean", 9)), [dataset], "_rounded", [choice])
+    return best.select(F.col(dataset).alias("held"), choice, F.col(score).alias("auc"), "chosen_on_mean")

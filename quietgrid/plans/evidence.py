@@ -10,6 +10,7 @@ from ..operators import calibrate as C
 from ..operators import metrics as M
 from ..operators import temporal as T
 from ..operators.ranking import quantiles
+from ..session import checkpointed
 from .bindings import FRAMES, frames, rounded
 from .register import query
 from .series import GAIN
@@ -28,8 +29,12 @@ ev AS (SELECT l.event_id, l.video, l.t, l.y, l.channel, CASE WHEN l.score > u TH
 
 
 def channels(spark, sf_dir):
-    """event_id, video, t, y, channel, score."""
+    """event_id, video, t, y, channel, score; kept, as scores and references both come from it."""
     df = frames(spark, sf_dir).withColumn("xx", (F.col("x") - 3) * (F.col("x") - 3))
+    return checkpointed(_channels(df))
+
+
+def _channels(df):
     return df.select("event_id", "video", "t", "y", F.explode(F.array(*(F.struct(F.lit(c).alias("channel"), F.col(c).alias("score")) for c in CHANNELS))).alias("c")).select("event_id", "video", "t", "y", "c.channel", "c.score")
 
 
@@ -110,7 +115,7 @@ pr AS (SELECT video, t, y, 'raw' AS protocol, round(raw, 9) AS s FROM s1 UNION A
 @query(f"WITH {FRAMES}, {_LONG}, {_TAIL}, {_P}, a AS ({auc_sql('pr', 's', 'protocol')}) SELECT protocol, n, round(auc, 5) AS auc FROM a")
 def protocol_comparison(spark, sf_dir):
     ev = evidence(spark, sf_dir)
-    fused = C.fuse(ev, ["event_id", "video", "t", "y"], "channel", "evidence")
+    fused = checkpointed(C.fuse(ev, ["event_id", "video", "t", "y"], "channel", "evidence"))
     return rounded(M.auc(_protocols(fused), "s", "y", ["protocol"]), "auc", digits=5)
 
 
@@ -144,7 +149,7 @@ o AS (SELECT h.ds AS held, r.choice, avg(r.auc) AS m FROM (SELECT DISTINCT ds FR
 b AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY held ORDER BY round(m, 9) DESC, choice) = 1)
 SELECT b.held, b.choice, r.auc, round(b.m, 6) AS chosen_on_mean FROM b JOIN r ON r.ds = b.held AND r.choice = b.choice""")
 def leave_one_out(spark, sf_dir):
-    res = rounded(_results(spark, sf_dir), "auc", digits=4).select("ds", F.concat_ws(":", "norm", "subset").alias("choice"), "auc")
+    res = checkpointed(rounded(_results(spark, sf_dir), "auc", digits=4)).select("ds", F.concat_ws(":", "norm", "subset").alias("choice"), "auc")
     return rounded(M.leave_one_out(res, "ds", "choice", "auc"), "chosen_on_mean")
 
 
