@@ -36,3 +36,13 @@ def direction_bin(dx: Column, dy: Column, bins: int = 8) -> Column:
 def quantised(value: Column, top: float, at: int = 96, most: int = 255) -> Column:
     """A value as a byte, scaled so that `top` becomes `at`."""
     return F.least(F.lit(most), F.round(value * F.lit(at / max(top, 1e-3)))).cast("int")
+
+
+def clock(time: Column) -> Column:
+    """A timestamp's time of day, HH:MM:SS."""
+    return F.date_format(time, "HH:mm:ss")
+
+
+def alarm_line(time: Column, frame: Column, score: Column, threshold: float | Column) -> Column:
+    """What a live run prints for an alarm: when, which frame, and the score as a multiple of the threshold."""
+    return F.format_string("[%s] frame %d: ALARM score/thr=%.2f", clock(time), frame, score / threshold)

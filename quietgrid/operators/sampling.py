@@ -33,6 +33,11 @@ def _thinned(df: DataFrame, drawn: DataFrame, n: int) -> DataFrame:
     return few if few.limit(n).count() == n else drawn  # ids that very many rows share may all lie above
 
 
+def first_frames(df: DataFrame, keys: list[str], time: str, n: int) -> DataFrame:
+    """The first n rows of each series in time. Ranks are cut off in each task before the shuffle, so a long series sends n rows from each."""
+    return df.withColumn("_turn", F.row_number().over(Window.partitionBy(*keys).orderBy(time))).where(F.col("_turn") <= n).drop("_turn")
+
+
 def clip_starts(df: DataFrame, keys: list[str], time: str, length: int, step: int) -> DataFrame:
     """Rows at which a whole clip can end; series too short for one have none."""
     return df.where(F.col(time) >= (length - 1) * step)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..models import BackgroundEstimator, BackgroundModel
@@ -13,6 +14,7 @@ from ..operators import grid as G
 from ..operators import latent as L
 from ..operators import mixture as X
 from ..operators import predict as P
+from ..operators.network import batch_features
 from ..operators import temporal as T
 from ..operators.autoencoder import Autoencoder
 from ..operators.lookup import lookup
@@ -114,26 +116,34 @@ def state_conditioned(spark, sf_dir):
     return rounded(rows.select("l_orderkey", "l_linenumber", "frx_state"), "frx_state", digits=5)
 
 
-_KAPPA = f"""v1 AS (SELECT state, cell, frame, (frame % 2)::INT AS fold, a AS x FROM vectors WHERE normal),
+def _moments_sql(*names: str) -> str:
+    """SQL: means and population covariances of a and b, called by the names given."""
+    ma, mb, aa, ab, bb = names
+    return f"avg(a) AS {ma}, avg(b) AS {mb}, covar_pop(a, a) AS {aa}, covar_pop(a, b) AS {ab}, covar_pop(b, b) AS {bb}"
+
+
+_KAPPA = f"""v1 AS (SELECT state, cell, frame, (frame % 2)::INT AS fold, a, b FROM vectors WHERE normal),
 grid AS (SELECT * FROM (VALUES {", ".join(f"({'1e300' if math.isinf(k) else k}::DOUBLE)" for k in B.KAPPA_GRID)}) g(kappa)),
 frm AS (SELECT fold, state, count(DISTINCT frame) AS frames FROM v1 GROUP BY 1, 2),
-gl AS (SELECT fold, avg(x) AS gm, var_pop(x) AS gv FROM v1 GROUP BY 1),
-cl AS (SELECT fold, cell, avg(x) AS m, var_pop(x) AS v FROM v1 GROUP BY 1, 2),
-bs AS (SELECT fold, cell, (m + gm) / 2 AS m0, (v + gv) / 2 + (m - gm) * (m - gm) / 4 AS v0 FROM cl JOIN gl USING (fold)),
-st AS (SELECT fold, state, cell, count(*) AS n, sum(x) AS s1, sum(x * x) AS s2, avg(x) AS m, var_pop(x) AS v FROM v1 GROUP BY 1, 2, 3),
-md AS (SELECT kappa, fold, state, cell, w * m + (1 - w) * m0 AS mu, w * v + (1 - w) * v0 + w * (1 - w) * (m - m0) * (m - m0) AS var
-  FROM (SELECT *, CASE WHEN kappa > 1e100 THEN 0 ELSE frames / (frames + kappa) END AS w FROM st JOIN frm USING (fold, state) JOIN bs USING (fold, cell) CROSS JOIN grid)),
-pr AS (SELECT *, 1 / (var * (1 + 1e-3) + 1e-8) AS p FROM md)"""
+gl AS (SELECT fold, {_moments_sql("ga", "gb", "gaa", "gab", "gbb")} FROM v1 GROUP BY 1),
+cl AS (SELECT fold, cell, {_moments_sql("ca", "cb", "caa", "cab", "cbb")} FROM v1 GROUP BY 1, 2),
+bs AS (SELECT fold, cell, (ca + ga) / 2 AS a0, (cb + gb) / 2 AS b0, (caa + gaa) / 2 + (ca - ga) * (ca - ga) / 4 AS aa0, (cab + gab) / 2 + (ca - ga) * (cb - gb) / 4 AS ab0, (cbb + gbb) / 2 + (cb - gb) * (cb - gb) / 4 AS bb0 FROM cl JOIN gl USING (fold)),
+st AS (SELECT fold, state, cell, count(*) AS n, {_moments_sql("ma", "mb", "saa", "sab", "sbb")} FROM v1 GROUP BY 1, 2, 3),
+wt AS (SELECT *, CASE WHEN kappa > 1e100 THEN 0 ELSE frames / (frames + kappa) END AS w FROM st JOIN frm USING (fold, state) JOIN bs USING (fold, cell) CROSS JOIN grid),
+md AS (SELECT kappa, fold, state, cell, w * ma + (1 - w) * a0 AS mua, w * mb + (1 - w) * b0 AS mub, w * saa + (1 - w) * aa0 + w * (1 - w) * (ma - a0) * (ma - a0) AS vaa,
+  w * sab + (1 - w) * ab0 + w * (1 - w) * (ma - a0) * (mb - b0) AS vab, w * sbb + (1 - w) * bb0 + w * (1 - w) * (mb - b0) * (mb - b0) AS vbb FROM wt),
+pr AS (SELECT *, {_inverse('p', 'vaa', 'vab', 'vbb')} FROM md)"""
 
 
 @query(f"""WITH {VECTORS}, {_KAPPA}
-SELECT CASE WHEN kappa > 1e100 THEN 'inf' ELSE kappa::INT::VARCHAR END AS kappa0, round(sum(0.5 * h.n * ln(p) - 0.5 * p * (h.s2 - 2 * mu * h.s1 + h.n * mu * mu)), 2) AS loglik
+SELECT CASE WHEN kappa > 1e100 THEN 'inf' ELSE kappa::INT::VARCHAR END AS kappa0, round(sum(0.5 * h.n * (ln(p_aa * p_bb - p_ab * p_ab)
+  - p_aa * (saa + (ma - mua) * (ma - mua)) - 2 * p_ab * (sab + (ma - mua) * (mb - mub)) - p_bb * (sbb + (mb - mub) * (mb - mub)))), 2) AS loglik
 FROM pr JOIN st h ON h.fold = 1 - pr.fold AND h.state = pr.state AND h.cell = pr.cell GROUP BY 1""")
 def prior_strength(spark, sf_dir):
-    """Held-out likelihood of each prior strength over two folds of frames, from sums alone."""
-    df = vectors(spark, sf_dir).where("normal").withColumn("fold", (F.col("frame") % 2).cast("int")).withColumn("f", F.slice("f", 1, 1))
+    """Held-out likelihood of each prior strength over two folds of frames, from sums of vectors of two components."""
+    df = vectors(spark, sf_dir).where("normal").withColumn("fold", (F.col("frame") % 2).cast("int"))
     seen = df.groupBy("fold", "state").agg(F.count_distinct("frame").alias("frames"))
-    found = B.choose_kappa0(B.moments(df, ["fold", "state", "cell"], "f", 1), seen, "fold", "state", "cell", 1)
+    found = B.choose_kappa0(B.moments(df, ["fold", "state", "cell"], "f", 2), seen, "fold", "state", "cell", 2)
     name = F.when(F.col("kappa0") == float("inf"), "inf").otherwise(F.col("kappa0").cast("int").cast("string"))
     return rounded(found.select(name.alias("kappa0"), "loglik"), "loglik", digits=2)
 
@@ -220,3 +230,11 @@ def predictive_residual(spark, sf_dir):
     """Frames minus what the two frames before predict, by a ridge regression for each cell."""
     df = frames(spark, sf_dir).withColumn("cell", (F.col("video") % 10).cast("int"))
     return rounded(P.predictive_residual(df, "y = 0", ["video"], "t", "cell", "x").select("event_id", "residual"), "residual")
+
+
+@query("SELECT vec_id, round(list_sum([x::DOUBLE FOR x IN embedding]), 5) AS total, round(list_sum([x::DOUBLE * x FOR x IN embedding]), 5) AS energy FROM embeddings WHERE embedding IS NOT NULL")
+def network_features(spark, sf_dir):
+    """Features by a function of batches, as a frozen network would give them."""
+    load = lambda: lambda x: np.stack([x.sum(1), (x * x).sum(1)], 1)
+    rows = batch_features(table(spark, sf_dir, "embeddings").where("embedding is not null"), "embedding", load, shape=[64])
+    return rounded(rows.select("vec_id", F.col("f")[0].alias("total"), F.col("f")[1].alias("energy")), "total", "energy", digits=5)

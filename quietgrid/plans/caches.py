@@ -16,7 +16,7 @@ from .bindings import HEIGHT, MAPS, WIDTH, maps, table
 from .register import query
 
 
-def _pixels(spark, sf_dir):
+def month_frames(spark, sf_dir):
     """scene, split, video (a year), t (a month), h, w, channels, px: the months' maps as frames of bytes."""
     level = F.greatest(F.lit(0), F.least(F.lit(255), F.round(F.col("v") + 128))).cast("int")
     dense = G.dense(maps(spark, sf_dir), ["frame"], "v", HEIGHT, WIDTH).select("frame", (F.col("y") * WIDTH + F.col("x")).alias("i"), level.alias("level"))
@@ -43,7 +43,7 @@ FROM l GROUP BY frame""")
 def cached_frames(spark, sf_dir):
     """Maps written as `.npy` videos and scanned back by ranges of bytes."""
     root = folder(spark, "cache")
-    write_cache(_pixels(spark, sf_dir), root)
+    write_cache(month_frames(spark, sf_dir), root)
     spark.dataSource.register(FrameCache)
     return level_sums(spark.read.format("frame_cache").option("partBytes", 256).load(root))
 

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from ..operators import channels as K
 from ..operators import motion as M
+from ..operators.flow import optical_flow
 from ..operators.ranking import quantile
 from ..operators.skew import skewed_background
-from .bindings import rounded, table, vectors
+from .bindings import HEIGHT, WIDTH, rounded, table, vectors
 from .register import query
 
 _FLOW = f"""flow AS (
@@ -56,3 +58,19 @@ def log_domain(spark, sf_dir):
 def skewed_background_scores(spark, sf_dir):
     """A skewed t background by cell; tested against numerical integration and simulated data."""
     return skewed_background(vectors(spark, sf_dir), "cell", "f", ["l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber", "skew_t")
+
+
+@query()
+def motion_channels(spark, sf_dir):
+    """Frame scores of the three flow channels, learned from even months; tested against NumPy."""
+    features = M.flow_features(_flow(spark, sf_dir), ["frame"], 4, 10)
+    cells = K.flow_channels(features, features.where("frame % 2 = 0"), ["frame"], components=2)
+    return K.frame_channels(cells, ["frame"], [K.FLOW_UBM, K.FLOW_RX, K.FLOW_ST], HEIGHT, WIDTH, 4, 4)
+
+
+@query()
+def dense_flow(spark, sf_dir):
+    """Sub-pixel displacements between the maps of neighbouring months; drawn shifts are recovered in tests."""
+    from .caches import month_frames
+
+    return rounded(optical_flow(month_frames(spark, sf_dir), ["scene", "split", "video"], "t").drop("scene"), "dx", "dy")

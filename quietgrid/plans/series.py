@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import scalar as S
 from ..operators import temporal as T
+from ..operators.sampling import first_frames as first_of
 from .bindings import FRAMES, frames, rounded
 from .register import query
 
@@ -94,3 +96,17 @@ def clip_assembly(spark, sf_dir):
     df = T.clips(frames(spark, sf_dir), _KEYS, "t", "x", "clip")
     names = [f"c{i}" for i in range(4)]
     return _plain(df.select("event_id", *(F.col("clip")[i].alias(n) for i, n in enumerate(names))), *names)
+
+
+@query(f"WITH {FRAMES} SELECT event_id, video, t FROM frames WHERE t < 5")
+def first_frames(spark, sf_dir):
+    """The first five frames of each camera: the bound is the feature."""
+    return first_of(frames(spark, sf_dir), _KEYS, "t", 5).select("event_id", "video", "t")
+
+
+@query(f"""WITH {FRAMES}, m AS (SELECT *, median(x) OVER (PARTITION BY video ORDER BY t ROWS BETWEEN 8 PRECEDING AND CURRENT ROW) AS s FROM frames)
+SELECT event_id, '[' || strftime(ts, '%H:%M:%S') || '] frame ' || t || ': ALARM score/thr=' || printf('%.2f', s / 3.5) AS line FROM m WHERE s > 3.5""")
+def alarm_lines(spark, sf_dir):
+    """What a live run prints, for smoothed values over a threshold of 3.5."""
+    rows = T.causal_median(frames(spark, sf_dir), _KEYS, "t", "x", "s").where("s > 3.5")
+    return rows.select("event_id", S.alarm_line(F.col("ts"), F.col("t"), F.col("s"), 3.5).alias("line"))

@@ -6,7 +6,6 @@ Files come as binaryFile rows, so any store that Spark reads will do. Decoding i
 from __future__ import annotations
 
 import io
-import zipfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
+
 FRAMES = "scene string, split string, video string, t int, h int, w int, channels int, px binary"
 _PATH = r"([^/]+)/([^/]+)/([^/]+)\.npy$"
 
@@ -76,9 +77,15 @@ def read_images(spark: SparkSession, glob: str, pattern: str, names: list[str],
     rows = cut.mapInPandas(each, f"path string, {', '.join(f'{n} string' for n in names)}, h int, w int, px binary")
     keys = [n for n in names if n in ("scene", "split", "video")]
     order = Window.partitionBy(*keys).orderBy("path")
-    rows = rows.withColumn("t", F.row_number().over(order) - 1)
     back = order.rowsBetween(Window.unboundedPreceding, 0)
-    return rows.select(*keys, "t", *(F.last(c, ignorenulls=True).over(back).alias(c) for c in ("h", "w", "px")))
+    # places come from names alone; pixels aren't sorted, and only those that stand for an unreadable frame are moved
+    rows = checkpointed(rows)
+    placed = rows.select("path", *keys, F.when(F.col("h").isNotNull(), F.col("path")).alias("_read"))
+    placed = placed.withColumn("t", F.row_number().over(order) - 1).withColumn("_from", F.last("_read", ignorenulls=True).over(back))
+    own = rows.where("h is not null").join(placed.where("_read is not null").select("path", "t"), "path")
+    gaps = placed.where("_read is null").select(*keys, "t", F.col("_from").alias("path"))
+    filled = gaps.join(rows.select("path", "h", "w", "px"), "path", "left")
+    return own.select(*keys, "t", "h", "w", "px").unionByName(filled.select(*keys, "t", "h", "w", "px"))
 
 
 def decode_pgm(content: bytes) -> np.ndarray | None:
@@ -91,23 +98,6 @@ def decode_pgm(content: bytes) -> np.ndarray | None:
         return None
 
 
-def read_zip_members(spark: SparkSession, glob: str, pattern: str) -> DataFrame:
-    """archive, name, content of the members of ZIP files whose name matches: directories and archives look alike to decoders."""
-    import re
-
-    wanted = re.compile(pattern)
-
-    def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for name in sorted(z.namelist()):
-                        if wanted.search(name):
-                            yield pd.DataFrame({"archive": [path], "name": [name], "content": [z.read(name)]})
-
-    return spark.read.format("binaryFile").load(glob).select("path", "content").mapInPandas(members, "archive string, name string, content binary")
-
-
 def constant_size(frames: DataFrame, scene: list[str]) -> DataFrame:
     """Scenes whose frames differ in size: there should be none."""
     return frames.groupBy(*scene).agg(F.count_distinct("h", "w").alias("sizes")).where("sizes > 1")
