@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-#: Labelled rows of each language that are learned from, at most; n-grams kept of each language, at most.
-SAMPLE, GRAMS = 2000, 20_000
-#: n-gram lengths, lookups for an n-gram, slots in the filter (a power of two), and characters handled at once.
+#: Labelled rows of each language that are learned from, at most.
+SAMPLE = 2000
+#: n-gram lengths, lookups for an n-gram, slots in the filter at least (a power of two), and characters handled at once.
 LENGTHS, LOOKUPS, SLOTS, CHUNK = (2, 3, 4), 3, 1 << 20, 1 << 17
 #: An n-gram belongs to a language if its rate there is at least this share of its highest rate in any.
 SHARE = 0.2
@@ -161,11 +161,12 @@ def _small(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.limit(SMALL + 1).count() <= SMALL else table
 
 
-def train(rows: DataFrame, sample: int = SAMPLE, grams: int = GRAMS, share: float = SHARE, text: str = "text", lang: str = "lang") -> Model:
+def train(rows: DataFrame, sample: int = SAMPLE, grams: int | None = None, share: float = SHARE, text: str = "text", lang: str = "lang") -> Model:
     """A model from labelled rows, those without a lang or text left out.
 
     Of each language `sample` different texts are used at most, those first by a hash, each once however often it is
-    repeated, so rows and partitions may be in any order. No rows give a model without languages.
+    repeated, so rows and partitions may be in any order. All their n-grams count, unless `grams` names a number of the most
+    frequent ones; the filter has 16 slots for each of the largest language's. No rows give a model without languages.
     """
     scratch = Scratch(rows.sparkSession, "langid")
     own = rows.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text")).withColumn("_hash", F.xxhash64("text"))
@@ -187,13 +188,15 @@ def train(rows: DataFrame, sample: int = SAMPLE, grams: int = GRAMS, share: floa
     counted = scratch.write(counted, "counts")
     totals = counted.groupBy("lang").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
     rated = counted.join(totals, "lang").withColumn("rate", F.col("n") / F.col("total")).withColumn("top", F.max("rate").over(Window.partitionBy("gram")))
-    best = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
-    kept = rated.where(F.col("rate") >= share * F.col("top")).withColumn("_turn", best).where(F.col("_turn") <= grams)
+    kept = rated.where(F.col("rate") >= share * F.col("top"))
+    if grams is not None:
+        kept = kept.withColumn("_turn", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("_turn") <= grams)
     by: dict[str, list[int]] = {}
     for r in kept.select("lang", "gram").collect():
         by.setdefault(r["lang"], []).append(r["gram"])
     first = totals.orderBy(F.desc("total"), "lang").first()
-    return Model.of({k: np.array(v, np.int64).view(np.uint64) for k, v in by.items()}, first and first["lang"])
+    slots = max(SLOTS, 1 << (16 * max(map(len, by.values()), default=1) - 1).bit_length())
+    return Model.of({k: np.array(v, np.int64).view(np.uint64) for k, v in by.items()}, first and first["lang"], slots)
 
 
 def held_out(doc_id) -> F.Column:

@@ -1,8 +1,7 @@
 """Mixing sources to target weights by Sainte-Lague apportionment, in DataFrame functions alone.
 
 Sources share the mix by weight, capped at a multiple of their size (water-filling). Blocks of equal size are then given to
-sources by highest quotients target / (2k + 1), and in the same way by each source to its shards, whose sizes are bounded,
-or first to groups of them where there are more than fit one row.
+sources by highest quotients target / (2k + 1), and in the same way by each source to its shards, whose sizes are bounded.
 A shard lays its documents out in seeded order, which cuts it into blocks; it takes whole rounds and then its first blocks.
 """
 
@@ -14,8 +13,8 @@ from pyspark.sql import functions as F
 from .common import WORD, Scratch
 
 WEIGHTS, SHARE, CAP = (5.0, 2.0, 1.0), 1.5, 2.0
-#: Words in a block; words and documents in a shard, about; shards that share blocks out in one row.
-BLOCK, SHARD_WORDS, SHARD_DOCS, FAN = 4, 1 << 20, 1 << 16, 1024
+#: Words in a block; words and documents in a shard, about; divisors tried at once, and how often at most: enough for adjacent doubles.
+BLOCK, SHARD_WORDS, SHARD_DOCS, TRIED, ROUNDS = 4, 1 << 20, 1 << 16, 32, 20
 SEED = "0"
 
 
@@ -36,20 +35,13 @@ def _divisor(items: str, blocks: str) -> str:
 def _seats(rows: DataFrame, group: list[str], order: list[str], blocks: str) -> DataFrame:
     """rows (t: claim, m: most blocks) and seats, given by highest quotients within each group, ties in the order named.
 
-    Rounding at the divisor gives all but the last few blocks; those go to the highest quotients that come next.
+    Rounding at the group's divisor, column _d, gives all but the last few blocks; those go to the highest quotients that come
+    next. Rows without that column are one group, whose claims fit one row, from which the divisor is found.
     """
-    whole = Window.partitionBy(*group)
-    if group:
-        # the divisor by group comes from one array per group, not from a copy of it on each row
-        keys = [F.col(k).alias(f"_{k}") for k in group]
-        of = rows.groupBy(*keys).agg(F.collect_list(F.struct("t", "m")).alias("_items"), F.first(blocks).alias("_blocks")).select(*(f"_{k}" for k in group), F.expr(_divisor("_items", "_blocks")).alias("_d"))
-        on = F.lit(True)
-        for k in group:
-            on = on & rows[k].eqNullSafe(of[f"_{k}"])
-        rows = rows.join(of, on).drop(*(f"_{k}" for k in group))
-    else:
+    if "_d" not in rows.columns:
         found = rows.agg(F.collect_list(F.struct("t", "m")).alias("_items"), F.first(blocks).alias("_blocks")).select(F.expr(_divisor("_items", "_blocks")).alias("d")).first()
         rows = rows.withColumn("_d", F.lit(float(found["d"] or 1.0)))
+    whole = Window.partitionBy(*group)
     rows = rows.withColumn("_sure", F.least(F.col("m"), F.floor(F.col("t") / F.col("_d") + 0.5))).withColumn("_left", F.col(blocks) - F.sum("_sure").over(whole))
     again = F.when(F.col("_sure") < F.col("m"), F.col("t") / (2 * F.col("_sure") + 1))
     turn = F.row_number().over(whole.orderBy(again.desc_nulls_last(), *(F.col(k).asc_nulls_last() for k in order)))
@@ -57,23 +49,45 @@ def _seats(rows: DataFrame, group: list[str], order: list[str], blocks: str) ->
     return rows.withColumn("seats", seats.cast("long")).drop("_d", "_sure", "_left")
 
 
-def _shares(shards: DataFrame, fan: int) -> DataFrame:
-    """shards (source, _shard, t, m, _blocks of the source) and seats. A source gives to groups of shards, those to theirs.
+def _divisors(shards: DataFrame, scratch: Scratch) -> DataFrame:
+    """_s, _d: for each source a divisor that gives out its blocks or fewer over all its shards, each of which lacks one at most.
 
-    A group has `fan` members, so no row or task holds more claims than that; up to `fan` shards of a source are one group.
+    Each round tries some divisors between two bounds by a sum over the shards for each source and divisor, so however many
+    shards a source has, no row or task holds them together. First they are powers of two around claims over blocks; rounds
+    end when the bounds are so near that no shard's claim gives it two blocks more at the one than at the other.
     """
-    levels = 1
-    while (shards.agg(F.max("_shard")).first()[0] or 0) >= fan**levels:
-        levels += 1
-    given = shards.groupBy("source").agg(F.first("_blocks").alias("_blocks")).withColumn("_above", F.lit(0).cast("long"))
-    for level in reversed(range(levels)):
-        node = F.floor(F.col("_shard") / fan**level)
-        claims = shards.groupBy("source", node.alias("_node")).agg(F.sum("t").alias("t"), F.sum("m").alias("m")).withColumn("_above", F.floor(F.col("_node") / fan))
-        above = given.select(F.col("source").alias("_s"), F.col("_above").alias("_a"), "_blocks")
-        claims = claims.join(above, claims["source"].eqNullSafe(above["_s"]) & (claims["_above"] == above["_a"])).drop("_s", "_a")
-        seats = _seats(claims, ["source", "_above"], ["_node"], "_blocks")
-        given = seats.select("source", F.col("_node").alias("_above"), F.col("seats").cast("double").alias("_blocks"))
-    return given.select(F.col("source").alias("_s"), F.col("_above").alias("_k"), F.col("_blocks").alias("_seats"))
+    claims = shards.groupBy(F.col("source").alias("_s")).agg(F.sum("t").alias("_sum"), F.max("t").alias("_top"), F.sum(F.when(F.col("t") > 0, F.col("m")).otherwise(0.0)).alias("_all"), F.first("_blocks").alias("_most"))
+    mean = F.when((F.col("_sum") > 0) & (F.col("_most") > 0), F.col("_sum") / F.col("_most")).otherwise(F.lit(1.0))
+    powers = F.transform(F.sequence(F.lit(1), F.lit(TRIED)), lambda k: F.col("_mean") * F.pow(F.lit(2.0), k - TRIED // 2))
+    most = F.greatest(F.col("_top") * 2 + 1, F.col("_mean") * 2.0 ** (TRIED // 2 + 1))
+    # where all that shards can take is given out, any small divisor does
+    now = claims.withColumn("_mean", mean).select("_s", "_top", "_most", (F.col("_all") <= F.col("_most")).alias("_done"), F.concat(F.array(F.lit(0.0)), powers, F.array(most)).alias("_at"), F.lit(1e-9).alias("_d"))
+    now = scratch.write(now, "bounds")
+    for _ in range(ROUNDS):
+        if not now.where("not _done").limit(1).count():
+            break
+        k = F.explode(F.sequence(F.lit(1), F.lit(TRIED))).alias("_k")
+        open_ = now.where("not _done").select("_s", "_at")
+        each = shards.join(open_, shards["source"].eqNullSafe(open_["_s"])).select("_s", "t", "m", "_at", k)
+        given = each.groupBy("_s", "_k").agg(F.sum(F.least(F.col("m"), F.floor(F.col("t") / F.element_at("_at", F.col("_k") + 1) + 0.5))).alias("_given"))
+        given = given.groupBy(F.col("_s").alias("_of")).agg(F.sort_array(F.collect_list(F.struct("_k", "_given"))).alias("_given"))  # TRIED of them
+        # what is given falls as divisors grow: the first that gives no more than there is becomes the new upper bound
+        first = F.coalesce(F.get(F.filter("_given", lambda g: g["_given"] <= F.col("_most")), F.lit(0))["_k"], F.lit(TRIED + 1))
+        next_ = now.where("not _done").join(given, F.col("_s").eqNullSafe(F.col("_of"))).withColumn("_lo", F.element_at("_at", first)).withColumn("_hi", F.element_at("_at", first + 1))
+        steps = F.transform(F.sequence(F.lit(0), F.lit(TRIED + 1)), lambda i: F.col("_lo") + (F.col("_hi") - F.col("_lo")) * i / (TRIED + 1))
+        near = (F.col("_hi") - F.col("_lo")) * F.col("_top") < F.col("_lo") * F.col("_hi")
+        after = next_.select("_s", "_top", "_most", near.alias("_done"), steps.alias("_at"), F.col("_hi").alias("_d")).unionByName(now.where("_done"))
+        after = scratch.write(after, "bounds")
+        scratch.drop(now)
+        now = after
+    return now.select("_s", "_d")
+
+
+def _shares(shards: DataFrame, scratch: Scratch) -> DataFrame:
+    """_s, _k, _seats: of shards (source, _shard, t, m, _blocks of the source) the blocks that each gets."""
+    of = _divisors(shards, scratch)
+    rows = shards.join(of, shards["source"].eqNullSafe(of["_s"]))
+    return _seats(rows, ["source"], ["_shard"], "_blocks").select("_s", F.col("_shard").alias("_k"), F.col("seats").cast("double").alias("_seats"))
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
@@ -99,7 +113,6 @@ def mix(
     block: int = BLOCK,
     shard_words: int = SHARD_WORDS,
     shard_docs: int = SHARD_DOCS,
-    fan: int = FAN,
     seed: str = SEED,
     doc_id: str = "doc_id",
     text: str = "text",
@@ -130,7 +143,7 @@ def mix(
 
     shards = sharded(sized).groupBy("source", "_shard").agg(F.sum("size").alias("_words"), F.first("_blocks").alias("_blocks"))
     shards = scratch.write(shards.select("*", F.col("_words").cast("double").alias("t"), F.floor(F.col("_words") * F.lit(cap) / block).cast("double").alias("m")), "shards")
-    seats = _shares(shards, fan)
+    seats = _shares(shards, scratch)
     shards = shards.join(seats, shards["source"].eqNullSafe(seats["_s"]) & (shards["_shard"] == seats["_k"])).select("_s", "_k", "_words", (F.col("_seats") * block).cast("long").alias("_take"))
     shards = scratch.write(shards, "shares")
     rows = sharded(rows).drop("_blocks", "_shards")

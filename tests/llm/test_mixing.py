@@ -33,9 +33,9 @@ def rows(n=300):
     return [(i, " ".join("w" for _ in range(int(rng.paretovariate(0.8)) % 500)), "en", rng.choice("aaaaaabcdefgh") if i % 17 else None) for i in range(n)]
 
 
-@pytest.mark.parametrize("docs, shard, fan", [(DOCS, 1 << 20, 1024), (DOCS, 60, 1024), (rows(), 1 << 20, 1024), (rows(), 60, 1024), (rows(), 300, 8), ([(1, "a b", "en", "only")], 60, 1024), ([(1, None, None, None), (2, "", "en", "x")], 60, 1024)])
-def test_targets_are_met(spark, docs, shard, fan):
-    got = M.mix(documents(spark, docs), shard_words=shard, fan=fan).collect()
+@pytest.mark.parametrize("docs, shard", [(DOCS, 1 << 20), (DOCS, 60), (rows(), 1 << 20), (rows(), 60), (rows(), 300), ([(1, "a b", "en", "only")], 60), ([(1, None, None, None), (2, "", "en", "x")], 60)])
+def test_targets_are_met(spark, docs, shard):
+    got = M.mix(documents(spark, docs), shard_words=shard).collect()
     assert sorted((str(r["doc_id"]), r["size"]) for r in got) == sorted((str(d[0]), size(d[1])) for d in docs)
     sizes = {}
     for d in docs:
@@ -51,7 +51,7 @@ def test_targets_are_met(spark, docs, shard, fan):
             shards[s] = max(1, sizes[s] // shard + 1)
         for s, n in taken.items():
             assert abs(n - want[s]) <= M.BLOCK * (shards[s] + 1)
-    again = M.mix(documents(spark, docs).repartition(5), shard_words=shard, fan=fan).collect()
+    again = M.mix(documents(spark, docs).repartition(5), shard_words=shard).collect()
     assert sorted(map(str, got)) == sorted(map(str, again))
 
 
@@ -68,6 +68,24 @@ def test_highest_quotients(spark):
         assert got == want
 
 
+def test_highest_quotients_over_all_shards(spark):
+    """Whatever number of shards a source has, its blocks go to the highest quotients over all of them."""
+    import random
+
+    rng = random.Random(3)
+    shards, blocks = [], {"a": 700.0, "b": 3.0, None: 41.0, "none": 0.0, "all": 1e9}
+    for s, n in (("a", 1500), ("b", 2), (None, 30), ("none", 3), ("all", 4)):
+        shards += [(s, k, float(rng.choice([0, 1, 5, 5, 60, 999, 10**6])), float(rng.randint(0, 30)), blocks[s]) for k in range(n)]
+    df = spark.createDataFrame(shards, "source string, _shard long, t double, m double, _blocks double").repartition(3)
+    got = {(r["_s"], r["_k"]): r["_seats"] for r in M._shares(df, M.Scratch(spark, "shares")).collect()}
+    want = {x[:2]: 0 for x in shards}
+    for s, most in blocks.items():
+        ranked = sorted((-t / (2 * k + 1), shard) for own, shard, t, m, _ in shards if own == s for k in range(int(m)) if t > 0)
+        for _, shard in ranked[: int(most)]:
+            want[s, shard] += 1
+    assert {k: v for k, v in got.items() if dict((x[:2], x[2]) for x in shards)[k] > 0} == {k: v for k, v in want.items() if dict((x[:2], x[2]) for x in shards)[k] > 0}
+
+
 def test_the_mix_itself(spark):
     docs = rows(120)
     df = documents(spark, docs)
