@@ -33,9 +33,10 @@ def direction_bin(dx: Column, dy: Column, bins: int = 8) -> Column:
     return F.least(F.floor(turn / (2 * math.pi) * bins), F.lit(bins - 1)).cast("int")
 
 
-def quantised(value: Column, top: float, at: int = 96, most: int = 255) -> Column:
-    """A value as a byte, scaled so that `top` becomes `at`."""
-    return F.least(F.lit(most), F.round(value * F.lit(at / max(top, 1e-3)))).cast("int")
+def quantised(value: Column, top: float | Column, at: int = 96, most: int = 255) -> Column:
+    """A value as a byte, scaled so that `top`, a number or a column, becomes `at`."""
+    scale = at / F.greatest(top, F.lit(1e-3)) if isinstance(top, Column) else F.lit(at / max(top, 1e-3))
+    return F.least(F.lit(most), F.round(value * scale)).cast("int")
 
 
 def clock(time: Column) -> Column:

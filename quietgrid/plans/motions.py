@@ -42,8 +42,8 @@ def flow_speed(spark, sf_dir):
 @query("SELECT l_orderkey, l_linenumber, least(255, round(l_extendedprice * (96.0::DOUBLE / greatest((SELECT quantile_cont(l_extendedprice, 0.999) FROM lineitem), 1e-3))))::INT AS level FROM lineitem")
 def quantised_magnitude(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem")
-    top = (quantile(rows, [], "l_extendedprice", 0.999, "top").first() or [0.0])[0] or 0.0
-    return rows.select("l_orderkey", "l_linenumber", S.quantised(F.col("l_extendedprice"), top).alias("level"))
+    scaled = rows.crossJoin(F.broadcast(quantile(rows, [], "l_extendedprice", 0.999, "top")))  # one row
+    return scaled.select("l_orderkey", "l_linenumber", S.quantised(F.col("l_extendedprice"), F.col("top")).alias("level"))
 
 
 @query("""WITH v AS (SELECT l_orderkey, l_linenumber, [l_quantity / 10, l_tax * 100, l_discount * 100] AS a FROM lineitem)

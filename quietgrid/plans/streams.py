@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import background as B
 from ..session import folder
 from ..streaming.buffer import live_clips
-from ..streaming.live import calibrated_threshold, causal_alarms, score_stream
+from ..streaming.live import alarm_rates, calibrated_threshold, causal_alarms, deduplicated, score_stream
 from ..streaming.recording import read_batches, record, write_alarms
 from .bindings import FRAMES, rounded, table
 from .register import query
@@ -86,3 +86,14 @@ def bounded_recording(spark, sf_dir):
     record(stream, f"{root}/out", RECORDED, ["ts", "event_id"], f"{root}/state", availableNow=True)
     kinds = ", ".join(f"{n} {k}" for n, k in stream.dtypes)
     return rounded(read_batches(spark, f"{root}/out", kinds).select("event_id", "video", "x"), "x")
+
+
+@query("""WITH d AS (SELECT date_trunc('day', ts) AS day, event_type FROM events)
+SELECT strftime(day, '%Y-%m-%d') AS day, count(*) AS frames, count(*) FILTER (event_type = 'error') AS alarms FROM d GROUP BY d.day
+HAVING d.day + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""")
+def stream_rates(spark, sf_dir):
+    """Daily frames and errors of a stream in which every row comes twice: repeats within the watermark are dropped, and a day is told when it is over."""
+    twice = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*").withColumn("_copy", F.explode(F.array(F.lit(1), F.lit(2))))
+    rows = twice.select("event_id", F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") == "error").alias("alarm"))
+    out = _run(alarm_rates(deduplicated(rows, "event_id", "ts"), "ts", delay=None))
+    return out.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "frames", "alarms")
