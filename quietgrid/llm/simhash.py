@@ -60,9 +60,10 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def signatures(prints: DataFrame) -> DataFrame:
     """(_fp, _key): 64 rows of two longs for each distinct fingerprint, so copies are not expanded."""
-    # the rows grow 64-fold, so as many tasks as a shuffle has share them, however small the fingerprints are together
+    # the rows grow 64-fold, so as many tasks as a shuffle has share them, however small the fingerprints are together; dealt
+    # by the fingerprint itself they would stay in the exchange of distinct(), whose small partitions are put together
     tasks = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    signed = prints.select("_fp").distinct().repartition(tasks, "_fp").withColumn("_bit", F.explode(F.sequence(F.lit(0), F.lit(63))))
+    signed = prints.select("_fp").distinct().repartition(tasks, F.xxhash64("_fp")).withColumn("_bit", F.explode(F.sequence(F.lit(0), F.lit(63))))
     half = "(shiftrightunsigned(_fp, if(_bit >= 32, 32, 0)) & 4294967295L)"
     return signed.select("_fp", F.expr(f"({half} & ~shiftleft(1L, _bit % 32)) | shiftleft(cast(_bit as bigint), 32)").alias("_key"))
 
