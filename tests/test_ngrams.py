@@ -2,6 +2,7 @@
 
 import math
 import re
+import uuid
 from collections import Counter, defaultdict
 
 import pytest
@@ -60,3 +61,17 @@ def test_awkward_tables(spark):
     assert N.log_odds(records, none, none, ["id"], "body").first()["score"] == 0
     assert N.log_odds(records, some, none, ["id"], "body").first()["score"] > 0 > N.log_odds(records, none, some, ["id"], "body").first()["score"]
     assert N.log_odds(records.where("false"), some, none, ["id"], "body").count() == 0
+
+
+def test_texts_are_read_once(spark, tmp_path):
+    """Not for each table and order that their counts go into, nor at a cost by the square of their words."""
+
+    def noted(batches):
+        for b in batches:
+            (tmp_path / uuid.uuid4().hex).write_text(str(len(b)))
+            yield b
+
+    one, other = (spark.createDataFrame([(t,) for t in texts], "body string").mapInPandas(noted, "body string") for texts in (ONE, OTHER))
+    records = spark.createDataFrame(RECORDS, "id long, body string").mapInPandas(noted, "id long, body string")
+    assert N.log_odds(records, one, other, ["id"], "body", 3).count() == len(RECORDS)
+    assert sum(int(p.read_text()) for p in tmp_path.iterdir()) == len(ONE) + len(OTHER) + len(RECORDS)
