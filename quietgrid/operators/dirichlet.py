@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import kept
-from .mixture import Mixture, logsumexp
+from .mixture import Mixture, distances, logsumexp
 from .sampling import cap
 from .sums import summed
 
@@ -67,8 +67,7 @@ class DirichletMixture:
 
     def log_terms(self, x: np.ndarray) -> np.ndarray:
         """Expected log weight and density of each row and component (N, K)."""
-        z = x[:, None, :] - self.m
-        quad = self.d / self.beta + self.nu * np.einsum("nkc,kcd,nkd->nk", z, self.w, z, optimize=True)
+        quad = self.d / self.beta + self.nu * distances(x, self.m, self.w)
         return self._log_shares()[2] + 0.5 * (self._log_det() - self.d * math.log(2 * math.pi) - quad)
 
     def divergence(self) -> float:
@@ -97,13 +96,16 @@ class DirichletMixture:
 
 
 def _moments(x: np.ndarray, r: np.ndarray) -> np.ndarray:
-    """(K, 1 + D + D * D): sums of responsibilities, of weighted rows and of their products."""
-    wide = np.concatenate([np.ones((len(x), 1)), x, (x[:, :, None] * x[:, None, :]).reshape(len(x), -1)], 1)
-    return r.T @ wide
+    """(K, 1 + D + D * (D + 1) / 2): sums of responsibilities, of weighted rows and of their products, each pair once."""
+    i, j = np.triu_indices(x.shape[1])
+    return r.T @ np.concatenate([np.ones((len(x), 1)), x, x[:, i] * x[:, j]], 1)
 
 
 def _split(sums: np.ndarray, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return sums[:, 0], sums[:, 1 : 1 + d], sums[:, 1 + d :].reshape(len(sums), d, d)
+    i, j = np.triu_indices(d)
+    products = np.empty((len(sums), d, d))
+    products[:, i, j] = products[:, j, i] = sums[:, 1 + d :]
+    return sums[:, 0], sums[:, 1 : 1 + d], products
 
 
 def centres(df: DataFrame, feature: str, ids: list[str], k: int, seed: int = 0, rounds: int = 5) -> np.ndarray:
@@ -130,14 +132,15 @@ def fit(df: DataFrame, feature: str, ids: list[str], most: int = MOST, rounds: i
     """Fits `most` components at most to the vectors of all rows (arrays of one length, without nulls).
 
     Rounds end when the evidence bound gains less than tolerance a row; `bounds` holds it after each, and it never falls.
-    begin: centres to begin with. Raises ValueError for a table without rows. Rows are written to the shared folder once and
-    read in every round, so a lost executor costs its tasks alone; they are deleted in the end.
+    begin: centres to begin with. Raises ValueError for a table without rows. Rows are written to the shared folder once, in
+    equal parts for all cores however the input is filed, and read in every round, so a lost executor costs its tasks alone;
+    they are deleted in the end.
     """
-    with kept(df.select(*ids, F.col(feature).cast("array<double>").alias("_x"))) as rows:
+    with kept(df.select(*ids, F.col(feature).cast("array<double>").alias("_x")).repartition(df.sparkSession.sparkContext.defaultParallelism)) as rows:
         whole = summed(rows, ["_x"], lambda x: _moments(x, np.ones((len(x), 1))))
         if whole is None:
             raise ValueError("a mixture needs rows")
-        d = int((math.isqrt(4 * whole.shape[1] - 3) - 1) // 2)
+        d = (math.isqrt(8 * whole.shape[1] + 1) - 3) // 2
         n, s1, s2 = _split(whole, d)
         mean = s1[0] / n[0]
         cov = (s2[0] - n[0] * np.outer(mean, mean)) / max(n[0] - 1, 1)

@@ -38,12 +38,19 @@ class Mixture:
     def log_terms(self, x: np.ndarray, w: np.ndarray | None = None, mu: np.ndarray | None = None) -> np.ndarray:
         """log w_k N(x | mu_k, S_k) as (N, K); w and mu may be given by row."""
         w = np.broadcast_to(self.w, (len(x), len(self.w))) if w is None else w
-        mu = self.mu[None] if mu is None else mu
-        z = x[:, None, :] - mu
-        quad = np.einsum("nkc,kcd,nkd->nk", z, self.p, z)
+        quad = distances(x, self.mu if mu is None else np.moveaxis(mu, 1, 0), self.p)
         return np.log(np.maximum(w, 1e-300)) + 0.5 * self.ld - 0.5 * quad - 0.5 * x.shape[1] * math.log(2 * math.pi)
 
 
+def distances(x: np.ndarray, means: np.ndarray, precisions: np.ndarray) -> np.ndarray:
+    """Squared distances (N, K) of rows from K means, (K, C) or by row (K, N, C), a matrix product for each component."""
+    out = np.empty((len(x), len(precisions)))
+    for k, (mu, p) in enumerate(zip(means, precisions, strict=True)):
+        z = x - mu
+        out[:, k] = np.einsum("nc,nc->n", z @ p, z)
+    return out
+
+
 def logsumexp(terms: np.ndarray) -> np.ndarray:
     top = terms.max(1, keepdims=True)
     return (top + np.log(np.exp(terms - top).sum(1, keepdims=True)))[:, 0]

@@ -1,6 +1,7 @@
 """Dirichlet-process mixtures against NumPy, row by row."""
 
 import math
+from contextlib import contextmanager
 
 import numpy as np
 import pytest
@@ -130,3 +131,17 @@ def test_states_are_the_likeliest_components(spark):
     mixture = L.active(D.fit(df.where("id % 2 = 0"), "f", ["id"], 6, rounds=5, tolerance=0).mixture())
     terms = np.stack([np.log(w) - density(x, [1.0], [m], [c]) for w, m, c in zip(mixture.w, mixture.mu, mixture.cov, strict=True)], 1)
     assert [got[i] for i in range(len(x))] == terms.argmax(1).tolist()
+
+
+def test_rounds_use_all_cores_however_rows_are_filed(spark, monkeypatch):
+    parts, kept = [], D.kept
+
+    @contextmanager
+    def noting(df):
+        with kept(df) as rows:
+            parts.append(rows.rdd.getNumPartitions())
+            yield rows
+
+    monkeypatch.setattr(D, "kept", noting)
+    D.fit(blobs(spark, 1, parts=1)[1], "f", ["id"], 2, rounds=1)
+    assert parts == [spark.sparkContext.defaultParallelism]
