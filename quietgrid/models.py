@@ -186,7 +186,7 @@ class SkewedBackgroundModel(_TableModel):
 
 
 class SkewedBackgroundEstimator(_TableEstimator):
-    """A skewed t for each cell, drawn half-way towards the scene's."""
+    """A skewed t for each cell, drawn half-way towards the scene's. Both take all rows, so idCols and seed don't matter."""
 
     model = SkewedBackgroundModel
 
@@ -197,7 +197,7 @@ class SkewedBackgroundEstimator(_TableEstimator):
         self._setDefault(cellCol="cell", featuresCol="f", outputCol="skew_t", rounds=skew.ROUNDS)
 
     def learn(self, rows: DataFrame) -> dict[str, DataFrame]:
-        return {"cells": skew.skewed_fits(rows, self.of("cellCol"), self.of("featuresCol"), self.of("idCols"), seed=self.of("seed"), rounds=self.of("rounds"))}
+        return {"cells": skew.skewed_fits(rows, self.of("cellCol"), self.of("featuresCol"), rounds=self.of("rounds"))}
 
 
 class ReconstructorModel(_TableModel):

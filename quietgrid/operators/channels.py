@@ -29,7 +29,7 @@ def flow_channels(features: DataFrame, normal: DataFrame, frames: list[str], bin
     rows = X.score(slow(features), X.adapt(learned, "cell_id", "_speed", ubm), "cell_id", "_speed", ubm, FLOW_UBM).drop("_speed")
     background = B.finalise(B.moments(normal, ["cell_id"], "f", dim), ["cell_id"], dim)
     rows = B.detectors(rows, background, ["cell_id"], "f", dim).withColumnRenamed("frx_bayes", FLOW_RX).drop("rem", "frx_global", "frx_cell")
-    found = skewed_fits(normal, "cell_id", "f", [*frames, "cell_id"], seed=seed, **({} if rounds is None else {"rounds": rounds}))
+    found = skewed_fits(normal, "cell_id", "f", [*frames, "cell_id"], **({} if rounds is None else {"rounds": rounds}))
     return skewed_scores(rows, found, "cell_id", "f", FLOW_ST)
 
 

@@ -97,3 +97,25 @@ def test_a_round_works_on_each_vector_of_a_key_once(spark, monkeypatch):
     for r in [*K.fits(rows, "cell", "f", "nu", 2, 4).collect(), *K.fits(few, "cell", "f", "nu", 2, 4, count="n").collect()]:
         np.testing.assert_allclose([*r["_mu"], *r["_gamma"], *r["_sigma"]], [*want.mu, *want.gamma, *want.sigma.ravel()], atol=1e-9)
     assert seen == [80, 40]
+
+
+def test_every_row_counts_in_the_scenes_fit(spark):
+    """Beyond the 200,000 rows that it once drew; vectors repeat, so that NumPy takes each with its count."""
+    rows = spark.range(210_000).select("id", (F.col("id") % 2).alias("cell"), F.array(F.pmod(F.hash("id"), F.lit(7)) / 2 + F.col("id") % 2, (F.pmod(F.xxhash64("id"), F.lit(23)) / 8) ** 2).alias("f"))
+    seen = rows.groupBy("cell", "f").count().toPandas()
+
+    def fitted(own, nu):
+        x, n = np.stack(own["f"].to_numpy()), own["count"].to_numpy(np.float64)
+        m = K._start(K._moments(x, n)[None], 2, nu)
+        mean = m.mu
+        for _ in range(2):
+            m = K._step(K._sums(x, n, mean, m), mean, nu)
+        return m, m.constant() - n @ m.score(x) / n.sum()
+
+    scene = max((fitted(seen, nu) for nu in K.GRID), key=lambda m: m[1])[0]
+    got = {r["cell"]: r for r in K.skewed_fits(rows, "cell", "f", ["id"], rounds=2).collect()}
+    for cell, own in seen.groupby("cell"):
+        m, a = fitted(own, scene.nu)[0], K.ALPHA
+        assert got[cell]["_nu"] == scene.nu
+        for name, p, q in (("_mu", m.mu, scene.mu), ("_gamma", m.gamma, scene.gamma), ("_sigma", m.sigma.ravel(), scene.sigma.ravel())):
+            np.testing.assert_allclose(got[cell][name], (1 - a) * p + a * q, rtol=1e-8, atol=1e-9)
